@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import packing, token_counts
-from siltstone.llm.tables import documents, table
+from siltstone.llm import langid, media, packing, token_counts
+from siltstone.llm.tables import crc32_mod, documents, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, crc32_mod("doc_id", 4) != 2)
+    held = docs.select("doc_id", "text", (crc32_mod("doc_id", 4) == 2).alias("held_out"))
+    return langid.predict(held, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -24,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
