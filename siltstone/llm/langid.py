@@ -3,7 +3,7 @@
 Features: byte n-grams (1 to 4 bytes of the lower-cased UTF-8, digits and ASCII signs folded to a space) hashed into
 `dims` counters per text, damped by 1 + log, weighted by IDF and scaled to unit length. Each language gets `centroids`
 spherical k-means centroids. A text takes the language of the centroid with the largest cosine; it is rejected when that
-cosine is below the centroid's radius, a share (`slack`) of the smallest cosine among the centroid's own training texts.
+cosine is below the language's radius, a share (`slack`) of the smallest cosine of its training texts to their centroids.
 
 The model is fitted on a bounded sample: at most about `sample` labelled rows a language, chosen by a hash of their id.
 Prediction covers every row and looks at nothing but the text. Whole texts are read, never prefixes.
@@ -62,9 +62,12 @@ def vectors(texts: list[str], dims: int, idf: np.ndarray | None = None) -> np.nd
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids and each row's centroid; starts from far-apart rows, so it gives the same result each time."""
-    seeds = [int(np.argmax(x @ x.mean(axis=0)))]
+    typical = x @ x.mean(axis=0)
+    usable = np.flatnonzero(typical >= np.percentile(typical, 20))  # an outlier would keep a centroid to itself
+    usable = usable if len(usable) >= k else np.arange(len(x))
+    seeds = [int(np.argmax(typical))]
     while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin((x @ x[seeds].T).max(axis=1))))
+        seeds.append(int(usable[np.argmin((x[usable] @ x[seeds].T).max(axis=1))]))
     c = x[seeds]
     own = np.zeros(len(x), dtype=np.int64)
     for _ in range(rounds):
@@ -101,7 +104,7 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
         c, at = spherical_kmeans(own, centroids)
         cs.append(c)
         owner += [k] * len(c)
-        radius += [slack * float((own[at == j] @ c[j]).min()) if (at == j).any() else 1.0 for j in range(len(c))]
+        radius += [slack * float((own * c[at]).sum(axis=1).min())] * len(c)
     return Model(dims, idf, langs, np.array(owner), np.concatenate(cs), np.array(radius))
 
 

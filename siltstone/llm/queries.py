@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import langid, media, packing, token_counts
+from siltstone.llm import langid, media, packing, token_counts, topk
 from siltstone.llm.tables import crc32_mod, documents, table
 
 
@@ -35,6 +36,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(documents(spark, sf_dir)))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
