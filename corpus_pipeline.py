@@ -1,12 +1,48 @@
-"""Corpus preparation: stages over documents, each written as Parquet and reread by the next."""
+"""Corpus preparation: stages over documents, each written as Parquet and reread by the next.
+
+1. language   texts that language ID rejects (no letter, or far from every learned language) go
+2. duplicates one document, the one with the smallest id, of each group of near copies stays (five words, 0.8)
+3. repeats    bytes of 200-byte strings that also start elsewhere go; n_chars follows; no document is dropped
+4. packing    what is left is tokenised and packed into sequences of 2048 tokens
+
+Defined results: documents without an id are not compared with others in stage 2 and stay; of rows that share an id one
+stays; without any labelled row stage 1 keeps every text that has a letter; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siltstone.llm import langid, near_duplicates, packing, suffix_dedup
+from siltstone.llm.queries import tokenizer_path
 from siltstone.llm.tables import shared_dir
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs, F.lit(True))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = {c: f"_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # extra columns never clash
+    known = langid.predict(docs.withColumnsRenamed(names), model).where("not rejected")
+    return known.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("duplicates", duplicates), ("repeats", repeats), ("packing", pack)]
 
 #: SQL has no n-gram vectors, suffix order or packing: the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -15,8 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = shared_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
