@@ -36,6 +36,8 @@ from siltstone.llm.tables import partitions, stored
 from siltstone.llm.text import BASE, as_bytes, blocks, mix, runs, word_hashes
 
 _PART_BYTES = 24 << 20
+_SEEN = 500_000
+_SHORT = np.uint64(16)
 
 
 def shingle_sets(blobs: list[bytes], k: int) -> list[np.ndarray]:
@@ -108,9 +110,14 @@ def combinations(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """One row per document: id, n, cls, bits, prefix and combos (packed as arrays), sound."""
+    """One row per document: id, n, cls, bits, prefix and combos (arrays of 48-bit keys), sound.
+
+    Copies that a task has met before (it remembers up to `_SEEN` classes) leave out what is indexed, so a class that
+    holds a third of all rows reaches an index bucket at most a few times a task. Short keys only add candidates.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
             raw, ids = [as_bytes(t) for t in pdf["text"]], pdf["id"].to_numpy()
             for s, e in blocks(raw):
@@ -120,12 +127,16 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                     if not n:
                         rows.append((i, 0, None, None, None, None, True))
                         continue
-                    if n * (den - num) < num:  # no other set can be similar: nothing to index
-                        rows.append((i, n, class_of(x), None, None, None, True))
+                    cls = class_of(x)
+                    if cls in seen or n * (den - num) < num:  # met before, or so small that no other set is similar
+                        rows.append((i, n, cls, None, None, None, True))
                         continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(cls)
                     keys, sound = combinations(x, num, den)
                     prefix = x[: n + (-n * num) // den + 1]
-                    rows.append((i, n, class_of(x), bitmap(x), prefix.view(np.int64), keys.view(np.int64), sound))
+                    rows.append((i, n, cls, bitmap(x), (prefix >> _SHORT).view(np.int64), (keys >> _SHORT).view(np.int64), sound))
                 names = ["id", "n", "cls", "bits", "prefix", "combos", "sound"]
                 cols = dict(zip(names, zip(*rows, strict=True), strict=True))
                 yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "cls" else pd.Series(v, dtype=object if c in ("id", "bits", "prefix", "combos") else None) for c, v in cols.items()})  # class keys never pass through floats
@@ -136,14 +147,14 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
 
 def bucket_pairs(rows: DataFrame, rare: int, num: int, den: int) -> DataFrame:
-    """From (key, cls, n, sound): kind 0 rows are pairs (a, b) of small buckets, kind 1 rows members (key, cls) of large ones.
+    """From (key, cls, n; n negative: not sound): kind 0 rows are pairs (a, b) of small buckets, kind 1 rows members (key, cls) of large ones.
 
     Rows are dealt by key and sorted, so buckets stream by in runs; only keys, classes and sizes of one bucket are held.
     """
 
-    def emit(key: np.ndarray, cls: np.ndarray, n: np.ndarray, sound: np.ndarray) -> pd.DataFrame | None:
+    def emit(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-        key, cls, n, sound = key[new], cls[new], n[new], sound[new]
+        key, cls, n, sound = key[new], cls[new], np.abs(n[new]), n[new] > 0
         starts, size = runs(key)
         a, b, kinds = [], [], []
         for g in np.unique(size[(size > 1) & (size <= rare)]).tolist():
@@ -167,7 +178,7 @@ def bucket_pairs(rows: DataFrame, rare: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[np.ndarray]] = []
         for pdf in batches:
-            cols = [pdf[c].to_numpy() for c in ("key", "cls", "n", "sound")]
+            cols = [pdf[c].to_numpy() for c in ("key", "cls", "n")]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
@@ -233,19 +244,17 @@ def verify(cls: np.ndarray, sets: list[np.ndarray], maps: np.ndarray, num: int,
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, rare: int = 16) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links of Jaccard similarity num / den or more) of every row."""
     sig = stored(signatures(df, id_col, text_col, k, num, den), "signatures")
-    n_parts = partitions(df.sparkSession)
     by_class = sig.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    # one row per class that can be similar to another: its first document's signature
     indexed = sig.where("prefix is not null")
-    once = indexed.join(by_class.select(F.col("rep").alias("id"), "cls"), ["id", "cls"])
+    size = F.when(F.col("sound"), F.col("n")).otherwise(-F.col("n"))
 
-    singles = once.select(F.explode("prefix").alias("key"), "cls", "n", "sound")
-    found = stored(bucket_pairs(singles, rare, num, den), "single-buckets")
+    singles = indexed.select(F.explode("prefix").alias("key"), "cls", size.alias("n"))
+    found = stored(bucket_pairs(singles, rare, num, den), "single-buckets", release=True)
     flagged = found.where("kind = 1").select(F.col("b").alias("cls")).distinct()
-    combos = once.join(flagged, "cls").select(F.explode("combos").alias("key"), "cls", "n", F.lit(True).alias("sound"))
-    combined = stored(bucket_pairs(combos, rare, num, den), "combination-buckets")
+    combos = indexed.select("cls", "combos", F.col("n")).join(flagged, "cls").select(F.explode("combos").alias("key"), "cls", "n")
+    combined = stored(bucket_pairs(combos, rare, num, den), "combination-buckets", release=True)
 
-    bits = once.select("cls", "n", "bits")
+    bits = indexed.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     pairs = found.where("kind = 0").unionByName(combined.where("kind = 0")).select("a", "b").distinct()
     left = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
@@ -299,7 +308,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         edges = verify(pdf["cls"].to_numpy(), own, folded([bitmap(s) for s in own]), num, den, cut)
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    links = stored(meets.select("label", "p", "q", "part", "cls", "tokens").groupBy("label", "p", "q").applyInPandas(check, "a long, b long"), "links")
+    links = stored(meets.select("label", "p", "q", "part", "cls", "tokens").groupBy("label", "p", "q").applyInPandas(check, "a long, b long"), "links", release=True)
     linked = components(links, "linked-classes")
     firsts = linked.join(by_class, linked["v"] == by_class["cls"]).groupBy("label").agg(F.min("rep").alias("first"))
     component = by_class.join(linked, by_class["cls"] == linked["v"], "left").join(firsts, "label", "left").select("cls", F.coalesce("first", "rep").alias("first"))

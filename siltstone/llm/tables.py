@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get texts in Arrow batches of a few MB: 10,000 long texts at once would fill their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,12 +32,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, release: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
+
+    release: asks the driver to collect its garbage then. Spark deletes shuffle files only after that, so a chain of
+    large shuffles would otherwise hold all of them on disk at once.
+    """
+    bounded_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
