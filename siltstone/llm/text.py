@@ -73,11 +73,11 @@ def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return slice_hashes(prefix(raw), starts, ends), owner.astype(np.int64)
 
 
-def blocks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges of texts of about `most` bytes each; a longer text is a range of its own."""
+def blocks(texts: list[bytes], most: int = 1 << 21, rows: int = 20_000) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of texts of about `most` bytes and at most `rows` texts each; a longer text is a range of its own."""
     start = size = 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+        if i > start and (size + len(t) > most or i - start >= rows):
             yield start, i
             start, size = i, 0
         size += len(t)
