@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, warc
+from siltstone.llm import chunk_bpe, katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, warc
 from siltstone.llm.tables import crc32_mod, documents, table
 
 
@@ -21,6 +21,10 @@ def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(documents(spark, sf_dir), crc32_mod("doc_id", 10) != 0)[0]
 
 
+def op2_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.digest(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
