@@ -8,7 +8,7 @@ does in the text. The joins are repaired: what stands between the last white spa
 next is re-encoded together with one more word on each side, and the window grows by a word on a side until its tokens
 there agree exactly with those of the chunk. Decoding joins the tokens' strings the way the library does.
 
-Words keep their ids in a bounded cache within a task. Texts travel between tasks compressed.
+Words keep their ids in a bounded cache within a task. The texts are dealt once, by a hash of id and text.
 Defined results: null and empty texts have no ids; repeated rows each give their row; extra columns are ignored
 whatever their names; an empty table gives an empty result.
 """
@@ -22,11 +22,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.tables import partitions, stored
+from siltstone.llm.tables import partitions
 from siltstone.llm.text import as_bytes, blocks, prefix, slice_hashes
 
 WINDOW = 32
@@ -34,7 +33,7 @@ WINDOW = 32
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
-def cut_points(raw: list[bytes], bits: int = 9, least: int = 128, most: int = 4096) -> list[np.ndarray]:
+def cut_points(raw: list[bytes], bits: int = 10, least: int = 128, most: int = 4096) -> list[np.ndarray]:
     """Ends of the chunks of each text: where `bits` bits of the rolling hash are zero, at least `least` bytes after the
     cut before and never inside a character; stretches without such a place are cut every `most` bytes."""
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -157,57 +156,62 @@ def join_chunks(raw: bytes, ends: list[int], chunks: list[Chunk], words: Words)
     return b"".join(parts)
 
 
+def slices(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    edge = [0, *ends.tolist()]
+    return [raw[s:e] for s, e in zip(edge, edge[1:], strict=False)]
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and `ids` (little-endian unsigned 32-bit token ids, packed) of every row."""
     n_parts = partitions(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
+    # one exchange of the texts serves all three passes: each takes all its columns, so Spark sees the same exchange
+    dealt = rows.repartition(n_parts, "uid")
 
     def chop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdCompressor(level=3)
         for pdf in batches:
-            raw = [as_bytes(t) for t in pdf["text"]]
+            raw, ids = [as_bytes(t) for t in pdf["text"]], pdf["uid"].to_numpy()
             for s, e in blocks(raw):
                 ends = cut_points(raw[s:e])
                 sums = prefix(np.frombuffer(b"".join(raw[s:e]), dtype=np.uint8))
-                first, hashes = 0, []
-                for b, x in zip(raw[s:e], ends, strict=True):
-                    hashes.append(slice_hashes(sums, first + np.r_[0, x[:-1]].astype(np.int64)[: len(x)], first + x).view(np.int64))
-                    first += len(b)
-                part = pdf.iloc[s:e]
-                yield pd.DataFrame({"id": part["id"], "uid": part["uid"], "z": [z.compress(b) for b in raw[s:e]], "ends": [x.astype(np.uint32).tobytes() for x in ends], "hashes": hashes})
-
-    # every use of `chopped` below is the same exchange, which Spark runs once
-    chopped = rows.mapInPandas(chop, f"id {kind}, uid long, z binary, ends binary, hashes array<long>").repartition(n_parts, "uid")
-    places = chopped.select("uid", F.posexplode("hashes").alias("k", "hash"))
+                first = np.cumsum([0, *(len(b) for b in raw[s:e])])[:-1]
+                n = [len(x) for x in ends]
+                starts = np.concatenate([first[k] + np.r_[0, x[:-1]] for k, x in enumerate(ends) if len(x)] or [np.zeros(0)]).astype(np.int64)
+                stops = np.concatenate([first[k] + x for k, x in enumerate(ends) if len(x)] or [np.zeros(0)]).astype(np.int64)
+                place = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"uid": np.repeat(ids[s:e], n), "k": place, "hash": slice_hashes(sums, starts, stops).view(np.int64)})
+
+    places = dealt.mapInPandas(chop, "uid long, k int, hash long")
     shared = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("uid", "k")).alias("first")).where("n > 1")
     wanted = shared.select(F.col("first.uid").alias("uid"), F.struct("hash", F.col("first.k").alias("k")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
 
     def encode_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, words = zstandard.ZstdDecompressor(), Words(path)
+        words = Words(path)
         for pdf in batches:
             out = []
-            for data, ends, want in zip(pdf["z"], pdf["ends"], pdf["wanted"], strict=True):
-                raw, edge = z.decompress(data), np.r_[0, np.frombuffer(ends, dtype=np.uint32)]
-                out += [(w["hash"], encode_chunk(raw[edge[w["k"]] : edge[w["k"] + 1]], words).packed()) for w in want]
+            for text, want in zip(pdf["text"], pdf["wanted"], strict=True):
+                raw = as_bytes(text)
+                own = slices(raw, cut_points([raw])[0])
+                out += [(w["hash"], encode_chunk(own[w["k"]], words).packed()) for w in want]
             yield pd.DataFrame(out, columns=["hash", "chunk"])
 
-    encoded = chopped.select("uid", "z", "ends").join(wanted, "uid").mapInPandas(encode_shared, "hash long, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk"))
-    uses = places.join(encoded, "hash").groupBy("uid", "k").agg(F.first("chunk").alias("chunk")).groupBy("uid").agg(F.collect_list(F.struct("k", "chunk")).alias("known"))
+    encoded = dealt.join(wanted, "uid").mapInPandas(encode_shared, "hash long, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk"))
+    uses = places.join(encoded, "hash").groupBy("uid").agg(F.collect_list(F.struct("k", "chunk")).alias("known"))  # no more than a text's own chunks
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, words = zstandard.ZstdDecompressor(), Words(path)
+        words = Words(path)
         for pdf in batches:
-            out = []
-            for data, ends, known in zip(pdf["z"], pdf["ends"], pdf["known"], strict=True):
-                raw, edge = z.decompress(data), [0, *np.frombuffer(ends, dtype=np.uint32).tolist()]
-                have = {} if known is None else {x["k"]: x["chunk"] for x in known}
-                chunks = [Chunk.unpacked(have[k]) if k in have else encode_chunk(raw[edge[k] : edge[k + 1]], words) for k in range(len(edge) - 1)]
-                out.append(join_chunks(raw, edge[1:], chunks, words))
+            raw, out = [as_bytes(t) for t in pdf["text"]], []
+            for s, e in blocks(raw):
+                for b, ends, known in zip(raw[s:e], cut_points(raw[s:e]), pdf["known"].iloc[s:e], strict=True):
+                    have = {} if known is None else {x["k"]: x["chunk"] for x in known}
+                    own = [Chunk.unpacked(have[k]) if k in have else encode_chunk(c, words) for k, c in enumerate(slices(b, ends))]
+                    out.append(join_chunks(b, ends.tolist(), own, words))
             yield pd.DataFrame({"id": pdf["id"], "ids": out})
 
-    out = chopped.select("id", "uid", "z", "ends").join(uses, "uid", "left").select("id", "z", "ends", "known")
-    return out.mapInPandas(assemble, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    out = dealt.join(uses, "uid", "left").mapInPandas(assemble, f"id {kind}, ids binary")
+    return out.withColumnRenamed("id", id_col)
 
 
 class Decoder:
