@@ -37,6 +37,7 @@ from siltstone.llm.text import BASE, as_bytes, blocks, mix, runs, word_hashes
 
 _PART_BYTES = 24 << 20
 _SEEN = 500_000
+_MARKS = 1 << 25
 _SHORT = np.uint64(16)
 
 
@@ -195,6 +196,25 @@ def bucket_pairs(rows: DataFrame, rare: int, num: int, den: int) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInPandas(run, "kind int, a long, b long")
 
 
+def marker(classes: DataFrame):
+    """A filter for rows by cls: true for all given classes and for a few others, which only adds candidates.
+
+    The classes are folded into `_MARKS` bits (4 MB, whatever their number) instead of joined: a join would deal out
+    the arrays of all documents once more.
+    """
+    words = classes.selectExpr(f"pmod(cls, {_MARKS}) div 64 as w", f"shiftleft(1L, cast(pmod(cls, {_MARKS}) % 64 as int)) as bit")
+    bits = np.zeros(_MARKS // 64, dtype=np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        bits[r["w"]] = r["bits"]
+
+    @F.pandas_udf("boolean")
+    def marked(cls: pd.Series) -> pd.Series:
+        p = cls.to_numpy() % _MARKS
+        return pd.Series((bits[p // 64] >> (p % 64)) & 1 == 1)
+
+    return marked
+
+
 def forest_of(cls: np.ndarray, n: np.ndarray, maps: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Spanning forest of the compatible pairs among the members of one bucket (bitmaps only, blockwise)."""
     order = np.argsort(n, kind="stable")
@@ -250,8 +270,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     singles = indexed.select(F.explode("prefix").alias("key"), "cls", size.alias("n"))
     found = stored(bucket_pairs(singles, rare, num, den), "single-buckets", release=True)
-    flagged = found.where("kind = 1").select(F.col("b").alias("cls")).distinct()
-    combos = indexed.select("cls", "combos", F.col("n")).join(flagged, "cls").select(F.explode("combos").alias("key"), "cls", "n")
+    flagged = marker(found.where("kind = 1").select(F.col("b").alias("cls")))
+    combos = indexed.where(flagged("cls")).select(F.explode("combos").alias("key"), "cls", "n")
     combined = stored(bucket_pairs(combos, rare, num, den), "combination-buckets", release=True)
 
     bits = indexed.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
