@@ -138,9 +138,13 @@ def packed_bigrams(df: DataFrame, train: str, spread: Spread, per_batch: int = 2
 
         def flush() -> pd.DataFrame:
             w, h, text, trained = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = spread.of(w, h)
+            held.clear()
+            bucket = spread.of(w, h).astype(np.int32)
             order = np.lexsort((h, w, bucket))
-            w, h, text, trained, bucket = w[order], h[order], text[order], trained[order], bucket[order]
+            w = w[order]
+            h = h[order]
+            text, trained, bucket = text[order], trained[order], bucket[order]
+            del order
             at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])
             seen, each = np.add.reduceat(trained.astype(np.int64), at), np.diff(np.r_[at, len(w)])
             own, out = np.array(ids, dtype=np.int64).tobytes(), []  # (id, has an id, trained) of each text
@@ -160,9 +164,9 @@ def packed_bigrams(df: DataFrame, train: str, spread: Spread, per_batch: int = 2
             for s, e in blocks(raw):
                 if held and (size > per_batch or len(ids) + e - s > 60_000):
                     yield flush()
-                    held, ids, size, number = [], [], 0, number + 1
+                    ids, size, number = [], 0, number + 1
                 w, h, text = tokens(raw[s:e])
-                held.append((w, h, text + len(ids), trained[s:e][text]))
+                held.append((w, h, (text + len(ids)).astype(np.uint16), trained[s:e][text]))
                 ids += rows[s:e]
                 size += len(w)
         if held:
@@ -194,7 +198,7 @@ def summary(unigrams: DataFrame) -> Unigrams:
     return Unigrams(total, row["words"], d, 1 - kept / total if total else 1.0)
 
 
-_KINDS = "kind int, a long, b long, x double, y double, n1 int, n2 int, n3 int, n4 int, n5 int, total long, blob binary, runs binary, h binary, c binary"
+_KINDS = "kind int, a long, b long, blob binary, runs binary, h binary, c binary"
 _SUMS, _IDS, _CONTEXT, _UNSEEN, _BIGRAMS, _COUNTS = range(6)
 
 
@@ -254,7 +258,7 @@ def settle(packed: DataFrame, unigrams: DataFrame, spread: Spread, uni: Unigrams
         sent = left[left["ids"].notna()]
         frames.append(rows_of(_IDS, len(sent), a=sent["batch"].to_numpy(), blob=sent["ids"].to_numpy()))
         lost_h, lost_place = np.concatenate(lost_h), np.concatenate(lost_place)
-        frames.append(rows_of(_UNSEEN, len(lost_h), a=lost_h.view(np.int64), b=lost_place))
+        frames.append(rows_of(_UNSEEN, 1, h=[six(lost_h)], blob=[lost_place.astype(np.int64).tobytes()]))
 
         trained = sums > 0
         bw, bh, bc, lower = w[firsts][trained], h[firsts][trained], sums[trained], p_w[firsts][trained]
@@ -268,7 +272,8 @@ def settle(packed: DataFrame, unigrams: DataFrame, spread: Spread, uni: Unigrams
         if len(at):
             by = lambda v: np.add.reduceat(v, at)
             freed = by(np.where(bc > TOP, bc / (bc + 1.0), 0.0))
-            frames.append(rows_of(_CONTEXT, len(at), a=bh[at].view(np.int64), x=freed, y=by(lower), total=by(bc), **{f"n{r}": by((bc == r).astype(np.int64)) for r in range(1, TOP + 1)}))
+            counts = np.stack([by(bc), *(by((bc == r).astype(np.int64)) for r in range(1, TOP + 1))])
+            frames.append(rows_of(_CONTEXT, 1, h=[six(bh[at])], c=[counts.astype(np.uint32).tobytes()], blob=[freed.tobytes()], runs=[by(lower).tobytes()]))
         return pd.concat(frames, ignore_index=True)
 
     left = packed.groupBy("bucket")
@@ -290,8 +295,17 @@ class Tables:
 
     def contexts(self) -> DataFrame:
         """h, total (its occurrences), alpha: the exactly normalised backoff weight."""
-        rows = self.settled.where(F.col("kind") == _CONTEXT).groupBy(F.col("a").alias("h"))
-        sums = rows.agg(*(F.sum(c).alias(c) for c in ("x", "y", "total", *(f"n{r}" for r in range(1, TOP + 1)))))
+        names = ["total", *(f"n{r}" for r in range(1, TOP + 1))]
+
+        def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    h, counts = unsix(r.h), np.frombuffer(r.c, dtype=np.uint32).reshape(TOP + 1, -1).astype(np.int64)
+                    yield pd.DataFrame({"h": h.view(np.int64), "x": np.frombuffer(r.blob), "y": np.frombuffer(r.runs), **dict(zip(names, counts, strict=True))})
+
+        packed = self.settled.where(F.col("kind") == _CONTEXT).select("h", "c", "blob", "runs")
+        rows = packed.mapInPandas(unpack, "h long, x double, y double, " + ", ".join(f"{n} long" for n in names)).groupBy("h")
+        sums = rows.agg(*(F.sum(c).alias(c) for c in ("x", "y", *names)))
         freed = F.col("x") + sum((F.lit(float((1 - self.d[r]) * r)) * F.col(f"n{r}") for r in range(1, TOP + 1)), F.lit(0.0))
         return sums.select("h", "total", (freed / F.col("total") / (1 - F.col("y"))).alias("alpha"))
 
@@ -309,7 +323,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     settled = stored(settle(packed_bigrams(rows, "train", spread), unigrams, spread, uni), "katz", partition_by=["kind"], release=True)
     few = {r["a"]: r["n"] for r in settled.where(F.col("kind") == _COUNTS).groupBy("a").agg(F.sum("b").alias("n")).collect()}
     model = Tables(unigrams, settled, uni, discounts(few))
-    start = settled.where((F.col("kind") == _CONTEXT) & (F.col("a") == START)).agg(F.sum("total").alias("n")).first()["n"] or 0
+    start = rows.where("train").count()  # every training text starts once
     logs = np.log10(model.d)
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -325,7 +339,13 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     texts = settled.where(F.col("kind").isin(_SUMS, _IDS)).select("kind", F.col("a").alias("batch"), "b", "blob")
     per_text = texts.groupBy("batch").applyInPandas(total, "place long, id long, held_out boolean, n_tokens long, n_known long, base_score double, sums double")
-    lost = settled.where(F.col("kind") == _UNSEEN).groupBy(F.col("a").alias("h"), F.col("b").alias("place")).agg(F.count("*").alias("n"))
+
+    def unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for h, places in zip(pdf["h"], pdf["blob"], strict=True):
+                yield pd.DataFrame({"h": unsix(h).view(np.int64), "place": np.frombuffer(places, dtype=np.int64)})
+
+    lost = settled.where(F.col("kind") == _UNSEEN).select("h", "blob").mapInPandas(unseen, "h long, place long").groupBy("h", "place").agg(F.count("*").alias("n"))
     weights = lost.join(model.contexts(), "h").groupBy("place").agg(F.sum(F.col("n") * (F.log10("alpha") + F.log10("total"))).alias("backoff"))
     out = per_text.join(weights, "place", "left")
     result = out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", (F.col("sums") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
