@@ -8,7 +8,7 @@ does in the text. The joins are repaired: what stands between the last white spa
 next is re-encoded together with one more word on each side, and the window grows by a word on a side until its tokens
 there agree exactly with those of the chunk. Decoding joins the tokens' strings the way the library does.
 
-Words keep their ids in a bounded cache within a task. The texts are dealt once, by a hash of id and text.
+Words keep their ids in a bounded cache within a task. The texts are dealt once, compressed, by a hash of id and text.
 Defined results: null and empty texts have no ids; repeated rows each give their row; extra columns are ignored
 whatever their names; an empty table gives an empty result.
 """
@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def cut_points(raw: list[bytes], bits: int = 10, least: int = 128, most: int = 4
 class Words(dict):
     """word -> its ids, little-endian unsigned 32-bit; a bounded cache in front of the library."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -85,6 +87,17 @@ class Words(dict):
         return ids
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """Kept by a worker from one task to the next."""
+    return Words(path)
+
+
+def unpacked(column: pd.Series) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(b) for b in column]
+
+
 class Chunk(NamedTuple):
     """A chunk encoded alone: bytes before its first and after its last white space, how many bytes of ids they have,
     whether it has no white space at all, and its ids."""
@@ -166,12 +179,19 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     n_parts = partitions(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
-    # one exchange of the texts serves all three passes: each takes all its columns, so Spark sees the same exchange
-    dealt = rows.repartition(n_parts, "uid")
+
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=6)
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "z": [z.compress(as_bytes(t)) for t in pdf["text"]], "uid": pdf["uid"]})
+
+    # one exchange of the compressed texts serves all three passes: each takes all its columns and hands on none of them
+    # under their own names, so Spark sees the same exchange and runs it once
+    dealt = rows.mapInPandas(squeeze, f"id {kind}, z binary, uid long not null").repartition(n_parts, "uid")
 
     def chop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raw, ids = [as_bytes(t) for t in pdf["text"]], pdf["uid"].to_numpy()
+            raw, ids = unpacked(pdf["z"]), pdf["uid"].to_numpy()
             for s, e in blocks(raw):
                 ends = cut_points(raw[s:e])
                 sums = prefix(np.frombuffer(b"".join(raw[s:e]), dtype=np.uint8))
@@ -180,29 +200,28 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 starts = np.concatenate([first[k] + np.r_[0, x[:-1]] for k, x in enumerate(ends) if len(x)] or [np.zeros(0)]).astype(np.int64)
                 stops = np.concatenate([first[k] + x for k, x in enumerate(ends) if len(x)] or [np.zeros(0)]).astype(np.int64)
                 place = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"uid": np.repeat(ids[s:e], n), "k": place, "hash": slice_hashes(sums, starts, stops).view(np.int64)})
+                yield pd.DataFrame({"of": np.repeat(ids[s:e], n), "k": place, "hash": slice_hashes(sums, starts, stops).view(np.int64)})
 
-    places = dealt.mapInPandas(chop, "uid long, k int, hash long")
-    shared = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("uid", "k")).alias("first")).where("n > 1")
-    wanted = shared.select(F.col("first.uid").alias("uid"), F.struct("hash", F.col("first.k").alias("k")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
+    places = dealt.mapInPandas(chop, "of long, k int, hash long")
+    shared = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("of", "k")).alias("first")).where("n > 1")
+    wanted = shared.select(F.col("first.of").alias("of"), F.struct("hash", F.col("first.k").alias("k")).alias("w")).groupBy("of").agg(F.collect_list("w").alias("wanted"))
 
     def encode_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(path)
+        words = words_of(path)
         for pdf in batches:
             out = []
-            for text, want in zip(pdf["text"], pdf["wanted"], strict=True):
-                raw = as_bytes(text)
+            for raw, want in zip(unpacked(pdf["z"]), pdf["wanted"], strict=True):
                 own = slices(raw, cut_points([raw])[0])
                 out += [(w["hash"], encode_chunk(own[w["k"]], words).packed()) for w in want]
             yield pd.DataFrame(out, columns=["hash", "chunk"])
 
-    encoded = dealt.join(wanted, "uid").mapInPandas(encode_shared, "hash long, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk"))
-    uses = places.join(encoded, "hash").groupBy("uid").agg(F.collect_list(F.struct("k", "chunk")).alias("known"))  # no more than a text's own chunks
+    encoded = dealt.join(wanted, F.col("uid") == F.col("of")).mapInPandas(encode_shared, "hash long, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk"))
+    uses = places.join(encoded, "hash").groupBy("of").agg(F.collect_list(F.struct("k", "chunk")).alias("known"))  # no more than a text's own chunks
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(path)
+        words = words_of(path)
         for pdf in batches:
-            raw, out = [as_bytes(t) for t in pdf["text"]], []
+            raw, out = unpacked(pdf["z"]), []
             for s, e in blocks(raw):
                 for b, ends, known in zip(raw[s:e], cut_points(raw[s:e]), pdf["known"].iloc[s:e], strict=True):
                     have = {} if known is None else {x["k"]: x["chunk"] for x in known}
@@ -210,7 +229,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     out.append(join_chunks(b, ends.tolist(), own, words))
             yield pd.DataFrame({"id": pdf["id"], "ids": out})
 
-    out = dealt.join(uses, "uid", "left").mapInPandas(assemble, f"id {kind}, ids binary")
+    out = dealt.join(uses, F.col("uid") == F.col("of"), "left").mapInPandas(assemble, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -232,12 +251,17 @@ class Decoder:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, ids and `decoded`, the text of the packed ids; null ids have a null text."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = Decoder(path)
+        decoder = decoder_of(path)
         for ids in batches:
             yield pd.Series([None if b is None else decoder(np.frombuffer(b, dtype="<u4").tolist()) for b in ids], dtype=object)
 
@@ -247,9 +271,15 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes every text, then decodes its ids."""
 
-    @F.pandas_udf("string")
-    def ids_sha(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(" ".join(map(str, np.frombuffer(b, dtype="<u4").tolist())).encode()).hexdigest() for b in ids], dtype=object)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = decoder_of(path)
+        for pdf in batches:
+            rows = []
+            for i, b in zip(pdf["id"], pdf["ids"], strict=True):
+                ids = np.frombuffer(b, dtype="<u4").tolist()
+                rows.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoder(ids).encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    both = decode(encode(df, path, id_col, text_col), path, id_col)
-    return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), ids_sha("ids").alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    kind = df.schema[id_col].dataType.simpleString()
+    encoded = encode(df, path, id_col, text_col).withColumnRenamed(id_col, "id")
+    return encoded.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
