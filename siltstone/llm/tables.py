@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,9 +44,10 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, rele
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if release:
+    for _ in range(2 * release):
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works in the background
     return out
 
 
