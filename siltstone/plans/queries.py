@@ -17,6 +17,7 @@ from siltstone.plans import oracles as O
 from siltstone.plans import pipeline as B
 from siltstone.sources import logs as L
 from siltstone.sources.corpus import raw_logs
+from siltstone.sources.scratch import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +40,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf: str) -> DataFrame:
-    return with_fingerprint(raw_logs(spark, sf))
+    """Materialised: a filter or join on a fingerprint would otherwise repeat the whole template fold below it."""
+    return materialized(with_fingerprint(raw_logs(spark, sf)), "marked")
 
 
 def corpus_sql(select: str) -> str:
