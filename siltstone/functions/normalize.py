@@ -85,8 +85,7 @@ def normalize_template(c: Column) -> Column:
     long = F.octet_length(c) > MOST_BYTES
     text = F.when(long, F.make_valid_utf8(F.substring(c.cast("binary"), 1, MOST_BYTES).cast("string"))).otherwise(c)
     folded = F.when(is_ascii(c), steps(text)).otherwise(steps(text, False))
-    done = remaining_numbers(folded)
-    return F.when(long, F.concat(done, F.lit(" <TRUNCATED>"))).otherwise(done)
+    return F.concat(remaining_numbers(folded), F.when(long, " <TRUNCATED>").otherwise(""))
 
 
 def detect_value_type(c: Column) -> Column:
