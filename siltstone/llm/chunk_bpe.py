@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -67,7 +68,7 @@ def cut_points(raw: list[bytes], bits: int = 10, least: int = 128, most: int = 4
 class Words(dict):
     """word -> its ids, little-endian unsigned 32-bit; a bounded cache in front of the library."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -76,10 +77,16 @@ class Words(dict):
         self.tok.no_padding()
 
     def library(self, text: bytes) -> bytes:
-        return np.array(self.tok.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tok.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()  # native order: little-endian on all machines Spark runs on
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.library(word)
+        core = word.rstrip(b".,;:!?")
+        if word.isascii() and b"<" not in word and not word.islower() and word.lower() != word:
+            ids = self[word.lower()]  # the normaliser lowers; special strings, which it leaves alone, hold a "<"
+        elif core != word and core[-1:].isalnum():
+            ids = self[core] + self[word[len(core) :]]  # signs after a letter or digit are a pre-token of their own
+        else:
+            ids = self.library(word)
         if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:
@@ -174,8 +181,9 @@ def slices(raw: bytes, ends: np.ndarray) -> list[bytes]:
     return [raw[s:e] for s, e in zip(edge, edge[1:], strict=False)]
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and `ids` (little-endian unsigned 32-bit token ids, packed) of every row."""
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", finish=None, columns: str = "ids binary") -> DataFrame:
+    """id and `ids` (little-endian unsigned 32-bit token ids, packed) of every row. With `finish`, a function of a list
+    of packed ids, the frame that it returns (of the given columns) takes their place within the same pass."""
     n_parts = partitions(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
@@ -227,9 +235,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     have = {} if known is None else {x["k"]: x["chunk"] for x in known}
                     own = [Chunk.unpacked(have[k]) if k in have else encode_chunk(c, words) for k, c in enumerate(slices(b, ends))]
                     out.append(join_chunks(b, ends.tolist(), own, words))
-            yield pd.DataFrame({"id": pdf["id"], "ids": out})
+            made = pd.DataFrame({"ids": out}) if finish is None else finish(out)
+            made.insert(0, "id", pdf["id"].to_numpy())
+            yield made
 
-    out = dealt.join(uses, F.col("uid") == F.col("of"), "left").mapInPandas(assemble, f"id {kind}, ids binary")
+    out = dealt.join(uses, F.col("uid") == F.col("of"), "left").mapInPandas(assemble, f"id {kind}, {columns}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -271,15 +281,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes every text, then decodes its ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = decoder_of(path)
-        for pdf in batches:
-            rows = []
-            for i, b in zip(pdf["id"], pdf["ids"], strict=True):
-                ids = np.frombuffer(b, dtype="<u4").tolist()
-                rows.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoder(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(packed: list[bytes]) -> pd.DataFrame:
+        decoder, rows = decoder_of(path), []
+        for b in packed:
+            ids = np.frombuffer(b, dtype="<u4").tolist()
+            rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoder(ids).encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    encoded = encode(df, path, id_col, text_col).withColumnRenamed(id_col, "id")
-    return encoded.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return encode(df, path, id_col, text_col, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
