@@ -5,8 +5,9 @@
 2. The histogram of lengths (at most `capacity` entries, whatever the corpus) goes to the driver, where a bin
    completion search plans the bins: it takes the largest length left, enumerates the undominated fillings around it
    in best-fit order, applies one to as many bins as the counts allow and goes on; the first descent is the best-fit
-   incumbent, and branches whose waste so far cannot beat the incumbent are pruned. `nodes` bounds the search, never
-   the result: every piece is placed whatever the bound.
+   incumbent. It then backtracks depth-first over the steps with two fillings or more and prunes branches that cannot
+   beat the incumbent. `nodes` bounds the alternatives tried (forced steps are free) and `width` the fillings of a
+   step, never the result: every piece is placed whatever the bounds.
 3. The plan is a list of slots, each a run of ranks of one length. Pieces get their rank within their length from
    per-partition counts and an offset, so no length has to meet in one task, and look their slot up.
 
@@ -56,92 +57,112 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, seen long")
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated ways to fill `room`, least waste first: no unused length can be added or swapped in for a shorter one that is used.
+def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(waste, ((length, how many), ...)) of undominated ways to fill `room`, least waste first.
 
-    lengths: descending, those with counts left. At most `most` fillings are looked for, in best-fit (largest first) order.
+    Dominated: an unused length can be added, or swapped in for a shorter one that is used. lengths: descending, those
+    with counts left. At most `most` fillings are looked for, in best-fit (largest first) order.
     """
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    least, work = lengths[-1] if lengths else room + 1, [0]
+    rising, work = lengths[::-1], [0]
+    least = rising[0] if rising else room + 1
+
+    def spare(low: int, high: int, used: dict[int, int]) -> bool:
+        """An unused length in [low, high]."""
+        for i in range(bisect.bisect_left(rising, low), bisect.bisect_right(rising, high)):
+            if counts[rising[i]] > used.get(rising[i], 0):
+                return True
+        return False
 
     def walk(at: int, left: int, used: list[tuple[int, int]]) -> None:
         work[0] += 1
-        if len(found) >= most or work[0] > 50 * most:
+        if left < least or at >= len(lengths):
+            own = dict(used)
+            if not spare(least, left, own) and not any(spare(n + 1, n + left, own) for n in own):
+                found.append((left, tuple(used)))
             return
-        grew = False
-        for i in range(at, len(lengths)):
+        for i in range(max(at, len(rising) - bisect.bisect_right(rising, left)), len(lengths)):
             n = lengths[i]
-            if n > left:
-                continue
-            if left - n < least or left == n:  # it is the last: a shorter one in its place is dominated
-                found.append((left - n, (*used, (n, 1))))
-                return
             for k in range(min(counts[n], left // n), 0, -1):
-                grew = True
                 walk(i + 1, left - k * n, [*used, (n, k)])
-                if len(found) >= most:
+                if len(found) >= most or work[0] > 50 * most and found:
                     return
-            if len(found) >= most:
+            if n == left:  # whatever is shorter is dominated
                 return
-        if not grew:
-            found.append((left, tuple(used)))
+        walk(len(lengths), left, used)
 
-    start = bisect.bisect_left([-x for x in lengths], -room)
-    walk(start, room, [])
+    walk(0, room, [])
     return sorted(found, key=lambda f: (f[0], [(-n, k) for n, k in f[1]]))
 
 
 def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 4000, width: int = 8) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns ((length, how many a bin), ...) and the number of bins of each. Bin completion over a histogram of lengths.
 
-    Depth-first: the first descent always takes the best-fitting filling and gives the incumbent. Later descents take
-    other fillings at one node after another, pruned as soon as the waste so far leaves no room for a better total.
+    Depth-first with backtracking: each step fills the bins of the largest length left. The first descent always takes
+    the best-fitting filling, as often as the counts allow, and gives the incumbent. Steps with a single filling are
+    forced; at all others the untried fillings stay open, those that repeat also for one bin alone. The search goes back
+    to the last open step, takes its next filling (one of `nodes` alternatives) and best-fits from there on, pruned as
+    soon as the bins so far and those that the rest needs at least are no fewer than the incumbent's.
     """
     total = sum(n * c for n, c in histogram.items())
     bound = -(-total // capacity)
-    best: list | None = None
-    best_bins, spent = 1 << 62, 0
-
-    def descend(skips: dict[int, int]) -> list | None:
-        nonlocal spent
-        counts = {n: c for n, c in histogram.items() if c}
-        lengths = sorted(counts, reverse=True)
-        done, waste, depth = [], 0, 0
-        while lengths:
-            spent += 1
-            big = lengths[0]
-            counts[big] -= 1
-            ways = fillings(capacity - big, [n for n in lengths if counts[n] and n <= capacity - big], counts, width)
-            counts[big] += 1
-            way = ways[min(skips.get(depth, 0), len(ways) - 1)][1] if ways else ()
-            merged: dict[int, int] = {big: 1}
+    counts = {n: c for n, c in histogram.items() if c}
+    rising = sorted(counts)
+    done: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    untried: list[tuple[int, list[tuple[tuple[tuple[int, int], ...], int]]]] = []  # steps before it and what is left to try
+    best: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    best_bins, bins, placed, tried = 1 << 62, 0, 0, 0
+
+    def put(pattern: tuple[tuple[int, int], ...], times: int) -> None:
+        """Fills `times` bins, or empties them where negative."""
+        nonlocal bins, placed
+        for n, k in pattern:
+            had = counts.get(n, 0)
+            counts[n] = had - k * times
+            if not had:
+                bisect.insort(rising, n)
+            elif not counts[n]:
+                rising.pop(bisect.bisect_left(rising, n))
+                del counts[n]
+        bins += times
+        placed += times * sum(n * k for n, k in pattern)
+
+    def take(pattern: tuple[tuple[int, int], ...], times: int) -> None:
+        done.append((pattern, times))
+        put(pattern, times)
+
+    def choices() -> list[tuple[tuple[tuple[int, int], ...], int]]:
+        big = rising[-1]
+        counts[big] -= 1
+        room = capacity - big
+        ways = fillings(room, [n for n in reversed(rising[: bisect.bisect_right(rising, room)]) if counts[n]], counts, width)
+        counts[big] += 1
+        out = []
+        for _, way in ways:
+            merged = {big: 1}
             for n, k in way:
                 merged[n] = merged.get(n, 0) + k
-            times = min(counts[n] // k for n, k in merged.items())
-            for n, k in merged.items():
-                counts[n] -= k * times
-                if not counts[n]:
-                    del counts[n]
-                    lengths.pop(bisect.bisect_left([-x for x in lengths], -n))
-            done.append((tuple(sorted(merged.items(), reverse=True)), times))
-            waste += times * (capacity - sum(n * k for n, k in merged.items()))
-            if lengths and waste > (best_bins - 1) * capacity - total:
-                return None  # even with no further waste it is no better than the incumbent
-            depth += 1
-        return done
-
-    best = descend({}) or []
-    best_bins = sum(t for _, t in best)
-    depth = 0
-    while best_bins > bound and spent < nodes and depth < len(best):
-        for skip in range(1, width):
-            if spent >= nodes:
-                break
-            other = descend({depth: skip})
-            if other is not None and (bins := sum(t for _, t in other)) < best_bins:
-                best, best_bins = other, bins
-        depth += 1
-    return best
+            out.append((tuple(sorted(merged.items(), reverse=True)), min(counts[n] // k for n, k in merged.items())))
+        return out + [(pattern, 1) for pattern, times in out if times > 1] if len(out) > 1 else out
+
+    while True:
+        while rising and bins - (placed - total) // capacity < best_bins:  # bins, and what the rest needs at least
+            ways = choices()
+            if len(ways) > 1:
+                untried.append((len(done), ways[:0:-1]))
+            take(*ways[0])
+        if not rising and bins < best_bins:
+            best, best_bins = list(done), bins
+        while untried and not untried[-1][1]:
+            untried.pop()
+        if best_bins <= bound or not untried or tried >= nodes:
+            return best
+        at, ways = untried[-1]
+        while len(done) > at:
+            pattern, times = done.pop()
+            put(pattern, -times)
+        take(*ways.pop())
+        tried += 1
 
 
 def slots(plan: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, np.ndarray]:

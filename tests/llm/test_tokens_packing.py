@@ -59,6 +59,18 @@ def test_plan_reaches_the_best_number_of_bins():
     assert packing.plan_bins({}, 10) == []
 
 
+def test_search_goes_on_behind_forced_steps():
+    assert sum(t for _, t in packing.plan_bins({4: 2, 6: 2, 18: 1, 10: 1, 11: 1, 20: 1, 12: 1, 5: 1}, 20)) == 5
+    assert sum(t for _, t in packing.plan_bins({8: 2, 19: 1, 3: 1, 4: 2, 11: 1, 2: 2, 18: 1}, 20)) == 4
+    plan = packing.plan_bins({25: 1, 27: 1, 20: 1, 93: 1, 15: 1, 14: 1, 79: 1, 50: 1, 21: 1, 44: 1, 100: 5}, 100, nodes=50)
+    assert sum(t for _, t in plan) == 9
+
+
+def test_fillings_are_whole_and_undominated():
+    assert packing.fillings(10, [9, 5, 2], {9: 1, 5: 2, 2: 1}, 8) == [(0, ((5, 2),)), (1, ((9, 1),))]
+    assert packing.fillings(10, [6, 5, 4], {6: 1, 5: 1, 4: 1}, 8) == [(0, ((6, 1), (4, 1)))]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
