@@ -10,9 +10,10 @@ n - ceil(n num / den) + 1 of each (the prefix). The join looks for them so:
    tokens in which a similar class may differ. Then at least one range is equal on both sides, with several tokens at
    once, which unrelated texts around a shared passage hardly ever are. m follows from the level floor(log n) to the
    base den / num; similar sizes are at most one level apart, so each class indexes its own level and the next. A class
-   whose tokens leave too many ranges empty pairs with the whole bucket of its frequent tokens instead.
+   whose tokens leave too many ranges empty meets the whole bucket of its frequent tokens instead, in blocks.
 3. Pairs are filtered by length and by parity bitmaps, whose Hamming distance never exceeds the symmetric difference.
-   Buckets above `rare` members compare bitmaps in place and pass on a spanning forest, never all pairs.
+   Buckets above `rare` members are cut into blocks of about `_BLOCK` that meet pairwise as rows; each pair of blocks
+   compares bitmaps and passes on a spanning forest, never all pairs.
 4. The connected groups of that candidate graph meet with their sets, in parts of bounded size; pairs not yet linked
    are verified exactly. Links of one group need no more than a spanning forest to give the components.
 
@@ -37,6 +38,7 @@ from siltstone.llm.text import BASE, as_bytes, blocks, mix, runs, word_hashes
 
 _PART_BYTES = 24 << 20
 _SEEN = 500_000
+_BLOCK = 4096
 _MARKS = 1 << 25
 _SHORT = np.uint64(16)
 
@@ -148,52 +150,87 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
 
 def bucket_pairs(rows: DataFrame, rare: int, num: int, den: int) -> DataFrame:
-    """From (key, cls, n; n negative: not sound): kind 0 rows are pairs (a, b) of small buckets, kind 1 rows members (key, cls) of large ones.
+    """From (key, cls, n): kind 0 rows are pairs (a, b) of small buckets, kind 1 rows members (key, cls, n) of large ones.
 
-    Rows are dealt by key and sorted, so buckets stream by in runs; only keys, classes and sizes of one bucket are held.
+    Rows are dealt by key and sorted, so buckets stream by in runs; at most `rare` members of a bucket wait for more,
+    those of a larger one are passed on as they come. n is negative for classes that are not sound.
     """
 
     def emit(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-        key, cls, n, sound = key[new], cls[new], np.abs(n[new]), n[new] > 0
         starts, size = runs(key)
-        a, b, kinds = [], [], []
+        a, b = [], []
         for g in np.unique(size[(size > 1) & (size <= rare)]).tolist():
             rows_at = starts[size == g][:, None] + np.arange(g)
             i, j = np.triu_indices(g, 1)
             x, y = rows_at[:, i].ravel(), rows_at[:, j].ravel()
-            near = np.minimum(n[x], n[y]).astype(np.int64) * den >= np.maximum(n[x], n[y]).astype(np.int64) * num
+            nx, ny = np.abs(n[x]).astype(np.int64), np.abs(n[y]).astype(np.int64)
+            near = np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num
             a.append(cls[x[near]])
             b.append(cls[y[near]])
-        for s, g in zip(starts[size > rare].tolist(), size[size > rare].tolist(), strict=True):
-            for q in s + np.flatnonzero(~sound[s : s + g]):
-                a.append(np.full(g, cls[q]))
-                b.append(cls[s : s + g])
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        pairs = np.sort(pairs, axis=1)
         big = np.repeat(size > rare, size)
         kinds = np.r_[np.zeros(len(pairs), dtype=np.int32), np.ones(int(big.sum()), dtype=np.int32)]
-        pairs = np.sort(pairs, axis=1)
-        return pd.DataFrame({"kind": kinds, "a": np.r_[pairs[:, 0], key[big]], "b": np.r_[pairs[:, 1], cls[big]]})
+        return pd.DataFrame({"kind": kinds, "a": np.r_[pairs[:, 0], key[big]], "b": np.r_[pairs[:, 1], cls[big]], "n": np.r_[np.zeros(len(pairs), dtype=np.int32), n[big]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[np.ndarray]] = []
+        held: list[np.ndarray] = []
+        large: tuple[int, int] | None = None  # key and last class of a large bucket that may go on
         for pdf in batches:
             cols = [pdf[c].to_numpy() for c in ("key", "cls", "n")]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
                 continue
+            new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+            if large == (cols[0][0], cols[1][0]):
+                new[0] = False
+            cols, held = [c[new] for c in cols], []
+            if large is not None:
+                stop = int(np.searchsorted(cols[0], large[0], side="right"))
+                if stop:
+                    yield pd.DataFrame({"kind": np.ones(stop, dtype=np.int32), "a": cols[0][:stop], "b": cols[1][:stop], "n": cols[2][:stop]})
+                    large = (large[0], cols[1][stop - 1])
+                cols = [c[stop:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                large = None
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
-            if cut or (held and held[-1][0][-1] != cols[0][0]):
-                done = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
-                held = []
-                if len(done[0]):
-                    yield emit(*done)
-            held.append([c[cut:] for c in cols])
+            if len(cols[0]) - cut > rare:
+                large, cut = (cols[0][-1], cols[1][-1]), len(cols[0])
+            if cut:
+                yield emit(*[c[:cut] for c in cols])
+            held = [c[cut:] for c in cols] if cut < len(cols[0]) else []
         if held:
-            yield emit(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield emit(*held)
 
     n = partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInPandas(run, "kind int, a long, b long")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInPandas(run, "kind int, a long, b long, n int")
+
+
+def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with block and blocks: rows of equal keys are dealt to blocks of about `_BLOCK` by their class."""
+    large = rows.groupBy(*keys).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+
+def met_with(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, p, q, cls, side): the members (key, cls, n) of large buckets that are not sound (side 1) and those of near sizes (side 0), by block pair."""
+    alone = members.where("n < 0")
+    span = alone.groupBy("key").agg(F.min(-F.col("n")).alias("least"), F.max(-F.col("n")).alias("most"))
+    near = members.join(span, "key").where(f"abs(n) * {den}L >= least * {num}L and abs(n) * {num}L <= most * {den}L").select("key", "cls")
+    one, other = in_blocks(alone.select("key", "cls"), ["key"]), in_blocks(near, ["key"])
+    both = one.select("key", F.col("blocks").alias("ones")).distinct().join(other.select("key", F.col("blocks").alias("others")).distinct(), "key")
+    first = one.join(both, "key").select("key", F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("q"), "cls", F.lit(1).alias("side"))
+    second = other.join(both, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("p"), F.col("block").alias("q"), "cls", F.lit(0).alias("side"))
+    return first.unionByName(second)
+
+
+def met_all(members: DataFrame) -> DataFrame:
+    """(key, p, q, cls, side): all members (key, cls) of large buckets by block pair, with side 0 everywhere where a block meets itself."""
+    rows = in_blocks(members.select("key", "cls"), ["key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "cls", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
 
 
 def marker(classes: DataFrame):
@@ -215,15 +252,17 @@ def marker(classes: DataFrame):
     return marked
 
 
-def forest_of(cls: np.ndarray, n: np.ndarray, maps: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the compatible pairs among the members of one bucket (bitmaps only, blockwise)."""
+def forest_of(cls: np.ndarray, n: np.ndarray, maps: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the compatible pairs among the members of one bucket (bitmaps only). With `side`, only pairs across count."""
     order = np.argsort(n, kind="stable")
     cls, n, maps = cls[order], n[order].astype(np.int64), maps[order]
+    side = None if side is None else side[order]
     label, out = np.arange(len(cls)), []
     for i in range(1, len(cls)):
         lo = int(np.searchsorted(n[:i], -(-n[i] * num // den)))
         while True:
-            left = lo + np.flatnonzero(label[lo:i] != label[i])
+            apart = label[lo:i] != label[i]
+            left = lo + np.flatnonzero(apart if side is None else apart & (side[lo:i] != side[i]))
             if not len(left):
                 break
             distance = np.bitwise_count(maps[left] ^ maps[i]).sum(axis=1, dtype=np.int64)
@@ -294,11 +333,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     screened = pairs.join(left, "a").join(right, "b").mapInPandas(screen, "a long, b long")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = forest_of(pdf["cls"].to_numpy(), pdf["n"].to_numpy(), folded(list(pdf["bits"])), num, den)
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
-
-    large = combined.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls")).join(bits, "cls")
-    candidates = stored(screened.unionByName(large.groupBy("key").applyInPandas(forest, "a long, b long")).distinct(), "candidates")
+        side = pdf["side"].to_numpy()
+        edges = forest_of(pdf["cls"].to_numpy(), pdf["n"].to_numpy(), folded(list(pdf["bits"])), num, den, side if side.any() else None)
+        return pd.DataFrame([e for e in edges if e[0] != e[1]], columns=["a", "b"]).astype("int64")
+
+    hot = [x.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n") for x in (found, combined)]
+    large = met_with(hot[0], num, den).withColumn("of", F.lit(0)).unionByName(met_all(hot[1]).withColumn("of", F.lit(1)))
+    forests = large.join(bits, "cls").groupBy("of", "key", "p", "q").applyInPandas(forest, "a long, b long")
+    candidates = stored(screened.unionByName(forests).distinct(), "candidates")
 
     groups = components(candidates, "candidate-groups")
     members = groups.join(by_class, groups["v"] == by_class["cls"]).select("label", "cls", "rep", "n")

@@ -56,5 +56,25 @@ def test_groups_with_frequent_tokens(spark, k, num, rare):
     assert got == brute(texts, k, num, 100)
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_short_texts_around_one_frequent_shingle(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "_BLOCK", block, raising=False)
+    rng = random.Random(block)
+    texts = [f"a b c d e {' '.join(str(rng.randrange(10**6)) for _ in range(3 + i % 3))}" for i in range(300)]
+    texts += [f"{texts[i]} more" for i in range(0, 300, 3)] + texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(df, k=5, num=80, rare=3).collect())) == brute(texts, 5, 80, 100)
+
+
+def test_large_buckets_emit_members_once_and_no_pairs(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(1, c, -4 if c % 9 == 0 else 4) for c in range(100) for _ in range(2)] + [(2, 5, 4), (2, 6, 4)] + [(3, c, 4) for c in range(20)]
+        got = nd.bucket_pairs(spark.createDataFrame(rows, "key long, cls long, n int"), 16, 80, 100).select("kind", "a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(0, 5, 6), *((1, 1, c) for c in range(100)), *((1, 3, c) for c in range(20))]
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
