@@ -1,20 +1,25 @@
-"""Katz backoff language model over word bigrams, with tables in the shared folder.
-
-Counts up to `top` are Good-Turing discounted in Katz's renormalised form; larger ones (and those whose counts of counts
-cannot support a discount) by the Good-Turing estimate of a Zipf law with exponent 2, d(c) = c / (c + 1), so every
-context keeps some mass for words not seen in it, and that mass is shared out with exactly normalised weights:
-    P(w | h) = d(c(h w)) c(h w) / C(h)   if h w was seen
-             = alpha(h) P(w)             if not;  alpha(h) = (1 - sum of P(seen | h)) / (1 - sum of P(seen))
-    P(w)     = d(c(w)) c(w) / N, and the mass they free is the probability of the one unknown word
-(alpha = 1 for a context that training has not seen). Texts start from a start mark and close with an end token.
-
-Tables below the shared folder: unigrams (w, c), and, partitioned by kind, packed bigrams by bucket of the second word
-and contexts (h, counts of counts, mass of the seen words). A bucket holds all there is about its words, so a token is
-settled there if its bigram was seen, falls back to P(w) there if not, and fetches alpha(h) by a join with the contexts.
-Between the stages only distinct bigrams of large batches of texts and sums per text travel, packed.
-
-Words are 48-bit hashes (two of a billion words seldom share one). Frequent words are spread over several buckets by
-their context; the list of those words is bounded by four a bucket.
+"""Katz backoff language model over word n-grams of any order, with tables in the shared folder.
+
+    P(w | h) = d_k(c) c(h w) / C(h)        if h w was seen, c its count, h the k - 1 words before
+             = alpha(h) P(w | shorter h)   if not;  alpha(h) = (1 - sum of P(seen | h)) / (1 - sum of P(seen | shorter h))
+    P(w)     = d_1(c) c(w) / N, and the mass they free is the probability of the one unknown word
+(alpha = 1 for a context that training has not seen.) Counts up to `TOP` are Good-Turing discounted in Katz's
+renormalised form, one set of factors an order. Katz leaves larger counts alone; here they (and those whose counts of
+counts cannot support a factor) take d(c) = c / (c + 1), the Good-Turing estimate of a Zipf law with exponent 2: a context
+whose words are all frequent would otherwise free no mass and give every other word probability 0. Texts start from start
+marks and close with an end token.
+
+1. Words are counted. The most frequent ones, at most `CODES`, are known to all tasks: they get two-byte codes.
+2. Every batch of texts sends its distinct n-grams, packed, to buckets of their last word (frequent words are spread over
+   several by the word before). Sorted by last word, word before and so on, the counts of all shorter n-grams with that
+   ending are sums of runs, so the longest seen one of every token and its discount are settled there (`settle`).
+   Training n-grams and, for tokens that fall back, questions about their contexts go on, packed, to buckets of the
+   context's last word, where totals and backoff weights of all contexts come together (`weigh`).
+3. Sums per text (kept per batch) and the answers give the scores; one text's numbers never meet another's words.
+
+Tables below the shared folder, partitioned by kind: n-grams (last word, words before, count) and contexts (words, total,
+alpha). One pair of frequent words cannot be spread further: its distinct n-grams and two bytes an occurrence meet in one
+task. Words are 48-bit hashes (two of a billion words seldom share one), contexts 64-bit hashes of theirs.
 Defined results: null and empty texts are one end token; repeated rows each give their row; without training rows every
 token is unknown and P(unknown) = 1, score 0; extra columns are ignored; an empty table gives an empty result.
 """
@@ -22,11 +27,13 @@ token is unknown and P(unknown) = 1, score 0; extra columns are ignored; an empt
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +41,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.tables import partitions, stored
 from siltstone.llm.text import as_bytes, blocks, mix, word_hashes
 
-#: Ids of the end token and of the start of a text; mix() is a bijection, so both are as unlikely as any word's hash.
-END, START = (int(mix(np.array([x], dtype=np.uint64))[0]) >> 16 for x in (1, 2))
 TOP = 5
+#: Bound of the list of frequent words that every task knows (16 bytes each).
+CODES = 65_000
+_ESCAPE, START = 0xFFFF, 0xFFFE
+_RARE = np.uint64(1 << 48)
+#: Hash of the end token; mix() is a bijection, so it is as unlikely as any word's.
+END = (int(mix(np.array([1], dtype=np.uint64))[0]) >> 16) | (1 << 48)
 
 
 def discounts(counts_of_counts: dict[int, int], top: int = TOP) -> np.ndarray:
@@ -57,35 +68,118 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c < len(d), d[np.minimum(c, len(d) - 1)] * c, c * (c / (c + 1.0)))
 
 
-def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, text) of every token of the texts, ends included."""
+def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, text) of every token of the texts, ends included."""
     words, owner = word_hashes(raw)
     n = np.bincount(owner, minlength=len(raw))
     last = np.cumsum(n + 1) - 1
     w = np.empty(len(words) + len(raw), dtype=np.uint64)
     inner = np.ones(len(w), dtype=bool)
     inner[last] = False
-    w[inner], w[last] = words >> np.uint64(16), END
-    h = np.r_[np.array([START], dtype=np.uint64), w[:-1]]
-    h[np.r_[0, last[:-1] + 1]] = START
-    return w, h, np.repeat(np.arange(len(raw)), n + 1)
+    w[inner], w[last] = (words >> np.uint64(16)) | _RARE, END
+    return w, np.repeat(np.arange(len(raw)), n + 1)
+
+
+def before(w: np.ndarray, text: np.ndarray, by: int) -> np.ndarray:
+    """The word `by` places before each token; the start mark where the text has none."""
+    out = np.full(len(w), START, dtype=np.uint64)
+    same = text[by:] == text[: len(text) - by]
+    out[by:][same] = w[: len(w) - by][same]
+    return out
 
 
 @dataclass
-class Spread:
-    """Buckets of (w, h): a frequent word takes several, chosen by h. `hot` lists at most 4 words a bucket."""
+class Words:
+    """Frequent words (at most `CODES`, by hash), their counts, and how many buckets each is spread over."""
 
     buckets: int
-    hot: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
     ways: np.ndarray
 
-    def of(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
-        extra = np.zeros(len(w), dtype=np.uint64)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
-            is_hot = self.hot[at] == w
-            extra[is_hot] = h[is_hot] % self.ways[at[is_hot]]
-        return ((mix(w) + extra) % np.uint64(self.buckets)).astype(np.int64)
+    def coded(self, w: np.ndarray) -> np.ndarray:
+        """Hashes of frequent words replaced by their codes."""
+        if not len(self.hashes):
+            return w
+        at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == w, at.astype(np.uint64), w)
+
+    def bucket(self, w: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+        """Bucket of a word, or the one of its buckets that the word `by` selects."""
+        out = mix(w + np.uint64(1))
+        if by is not None and len(self.ways):
+            frequent = np.flatnonzero(w < len(self.ways))
+            out[frequent] += mix(by[frequent] + np.uint64(1)) % self.ways[w[frequent].astype(np.int64)]
+        return (out % np.uint64(self.buckets)).astype(np.int64)
+
+    def count(self, w: np.ndarray, known: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
+        """Training counts of coded words; `known` and `counts` give those of the rarer ones."""
+        out = np.zeros(len(w), dtype=np.int64)
+        frequent = w < len(self.counts)
+        out[frequent] = self.counts[w[frequent].astype(np.int64)]
+        out[w == START] = start
+        if len(known):
+            rest = np.flatnonzero(w >= _RARE)
+            at = np.minimum(np.searchsorted(known, w[rest]), len(known) - 1)
+            out[rest] = np.where(known[at] == w[rest], counts[at], 0)
+        return out
+
+
+_CODEC: dict[str, object] = {}
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole or floating numbers, each in the narrowest type, byte planes apart, compressed."""
+    if not _CODEC:
+        _CODEC.update(z=zstandard.ZstdCompressor(level=1), x=zstandard.ZstdDecompressor())
+    out = [struct.pack("<B", len(columns))]
+    for c in columns:
+        if c.dtype == np.float64:
+            width, kind, c = 8, 1, c.view(np.uint64)
+        else:
+            top, kind = int(c.max(initial=0)), 0
+            width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+        planes = np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+        body = _CODEC["z"].compress(planes.tobytes())
+        out += [struct.pack("<BBII", width, kind, len(c), len(body)), body]
+    return b"".join(out)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    if not _CODEC:
+        _CODEC.update(z=zstandard.ZstdCompressor(level=1), x=zstandard.ZstdDecompressor())
+    out, at = [], 1
+    for _ in range(blob[0]):
+        width, kind, n, size = struct.unpack_from("<BBII", blob, at)
+        at += 10
+        planes = np.frombuffer(_CODEC["x"].decompress(blob[at : at + size], max_output_size=max(n * width, 1)), dtype=np.uint8).reshape(width, n)
+        c = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+        out.append(c.view(np.float64) if kind else c)
+        at += size
+    return out
+
+
+def pack_words(w: np.ndarray) -> list[np.ndarray]:
+    """Two columns: codes, and the hashes of the words that have none."""
+    rare = w >= _RARE
+    return [np.where(rare, _ESCAPE, w).astype(np.uint16), w[rare] - _RARE]
+
+
+def unpack_words(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = codes.astype(np.uint64)
+    out[codes == _ESCAPE] = hashes.astype(np.uint64) + _RARE
+    return out
+
+
+def gathered(blobs, words: int) -> list[np.ndarray]:
+    """Columns of all blobs one behind the other; the first `words` are words (two stored columns each)."""
+    parts = []
+    for b in blobs:
+        cols = unpacked(b)
+        parts.append([unpack_words(*cols[2 * k : 2 * k + 2]) for k in range(words)] + cols[2 * words :])
+    if not parts:
+        return []
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def unigram_table(df: DataFrame, train: str) -> DataFrame:
@@ -104,7 +198,7 @@ def unigram_table(df: DataFrame, train: str) -> DataFrame:
             for s, e in blocks(raw):
                 held.append(tokens(raw[s:e])[0])
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 4_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -113,22 +207,50 @@ def unigram_table(df: DataFrame, train: str) -> DataFrame:
     return df.mapInPandas(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def six(x: np.ndarray) -> bytes:
-    """48-bit ids in six bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+@dataclass
+class Unigrams:
+    total: int
+    words: int
+    d: np.ndarray
+    unknown: float
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.total + 0.1 * (self.words + 1)))
 
-def unsix(b: bytes) -> np.ndarray:
-    wide = np.zeros((len(b) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    def probability(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, discounted(c, self.d) / max(self.total, 1), self.unknown)
 
 
-_PACKED = "bucket long, batch long, ids binary, w binary, w_runs binary, h binary, c binary, each binary, docs binary"
+def summary(unigrams: DataFrame) -> Unigrams:
+    few = {r["c"]: r["n"] for r in unigrams.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    large = F.when(F.col("c") > TOP, F.col("c") * (F.col("c") / (F.col("c") + 1.0)))
+    row = unigrams.agg(F.sum("c").alias("total"), F.count("*").alias("words"), F.sum(large).alias("large")).first()
+    total, d = row["total"] or 0, discounts(few)
+    kept = sum(d[r] * r * n for r, n in few.items() if r <= TOP) + (row["large"] or 0.0)
+    return Unigrams(total, row["words"], d, 1 - kept / total if total else 1.0)
 
 
-def packed_bigrams(df: DataFrame, train: str, spread: Spread, per_batch: int = 2_000_000) -> DataFrame:
-    """The distinct bigrams of each batch of texts, by bucket: runs of second words, first words, training counts,
+def frequent_words(unigrams: DataFrame, buckets: int, share: float) -> Words:
+    """The most frequent words, whole classes of similar counts, at most `CODES`."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r["s"], r["n"]) for r in unigrams.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    cut, held = None, 0
+    for s, n in sizes:  # some 16 classes a power of two
+        if held + n > CODES:
+            break
+        cut, held = s, held + n
+    rows = unigrams.where(step >= cut).collect() if cut is not None else []
+    rows = sorted((r["w"], r["c"]) for r in rows)
+    counts = np.array([c for _, c in rows], dtype=np.int64)
+    ways = np.minimum(buckets, (counts / share).astype(np.int64) + 1).astype(np.uint64)
+    return Words(buckets, np.array([w for w, _ in rows], dtype=np.uint64), counts, ways)
+
+
+_SENT = "bucket long, batch long, ids binary, blob binary"
+
+
+def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch: int = 1_000_000) -> DataFrame:
+    """The distinct n-grams of each batch of texts, by bucket: last words in runs, words before, training counts,
     occurrences, and the text of every occurrence as a place in the batch's `ids` (sent once a batch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,147 +259,206 @@ def packed_bigrams(df: DataFrame, train: str, spread: Spread, per_batch: int = 2
         size = number = 0
 
         def flush() -> pd.DataFrame:
-            w, h, text, trained = (np.concatenate(x) for x in zip(*held, strict=True))
+            w, text, trained = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = spread.of(w, h).astype(np.int32)
-            order = np.lexsort((h, w, bucket))
-            w = w[order]
-            h = h[order]
-            text, trained, bucket = text[order], trained[order], bucket[order]
-            del order
-            at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])
+            cols = [w, *(before(w, text, k) for k in range(1, order))]
+            n_tokens = np.bincount(text, minlength=len(ids))
+            bucket = words.bucket(w, cols[1])
+            at = np.lexsort((*cols[::-1], bucket))
+            cols, text, trained, bucket = [c[at] for c in cols], text[at], trained[at], bucket[at]
+            new = np.r_[True, bucket[1:] != bucket[:-1]]
+            for c in cols:
+                new[1:] |= c[1:] != c[:-1]
+            at = np.flatnonzero(new)
             seen, each = np.add.reduceat(trained.astype(np.int64), at), np.diff(np.r_[at, len(w)])
-            own, out = np.array(ids, dtype=np.int64).tobytes(), []  # (id, has an id, trained) of each text
-            batch = TaskContext.get().partitionId() * 1_000_000 + number
+            own = packed([*(np.array(x, dtype=np.uint64) for x in zip(*ids, strict=True)), n_tokens])  # id, has an id, trained
+            batch, out = TaskContext.get().partitionId() * 1_000_000 + number, []
             for b in np.unique(bucket).tolist():
                 lo, hi = np.searchsorted(bucket, [b, b + 1])
                 i, j = np.searchsorted(at, [lo, hi])
-                word = w[at[i:j]]
-                starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                narrow = lambda x: x.astype(np.uint32).tobytes()
-                out.append((b, batch, None if out else own, six(word[starts]), narrow(np.diff(np.r_[starts, j - i])), six(h[at[i:j]]), narrow(seen[i:j]), narrow(each[i:j]), text[lo:hi].astype(np.uint16).tobytes()))
-            return pd.DataFrame(out, columns=[c.split()[0] for c in _PACKED.split(", ")])
+                parts = [x for c in cols for x in pack_words(c[at[i:j]])]
+                out.append((b, batch, None if out else own, packed([*parts, seen[i:j], each[i:j], text[lo:hi]])))
+            return pd.DataFrame(out, columns=["bucket", "batch", "ids", "blob"])
 
         for pdf in batches:
             raw, trained = [as_bytes(t) for t in pdf["text"]], pdf[train].to_numpy(dtype=bool)
-            rows = list(zip(pdf["id"].fillna(0).astype("int64"), pdf["id"].notna(), trained, strict=True))
+            rows = list(zip(pdf["id"].to_numpy().view(np.uint64), pdf["has"], trained, strict=True))
             for s, e in blocks(raw):
                 if held and (size > per_batch or len(ids) + e - s > 60_000):
                     yield flush()
                     ids, size, number = [], 0, number + 1
-                w, h, text = tokens(raw[s:e])
-                held.append((w, h, (text + len(ids)).astype(np.uint16), trained[s:e][text]))
+                w, text = tokens(raw[s:e])
+                held.append((words.coded(w), text + len(ids), trained[s:e][text]))
                 ids += rows[s:e]
                 size += len(w)
         if held:
             yield flush()
 
-    return df.mapInPandas(run, _PACKED)
+    return df.mapInPandas(run, _SENT)
 
 
-@dataclass
-class Unigrams:
-    total: int
-    words: int
-    d: np.ndarray
-    unknown: float
+def dealt(unigrams: DataFrame, words: Words) -> DataFrame:
+    """bucket, w, c of the words that have no code (each has one bucket)."""
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.total + 0.1 * (self.words + 1)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            w = words.coded(pdf["w"].to_numpy().view(np.uint64))
+            rare = w >= _RARE
+            yield pd.DataFrame({"bucket": words.bucket(w[rare]), "w": w[rare].view(np.int64), "c": pdf["c"].to_numpy()[rare]})
 
-    def probability(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, discounted(c, self.d) / max(self.total, 1), self.unknown)
+    return unigrams.mapInPandas(run, "bucket long, w long, c long")
 
 
-def summary(unigrams: DataFrame) -> Unigrams:
-    few = {r["c"]: r["n"] for r in unigrams.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    large = F.when(F.col("c") > TOP, F.col("c") * (F.col("c") / (F.col("c") + 1.0)))
-    row = unigrams.agg(F.sum("c").alias("total"), F.count("*").alias("words"), F.sum(large).alias("large")).first()
-    total, d = row["total"] or 0, discounts(few)
-    kept = sum(d[r] * r * n for r, n in few.items() if r <= TOP) + (row["large"] or 0.0)
-    return Unigrams(total, row["words"], d, 1 - kept / total if total else 1.0)
+def rare_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(pdf["w"].to_numpy())
+    return pdf["w"].to_numpy().view(np.uint64)[order], pdf["c"].to_numpy()[order]
 
 
-_KINDS = "kind int, a long, b long, blob binary, runs binary, h binary, c binary"
-_SUMS, _IDS, _CONTEXT, _UNSEEN, _BIGRAMS, _COUNTS = range(6)
+_SETTLED = "kind int, k int, bucket long, a long, b long, blob binary"
+_SUMS, _IDS, _COUNTS, _NGRAMS, _ASKS = range(5)
+#: What an answer adds up: log alpha and log C(h), log alpha alone, or minus log C(h).
+_BOTH, _ALPHA, _LESS = range(3)
 
 
-def settle(packed: DataFrame, unigrams: DataFrame, spread: Spread, uni: Unigrams) -> DataFrame:
+def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, order: int, start: int) -> DataFrame:
     """Settles every bucket; rows of several kinds (see the constants) that go into one table partitioned by kind."""
+    end = int(words.coded(np.array([END], dtype=np.uint64))[0])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            w, c = pdf["w"].to_numpy().view(np.uint64), pdf["c"].to_numpy()
-            n = np.ones(len(w), dtype=np.int64)
-            if len(spread.hot):
-                at = np.minimum(np.searchsorted(spread.hot, w), len(spread.hot) - 1)
-                n = np.where(spread.hot[at] == w, spread.ways[at].astype(np.int64), 1)
-            extra = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            bucket = (mix(np.repeat(w, n)) + extra.astype(np.uint64)) % np.uint64(spread.buckets)
-            yield pd.DataFrame({"bucket": bucket.astype(np.int64), "w": np.repeat(pdf["w"].to_numpy(), n), "c": np.repeat(c, n)})
-
-    def rows_of(kind: int, n: int, **cols) -> pd.DataFrame:
-        blank = {"string": None, "binary": None, "int": 0, "long": 0, "double": 0.0}
-        return pd.DataFrame({name: kind if name == "kind" else cols.get(name, blank[t]) for name, t in (x.split() for x in _KINDS.split(", "))}, index=range(n))
+    def by_bucket(kind: int, k: int, bucket: np.ndarray, cols: list[np.ndarray], n_words: int) -> Iterator[tuple]:
+        at = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(bucket[at]) != 0, True]) if len(at) else []
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            own = at[s:e]
+            parts = [x for c in cols[:n_words] for x in pack_words(c[own])]
+            yield kind, k, int(bucket[own[0]]), 0, 0, packed([*parts, *(c[own] for c in cols[n_words:])])
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        names = [x.split()[0] for x in _SETTLED.split(", ")]
         if not len(left):
-            return rows_of(_IDS, 0)
-        order = np.argsort(right["w"].to_numpy().view(np.uint64))
-        known, count = right["w"].to_numpy().view(np.uint64)[order], right["c"].to_numpy()[order]
-        runs = [np.frombuffer(x, dtype=np.uint32) for x in left["w_runs"]]
-        w = np.concatenate([np.repeat(unsix(a), r) for a, r in zip(left["w"], runs, strict=True)])
-        h = np.concatenate([unsix(x) for x in left["h"]])
-        c = np.frombuffer(b"".join(left["c"]), dtype=np.uint32).astype(np.int64)
-        each = np.frombuffer(b"".join(left["each"]), dtype=np.uint32)
-        order = np.lexsort((h, w))
-        new = np.r_[True, (w[order[1:]] != w[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]
-        firsts = order[new]
-        sums = np.add.reduceat(c[order], np.flatnonzero(new))
-        seen = np.empty(len(w), dtype=np.int64)
-        seen[order] = sums[np.cumsum(new) - 1]
-        at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-        c_w = np.where(known[at] == w, count[at], 0) if len(known) else np.zeros(len(w), dtype=np.int64)
-        p_w = uni.probability(c_w)
-        # what an occurrence adds to its text, but for the discounts of small counts and the backoff weights
-        part = np.where(seen > 0, np.log10(np.where(seen > TOP, seen * (seen / (seen + 1.0)), np.maximum(seen, 1))), np.log10(p_w))
-        part -= np.where((c_w > 0) & (w != END), np.log10(np.maximum(c_w, 1)), 0)  # C(w): the word is the next token's context
-        base, small = uni.base(c_w), np.where(seen <= TOP, seen, 0)
-        edges = np.cumsum([0, *(len(x) // 6 for x in left["h"])])
-        texts, lost_h, lost_place = [], [], []
-        for k, (batch, docs) in enumerate(zip(left["batch"], left["docs"], strict=True)):
-            text = np.frombuffer(docs, dtype=np.uint16).astype(np.int64)
-            e = np.repeat(np.arange(edges[k], edges[k + 1]), each[edges[k] : edges[k + 1]])
-            whole = [np.bincount(text), np.bincount(text, weights=c_w[e] > 0), *(np.bincount(text, weights=small[e] == r) for r in range(1, TOP + 1))]
-            real = [np.bincount(text, weights=base[e]), np.bincount(text, weights=part[e])]
-            texts.append((batch, len(whole[0]), np.stack(whole).astype(np.uint32).tobytes() + np.stack(real).astype(np.float64).tobytes()))
-            lost = seen[e] == 0
-            lost_h.append(h[e[lost]])
-            lost_place.append(batch * 65_536 + text[lost])
-        frames = [rows_of(_SUMS, len(texts), a=[t[0] for t in texts], b=[t[1] for t in texts], blob=[t[2] for t in texts])]
-        sent = left[left["ids"].notna()]
-        frames.append(rows_of(_IDS, len(sent), a=sent["batch"].to_numpy(), blob=sent["ids"].to_numpy()))
-        lost_h, lost_place = np.concatenate(lost_h), np.concatenate(lost_place)
-        frames.append(rows_of(_UNSEEN, 1, h=[six(lost_h)], blob=[lost_place.astype(np.int64).tobytes()]))
-
-        trained = sums > 0
-        bw, bh, bc, lower = w[firsts][trained], h[firsts][trained], sums[trained], p_w[firsts][trained]
-        starts = np.flatnonzero(np.r_[True, bw[1:] != bw[:-1]]) if len(bw) else np.zeros(0, dtype=np.int64)
-        frames.append(rows_of(_BIGRAMS, 1, a=[key[0]], blob=[six(bw[starts])], runs=[np.diff(np.r_[starts, len(bw)]).astype(np.uint32).tobytes()], h=[six(bh)], c=[bc.astype(np.uint32).tobytes()]))
-        r, n = np.unique(bc[bc <= TOP + 1], return_counts=True)
-        frames.append(rows_of(_COUNTS, len(r), a=r, b=n))
-        order = np.argsort(bh, kind="stable")
-        bh, bc, lower = bh[order], bc[order], lower[order]
-        at = np.flatnonzero(np.r_[True, bh[1:] != bh[:-1]]) if len(bh) else np.zeros(0, dtype=np.int64)
-        if len(at):
-            by = lambda v: np.add.reduceat(v, at)
-            freed = by(np.where(bc > TOP, bc / (bc + 1.0), 0.0))
-            counts = np.stack([by(bc), *(by((bc == r).astype(np.int64)) for r in range(1, TOP + 1))])
-            frames.append(rows_of(_CONTEXT, 1, h=[six(bh[at])], c=[counts.astype(np.uint32).tobytes()], blob=[freed.tobytes()], runs=[by(lower).tobytes()]))
-        return pd.concat(frames, ignore_index=True)
-
-    left = packed.groupBy("bucket")
-    return left.cogroup(unigrams.mapInPandas(deal, "bucket long, w long, c long").groupBy("bucket")).applyInPandas(run, _KINDS)
+            return pd.DataFrame(out, columns=names)
+        batches, texts, sizes, cols = left["batch"].tolist(), [], [], []
+        for blob in left["blob"]:
+            part = unpacked(blob)
+            texts.append(part.pop().astype(np.uint16))
+            w = [unpack_words(*part[2 * k : 2 * k + 2]) for k in range(order)]
+            cols.append([*w, *(x.astype(np.int32) for x in part[2 * order :])])
+            sizes.append(len(w[0]))
+        *grams, c, each = (np.concatenate(x) for x in zip(*cols, strict=True))
+        del cols
+        at = np.lexsort(grams[::-1])
+        grams, c = [g[at] for g in grams], c[at].astype(np.int64)
+        place = np.empty(len(at), dtype=np.int64)  # of each sent n-gram in sorted order
+        place[at] = np.arange(len(at))
+        c1 = words.count(grams[0], *rare_counts(right), start)
+        new = np.r_[True, grams[0][1:] != grams[0][:-1]]
+        level, lower, telescoped, value = np.ones(len(c), dtype=np.int8), c1, c1, np.log10(uni.probability(c1))
+        small = np.zeros(len(c), dtype=np.int8)  # (order - 2) * TOP + count of the longest seen n-gram, where small
+        for k in range(2, order + 1):
+            new[1:] |= grams[k - 1][1:] != grams[k - 1][:-1]
+            first = np.flatnonzero(new)
+            sums = np.add.reduceat(c, first)
+            seen = sums[np.cumsum(new) - 1]
+            hit = seen > 0
+            level[hit] = k
+            value = np.where(hit, np.log10(np.where(seen > TOP, seen * (seen / (seen + 1.0)), np.maximum(seen, 1))), value)
+            small = np.where(hit, np.where(seen <= TOP, (k - 2) * TOP + seen, 0), small).astype(np.int8)
+            trained = first[sums > 0]
+            ctx = [g[trained] for g in grams[1:k]]
+            bucket = words.bucket(ctx[0]) if k == 2 else words.bucket(ctx[0], ctx[1])
+            out += by_bucket(_NGRAMS, k, bucket, [grams[0][trained], *ctx, seen[trained], lower[trained]], k)
+            r, n = np.unique(sums[(sums > 0) & (sums <= TOP + 1)], return_counts=True)
+            out += [(_COUNTS, k, 0, int(x), int(y), None) for x, y in zip(r, n, strict=True)]
+            lower, telescoped = seen, seen if k < order else telescoped
+        value -= np.where((telescoped > 0) & (grams[0] != end), np.log10(np.maximum(telescoped, 1)), 0)  # C(context) of the token behind
+        base = uni.base(c1)
+
+        edges, done, lost = np.cumsum([0, *sizes]), 0, []
+        for batch, text, lo, hi in zip(batches, texts, edges[:-1], edges[1:], strict=True):
+            e = np.repeat(place[lo:hi], each[lo:hi])
+            own, text_of = np.unique(text, return_inverse=True)
+            n = len(own)
+            count = np.bincount(text_of * 64 + small[e], minlength=64 * n).reshape(n, 64) if (order - 1) * TOP < 64 else np.stack([np.bincount(text_of, weights=small[e] == r, minlength=n) for r in range((order - 1) * TOP + 1)], axis=1).astype(np.int64)
+            whole = [np.bincount(text_of, weights=c1[e] > 0, minlength=n).astype(np.int64), *(count[:, r] for r in range(1, (order - 1) * TOP + 1))]
+            real = [np.bincount(text_of, weights=x[e], minlength=n) for x in (base, value)]
+            out.append((_SUMS, 0, key[0], batch, 0, packed([np.diff(own.astype(np.int64), prepend=0), *whole, *real])))
+            fell = level[e] < order
+            lost.append(np.stack([e[fell], batch * 65_536 + text[fell].astype(np.int64)]))
+            done += n
+        out += [(_IDS, 0, 0, b, 0, x) for b, x in zip(batches, left["ids"], strict=True) if x is not None]
+        e, where = np.concatenate(lost, axis=1)
+        for k in range(2, order + 1):
+            mode = np.full(len(e), _BOTH) if k == order else np.where(level[e] < k, _ALPHA, _LESS)
+            asks = level[e] <= k if k < order else level[e] < k
+            ctx = [g[e[asks]] for g in grams[1:k]]
+            bucket = words.bucket(ctx[0]) if k == 2 else words.bucket(ctx[0], ctx[1])
+            out += by_bucket(_ASKS, k, bucket, [*ctx, mode[asks], where[asks]], k - 1)
+        return pd.DataFrame(out, columns=names)
+
+    return sent.groupBy("bucket").cogroup(dealt(unigrams, words).groupBy("bucket")).applyInPandas(run, _SETTLED)
+
+
+def folded(ctx: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key of the words of a context."""
+    h = mix(ctx[0] + np.uint64(1))
+    for c in ctx[1:]:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c)
+    return h
+
+
+_WEIGHED = "kind int, k int, a long, blob binary"
+_ANSWERS, _CONTEXTS = range(2)
+
+
+def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, d: list[np.ndarray], order: int, start: int) -> DataFrame:
+    """Totals and exactly normalised backoff weights of all contexts, and the answers to what was asked about them."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, answers, shorter = [], [], None
+        known = rare_counts(right)
+        for k in range(2, order + 1):
+            of = left[left["k"] == k]
+            cols = gathered(of.loc[of["kind"] == _NGRAMS, "blob"], k)
+            if cols:
+                _, *ctx, c, low = cols
+                c, low = c.astype(np.int64), low.astype(np.int64)
+                h = folded(ctx)
+                at = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(h[at]) != 0])
+                ctx = [x[at[first]] for x in ctx]
+                c, low, h = c[at], low[at], h[at[first]]
+                total = np.add.reduceat(c, first)
+                freed = np.add.reduceat(c - discounted(c, d[k]), first)
+                if k == 2:
+                    taken = np.add.reduceat(uni.probability(low), first)
+                else:
+                    if k == 3:
+                        over = words.count(ctx[0], *known, start)
+                    else:
+                        over = shorter[1][np.searchsorted(shorter[0], folded(ctx[:-1]))]
+                    taken = np.add.reduceat(discounted(low, d[k - 1]), first) / over
+                alpha = freed / total / (1 - taken)
+                shorter = (h, total)
+                out.append((_CONTEXTS, k, 0, packed([*(x for w in ctx for x in pack_words(w)), total, alpha])))
+            cols = gathered(of.loc[of["kind"] == _ASKS, "blob"], k - 1)
+            if cols:
+                *ask, mode, where = cols
+                if of["kind"].eq(_NGRAMS).any():
+                    h2 = folded(ask)
+                    at = np.minimum(np.searchsorted(h, h2), len(h) - 1)
+                    hit = h[at] == h2
+                    t, a = np.where(hit, total[at], 1), np.where(hit, alpha[at], 1.0)
+                    answers.append((where, np.where(mode == _LESS, 0, np.log10(a)) + np.where(mode == _BOTH, 1, np.where(mode == _LESS, -1, 0)) * np.log10(t)))
+        if answers:
+            where, value = (np.concatenate(x) for x in zip(*answers, strict=True))
+            own, at = np.unique(where.astype(np.int64), return_inverse=True)
+            value = np.bincount(at, weights=value)
+            edges = np.flatnonzero(np.r_[True, np.diff(own >> 16) != 0, True])
+            out += [(_ANSWERS, 0, int(own[s] >> 16), packed([own[s:e] & 0xFFFF, value[s:e]])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _WEIGHED.split(", ")])
+
+    left = settled.where(F.col("kind").isin(_NGRAMS, _ASKS)).select("bucket", "kind", "k", "blob")
+    return left.groupBy("bucket").cogroup(dealt(unigrams, words).groupBy("bucket")).applyInPandas(run, _WEIGHED)
 
 
 @dataclass
@@ -286,67 +467,75 @@ class Tables:
 
     unigrams: DataFrame
     settled: DataFrame
+    weighed: DataFrame
+    words: Words
     uni: Unigrams
-    d: np.ndarray
+    d: list[np.ndarray] = field(default_factory=list)
 
-    def bigrams(self) -> DataFrame:
-        """bucket and packed w (runs), h, c of every bigram of the training texts."""
-        return self.settled.where(F.col("kind") == _BIGRAMS).select(F.col("a").alias("bucket"), F.col("blob").alias("w"), "runs", "h", "c")
+    def _rows(self, blobs: DataFrame, columns: list[str], words: int, schema: str) -> DataFrame:
+        hashes = self.words.hashes
 
-    def contexts(self) -> DataFrame:
-        """h, total (its occurrences), alpha: the exactly normalised backoff weight."""
-        names = ["total", *(f"n{r}" for r in range(1, TOP + 1))]
-
-        def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    h, counts = unsix(r.h), np.frombuffer(r.c, dtype=np.uint32).reshape(TOP + 1, -1).astype(np.int64)
-                    yield pd.DataFrame({"h": h.view(np.int64), "x": np.frombuffer(r.blob), "y": np.frombuffer(r.runs), **dict(zip(names, counts, strict=True))})
-
-        packed = self.settled.where(F.col("kind") == _CONTEXT).select("h", "c", "blob", "runs")
-        rows = packed.mapInPandas(unpack, "h long, x double, y double, " + ", ".join(f"{n} long" for n in names)).groupBy("h")
-        sums = rows.agg(*(F.sum(c).alias(c) for c in ("x", "y", *names)))
-        freed = F.col("x") + sum((F.lit(float((1 - self.d[r]) * r)) * F.col(f"n{r}") for r in range(1, TOP + 1)), F.lit(0.0))
-        return sums.select("h", "total", (freed / F.col("total") / (1 - F.col("y"))).alias("alpha"))
-
-
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 4_000_000) -> tuple[DataFrame, Tables]:
-    """Fits on the rows where `train` holds and scores all rows: id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score; and the tables of the model."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    unigrams = stored(unigram_table(rows, "train"), "unigrams", release=True)
+                for blob in pdf["blob"]:
+                    cols = gathered([blob], words)
+                    for c in cols[:words]:
+                        frequent = c < len(hashes)
+                        c[frequent] = hashes[c[frequent].astype(np.int64)]
+                    yield pd.DataFrame({n: c.view(np.int64) if c.dtype == np.uint64 else c for n, c in zip(columns, cols, strict=False)})
+
+        return blobs.select("blob").mapInPandas(run, schema)
+
+    def ngrams(self, k: int) -> DataFrame:
+        """w, h1 (the word before), ..., c of every k-gram of the training texts; words are hashes (the start mark a small number)."""
+        names = ["w", *(f"h{j}" for j in range(1, k)), "c"]
+        blobs = self.settled.where((F.col("kind") == _NGRAMS) & (F.col("k") == k))
+        return self._rows(blobs, names, k, ", ".join(f"{n} long" for n in names))
+
+    def contexts(self, k: int) -> DataFrame:
+        """h1, ..., total (its occurrences), alpha (the backoff weight) of every context of k - 1 words."""
+        names = [*(f"h{j}" for j in range(1, k)), "total", "alpha"]
+        blobs = self.weighed.where((F.col("kind") == _CONTEXTS) & (F.col("k") == k))
+        return self._rows(blobs, names, k - 1, ", ".join(f"{n} {'double' if n == 'alpha' else 'long'}" for n in names))
+
+
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, per_bucket: int = 2_500_000) -> tuple[DataFrame, Tables]:
+    """Fits an `order`-gram model (2 or more) on the rows where `train` holds and scores all rows: id, held_out, n_tokens,
+    n_known, train_tokens, base_score, score; and the tables of the model."""
+    own = F.col(id_col).cast("long")
+    rows = df.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("has"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    unigrams = stored(unigram_table(rows, "train"), "unigrams")
     uni = summary(unigrams)
     buckets = max(partitions(df.sparkSession), -(-uni.total // per_bucket))
-    share = max(uni.total / buckets / 4, 1.0)
-    hot = sorted((r["w"] % (1 << 64), r["c"]) for r in unigrams.where(F.col("c") > share).collect())  # at most 4 a bucket
-    spread = Spread(buckets, np.array([w for w, _ in hot], dtype=np.uint64), np.array([min(buckets, int(c / share) + 1) for _, c in hot], dtype=np.uint64))
-    settled = stored(settle(packed_bigrams(rows, "train", spread), unigrams, spread, uni), "katz", partition_by=["kind"], release=True)
-    few = {r["a"]: r["n"] for r in settled.where(F.col("kind") == _COUNTS).groupBy("a").agg(F.sum("b").alias("n")).collect()}
-    model = Tables(unigrams, settled, uni, discounts(few))
+    words = frequent_words(unigrams, buckets, max(uni.total / buckets / 4, 1.0))
     start = rows.where("train").count()  # every training text starts once
-    logs = np.log10(model.d)
-
-    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(pdf.loc[pdf["kind"] == _IDS, "blob"].iloc[0], dtype=np.int64).reshape(-1, 3)
+    settled = stored(settle(sent_ngrams(rows, "train", words, order), unigrams, words, uni, order, start), "katz", partition_by=["kind"])
+    few: list[dict[int, int]] = [{} for _ in range(order + 1)]
+    for r in settled.where(F.col("kind") == _COUNTS).groupBy("k", "a").agg(F.sum("b").alias("n")).collect():
+        few[r["k"]][r["a"]] = r["n"]
+    d = [uni.d, uni.d, *(discounts(few[k]) for k in range(2, order + 1))]
+    weighed = stored(weigh(settled, unigrams, words, uni, d, order, start), "katz-weights", partition_by=["kind"])
+    logs = np.concatenate([np.log10(d[k][1:]) for k in range(2, order + 1)])
+
+    def total(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, has, trained, n_tokens = unpacked(left.loc[left["kind"] == _IDS, "blob"].iloc[0])
         n = len(ids)
-        whole, real = np.zeros((TOP + 2, n)), np.zeros((2, n))
-        for m, blob in zip(pdf.loc[pdf["kind"] == _SUMS, "b"], pdf.loc[pdf["kind"] == _SUMS, "blob"], strict=True):
-            cut = 4 * m * (TOP + 2)
-            whole[:, :m] += np.frombuffer(blob[:cut], dtype=np.uint32).reshape(-1, m)
-            real[:, :m] += np.frombuffer(blob[cut:], dtype=np.float64).reshape(-1, m)
-        sums = real[1] + logs[1:] @ whole[2:] - (math.log10(start) if start else 0.0)
-        return pd.DataFrame({"place": key[0] * 65_536 + np.arange(n), "id": pd.Series(ids[:, 0]).astype("Int64").where(pd.Series(ids[:, 1] == 1)), "held_out": ids[:, 2] == 0, "n_tokens": whole[0].astype(np.int64), "n_known": whole[1].astype(np.int64), "base_score": real[0], "sums": sums})
-
-    texts = settled.where(F.col("kind").isin(_SUMS, _IDS)).select("kind", F.col("a").alias("batch"), "b", "blob")
-    per_text = texts.groupBy("batch").applyInPandas(total, "place long, id long, held_out boolean, n_tokens long, n_known long, base_score double, sums double")
-
-    def unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for h, places in zip(pdf["h"], pdf["blob"], strict=True):
-                yield pd.DataFrame({"h": unsix(h).view(np.int64), "place": np.frombuffer(places, dtype=np.int64)})
-
-    lost = settled.where(F.col("kind") == _UNSEEN).select("h", "blob").mapInPandas(unseen, "h long, place long").groupBy("h", "place").agg(F.count("*").alias("n"))
-    weights = lost.join(model.contexts(), "h").groupBy("place").agg(F.sum(F.col("n") * (F.log10("alpha") + F.log10("total"))).alias("backoff"))
-    out = per_text.join(weights, "place", "left")
-    result = out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", (F.col("sums") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
-    return result, model
+        known, base, value = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
+        for blob in left.loc[left["kind"] == _SUMS, "blob"]:
+            own, seen, *small, own_base, own_value = unpacked(blob)
+            own = np.cumsum(own.astype(np.int64))
+            known[own] += seen.astype(np.int64)
+            base[own] += own_base
+            value[own] += own_value + logs @ np.stack(small).astype(np.float64)
+        for blob in right["blob"]:
+            own, answer = unpacked(blob)
+            value[own.astype(np.int64)] += answer
+        value -= math.log10(start) if start else 0.0
+        shown = pd.Series(ids.astype(np.uint64).view(np.int64)).astype("Int64").where(pd.Series(has == 1))
+        return pd.DataFrame({"id": shown, "held_out": trained == 0, "n_tokens": n_tokens.astype(np.int64), "n_known": known, "base_score": base, "score": value})
+
+    texts = settled.where(F.col("kind").isin(_SUMS, _IDS)).select("kind", F.col("a").alias("batch"), "blob")
+    answers = weighed.where(F.col("kind") == _ANSWERS).select(F.col("a").alias("batch"), "blob")
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(total, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    result = out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return result, Tables(unigrams, settled, weighed, words, uni, d)
