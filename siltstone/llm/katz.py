@@ -112,6 +112,13 @@ class Words:
             out[frequent] += mix(by[frequent] + np.uint64(1)) % self.ways[w[frequent].astype(np.int64)]
         return (out % np.uint64(self.buckets)).astype(np.int64)
 
+    def spread(self, w: np.ndarray) -> np.ndarray:
+        """Is the word spread over several buckets?"""
+        out = np.zeros(len(w), dtype=bool)
+        frequent = w < len(self.ways)
+        out[frequent] = self.ways[w[frequent].astype(np.int64)] > 1
+        return out
+
     def count(self, w: np.ndarray, known: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
         """Training counts of coded words; `known` and `counts` give those of the rarer ones."""
         out = np.zeros(len(w), dtype=np.int64)
@@ -297,21 +304,40 @@ def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch:
     return df.mapInPandas(run, _SENT)
 
 
-def dealt(unigrams: DataFrame, words: Words) -> DataFrame:
-    """bucket, w, c of the words that have no code (each has one bucket)."""
+def dealt(unigrams: DataFrame, words: Words, most: int = 1_000_000) -> DataFrame:
+    """bucket and packed (w, c) of the words that have no code (each has one bucket)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pd.DataFrame:
+            w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket = words.bucket(w)
+            at = np.lexsort((w, bucket))
+            edges = np.flatnonzero(np.r_[True, np.diff(bucket[at]) != 0, True]) if len(at) else []
+            rows = [(int(bucket[at[s]]), packed([w[at[s:e]] - _RARE, c[at[s:e]]])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            return pd.DataFrame(rows, columns=["bucket", "counts"])
+
         for pdf in batches:
             w = words.coded(pdf["w"].to_numpy().view(np.uint64))
             rare = w >= _RARE
-            yield pd.DataFrame({"bucket": words.bucket(w[rare]), "w": w[rare].view(np.int64), "c": pdf["c"].to_numpy()[rare]})
+            held.append((w[rare], pdf["c"].to_numpy()[rare]))
+            if sum(len(x) for x, _ in held) > most:
+                yield flush()
+        if held:
+            yield flush()
 
-    return unigrams.mapInPandas(run, "bucket long, w long, c long")
+    return unigrams.mapInPandas(run, "bucket long, counts binary")
 
 
 def rare_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(pdf["w"].to_numpy())
-    return pdf["w"].to_numpy().view(np.uint64)[order], pdf["c"].to_numpy()[order]
+    """Words without a code and their counts, by rising hash."""
+    if not len(pdf):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    w, c = gathered(pdf["counts"], 0)
+    order = np.argsort(w)
+    return w[order].astype(np.uint64) + _RARE, c[order].astype(np.int64)
 
 
 _SETTLED = "kind int, k int, bucket long, a long, b long, blob binary"
@@ -352,7 +378,7 @@ def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, or
         place[at] = np.arange(len(at))
         c1 = words.count(grams[0], *rare_counts(right), start)
         new = np.r_[True, grams[0][1:] != grams[0][:-1]]
-        level, lower, telescoped, value = np.ones(len(c), dtype=np.int8), c1, c1, np.log10(uni.probability(c1))
+        level, lower, value = np.ones(len(c), dtype=np.int8), [c1], np.log10(uni.probability(c1))
         small = np.zeros(len(c), dtype=np.int8)  # (order - 2) * TOP + count of the longest seen n-gram, where small
         for k in range(2, order + 1):
             new[1:] |= grams[k - 1][1:] != grams[k - 1][:-1]
@@ -364,16 +390,20 @@ def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, or
             value = np.where(hit, np.log10(np.where(seen > TOP, seen * (seen / (seen + 1.0)), np.maximum(seen, 1))), value)
             small = np.where(hit, np.where(seen <= TOP, (k - 2) * TOP + seen, 0), small).astype(np.int8)
             trained = first[sums > 0]
-            ctx = [g[trained] for g in grams[1:k]]
-            bucket = words.bucket(ctx[0]) if k == 2 else words.bucket(ctx[0], ctx[1])
-            out += by_bucket(_NGRAMS, k, bucket, [grams[0][trained], *ctx, seen[trained], lower[trained]], k)
+            if k == 2 < order:  # contexts spread over several buckets get their pairs apart; all others see them in longer n-grams
+                trained = trained[words.spread(grams[1][trained])]
+            if k in (2, order):
+                ctx = [g[trained] for g in grams[1:k]]
+                bucket = words.bucket(ctx[0]) if k == 2 else words.bucket(ctx[0], ctx[1])
+                out += by_bucket(_NGRAMS, k, bucket, [grams[0][trained], *ctx, seen[trained], *(x[trained] for x in lower)], k)
             r, n = np.unique(sums[(sums > 0) & (sums <= TOP + 1)], return_counts=True)
             out += [(_COUNTS, k, 0, int(x), int(y), None) for x, y in zip(r, n, strict=True)]
-            lower, telescoped = seen, seen if k < order else telescoped
+            lower.insert(0, seen)
+        telescoped = lower[1]
         value -= np.where((telescoped > 0) & (grams[0] != end), np.log10(np.maximum(telescoped, 1)), 0)  # C(context) of the token behind
         base = uni.base(c1)
 
-        edges, done, lost = np.cumsum([0, *sizes]), 0, []
+        edges, lost = np.cumsum([0, *sizes]), []
         for batch, text, lo, hi in zip(batches, texts, edges[:-1], edges[1:], strict=True):
             e = np.repeat(place[lo:hi], each[lo:hi])
             own, text_of = np.unique(text, return_inverse=True)
@@ -384,7 +414,6 @@ def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, or
             out.append((_SUMS, 0, key[0], batch, 0, packed([np.diff(own.astype(np.int64), prepend=0), *whole, *real])))
             fell = level[e] < order
             lost.append(np.stack([e[fell], batch * 65_536 + text[fell].astype(np.int64)]))
-            done += n
         out += [(_IDS, 0, 0, b, 0, x) for b, x in zip(batches, left["ids"], strict=True) if x is not None]
         e, where = np.concatenate(lost, axis=1)
         for k in range(2, order + 1):
@@ -416,11 +445,21 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out, answers, shorter = [], [], None
         known = rare_counts(right)
+        grams: dict[int, list[tuple]] = {k: [] for k in range(2, order + 1)}  # (words before, count, count of the shorter one)
+        for size, blob in zip(left.loc[left["kind"] == _NGRAMS, "k"], left.loc[left["kind"] == _NGRAMS, "blob"], strict=True):
+            cols = gathered([blob], size)
+            w, c = cols[:size], cols[size:]
+            new = np.r_[True, w[0][1:] != w[0][:-1]]
+            for k in range(2, size + 1):  # rows are sorted: a shorter n-gram is counted where its run begins
+                new[1:] |= w[k - 1][1:] != w[k - 1][:-1]
+                own = new & ~words.spread(w[1]) if k == 2 < size else new
+                grams[k].append((*(x[own] for x in w[1:k]), c[size - k][own], c[size - k + 1][own]))
         for k in range(2, order + 1):
             of = left[left["k"] == k]
-            cols = gathered(of.loc[of["kind"] == _NGRAMS, "blob"], k)
-            if cols:
-                _, *ctx, c, low = cols
+            h = np.zeros(0, dtype=np.uint64)
+            parts = [x for x in grams.pop(k) if len(x[-1])]
+            if parts:
+                *ctx, c, low = (np.concatenate(x) for x in zip(*parts, strict=True))
                 c, low = c.astype(np.int64), low.astype(np.int64)
                 h = folded(ctx)
                 at = np.argsort(h, kind="stable")
@@ -439,11 +478,12 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
                     taken = np.add.reduceat(discounted(low, d[k - 1]), first) / over
                 alpha = freed / total / (1 - taken)
                 shorter = (h, total)
-                out.append((_CONTEXTS, k, 0, packed([*(x for w in ctx for x in pack_words(w)), total, alpha])))
+                at = np.lexsort((alpha, ctx[0]))
+                out.append((_CONTEXTS, k, 0, packed([*(x for w in ctx for x in pack_words(w[at])), total[at], alpha[at]])))
             cols = gathered(of.loc[of["kind"] == _ASKS, "blob"], k - 1)
             if cols:
                 *ask, mode, where = cols
-                if of["kind"].eq(_NGRAMS).any():
+                if len(h):
                     h2 = folded(ask)
                     at = np.minimum(np.searchsorted(h, h2), len(h) - 1)
                     hit = h[at] == h2
@@ -488,9 +528,12 @@ class Tables:
 
     def ngrams(self, k: int) -> DataFrame:
         """w, h1 (the word before), ..., c of every k-gram of the training texts; words are hashes (the start mark a small number)."""
-        names = ["w", *(f"h{j}" for j in range(1, k)), "c"]
-        blobs = self.settled.where((F.col("kind") == _NGRAMS) & (F.col("k") == k))
-        return self._rows(blobs, names, k, ", ".join(f"{n} long" for n in names))
+        order = len(self.d) - 1
+        names = ["w", *(f"h{j}" for j in range(1, order)), *(f"c{j}" for j in range(order, 0, -1))]
+        blobs = self.settled.where((F.col("kind") == _NGRAMS) & (F.col("k") == order))
+        rows = self._rows(blobs, names, order, ", ".join(f"{n} long" for n in names))
+        rows = rows.select("w", *(f"h{j}" for j in range(1, k)), F.col(f"c{k}").alias("c"))
+        return rows if k == order else rows.distinct()
 
     def contexts(self, k: int) -> DataFrame:
         """h1, ..., total (its occurrences), alpha (the backoff weight) of every context of k - 1 words."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,22 +31,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, release: bool = False) -> DataFrame:
+#: Spark's own setting: shuffle files of an execution go as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
 
-    release: asks the driver to collect its garbage then. Spark deletes shuffle files only after that, so a chain of
-    large shuffles would otherwise hold all of them on disk at once.
+    The shuffle files behind the table go when it is written, so a chain of large shuffles never holds all of them.
     """
-    bounded_batches(df.sparkSession)
-    path = shared_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path = shared_dir(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    for _ in range(2 * release):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works in the background
-    return out
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
