@@ -44,6 +44,8 @@ from siltstone.llm.text import as_bytes, blocks, mix, word_hashes
 TOP = 5
 #: Bound of the list of frequent words that every task knows (16 bytes each).
 CODES = 65_000
+#: Buckets that a task settles one after the other: each is small enough for a worker's memory.
+PARTS = 4
 _ESCAPE, START = 0xFFFF, 0xFFFE
 _RARE = np.uint64(1 << 48)
 #: Hash of the end token; mix() is a bijection, so it is as unlikely as any word's.
@@ -178,6 +180,15 @@ def unpack_words(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs_of(key: np.ndarray, *then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every key and the places that have it, in the order of `then`."""
+    if len(key):
+        at = np.lexsort((*then[::-1], key))
+        edges = np.flatnonzero(np.r_[True, key[at[1:]] != key[at[:-1]], True])
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            yield int(key[at[s]]), at[s:e]
+
+
 def gathered(blobs, words: int) -> list[np.ndarray]:
     """Columns of all blobs one behind the other; the first `words` are words (two stored columns each)."""
     parts = []
@@ -253,7 +264,7 @@ def frequent_words(unigrams: DataFrame, buckets: int, share: float) -> Words:
     return Words(buckets, np.array([w for w, _ in rows], dtype=np.uint64), counts, ways)
 
 
-_SENT = "bucket long, batch long, ids binary, blob binary"
+_SENT = "task long, bucket long, batch long, ids binary, blob binary"
 
 
 def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch: int = 1_000_000) -> DataFrame:
@@ -284,8 +295,8 @@ def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch:
                 lo, hi = np.searchsorted(bucket, [b, b + 1])
                 i, j = np.searchsorted(at, [lo, hi])
                 parts = [x for c in cols for x in pack_words(c[at[i:j]])]
-                out.append((b, batch, None if out else own, packed([*parts, seen[i:j], each[i:j], text[lo:hi]])))
-            return pd.DataFrame(out, columns=["bucket", "batch", "ids", "blob"])
+                out.append((b // PARTS, b, batch, None if out else own, packed([*parts, seen[i:j], each[i:j], text[lo:hi]])))
+            return pd.DataFrame(out, columns=["task", "bucket", "batch", "ids", "blob"])
 
         for pdf in batches:
             raw, trained = [as_bytes(t) for t in pdf["text"]], pdf[train].to_numpy(dtype=bool)
@@ -305,7 +316,7 @@ def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch:
 
 
 def dealt(unigrams: DataFrame, words: Words, most: int = 1_000_000) -> DataFrame:
-    """bucket and packed (w, c) of the words that have no code (each has one bucket)."""
+    """task and packed (w, c) of the words that have no code (each has one bucket)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -313,11 +324,9 @@ def dealt(unigrams: DataFrame, words: Words, most: int = 1_000_000) -> DataFrame
         def flush() -> pd.DataFrame:
             w, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = words.bucket(w)
-            at = np.lexsort((w, bucket))
-            edges = np.flatnonzero(np.r_[True, np.diff(bucket[at]) != 0, True]) if len(at) else []
-            rows = [(int(bucket[at[s]]), packed([w[at[s:e]] - _RARE, c[at[s:e]]])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-            return pd.DataFrame(rows, columns=["bucket", "counts"])
+            task = words.bucket(w) // PARTS
+            rows = [(t, packed([w[at] - _RARE, c[at]])) for t, at in runs_of(task, w)]
+            return pd.DataFrame(rows, columns=["task", "counts"])
 
         for pdf in batches:
             w = words.coded(pdf["w"].to_numpy().view(np.uint64))
@@ -328,7 +337,7 @@ def dealt(unigrams: DataFrame, words: Words, most: int = 1_000_000) -> DataFrame
         if held:
             yield flush()
 
-    return unigrams.mapInPandas(run, "bucket long, counts binary")
+    return unigrams.mapInPandas(run, "task long, counts binary")
 
 
 def rare_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -340,91 +349,111 @@ def rare_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return w[order].astype(np.uint64) + _RARE, c[order].astype(np.int64)
 
 
-_SETTLED = "kind int, k int, bucket long, a long, b long, blob binary"
+_SETTLED = "kind int, k int, task long, bucket long, a long, b long, blob binary"
 _SUMS, _IDS, _COUNTS, _NGRAMS, _ASKS = range(5)
 #: What an answer adds up: log alpha and log C(h), log alpha alone, or minus log C(h).
 _BOTH, _ALPHA, _LESS = range(3)
 
 
+class Settled:
+    """What a task has settled: columns for buckets of contexts, sums per text, counts of counts."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        self.columns: dict[tuple[int, int, int], list[list[np.ndarray]]] = {}
+        self.sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.counts: dict[tuple[int, int], int] = {}
+
+    def send(self, kind: int, k: int, ctx: list[np.ndarray], grams: list[np.ndarray], numbers: list[np.ndarray]) -> None:
+        """Keeps rows for the buckets of their contexts."""
+        bucket = self.words.bucket(ctx[0]) if k == 2 else self.words.bucket(ctx[0], ctx[1])
+        for b, at in runs_of(bucket):
+            own = [x for g in grams for x in pack_words(g[at])] + [x[at].astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in numbers]
+            self.columns.setdefault((kind, k, b), []).append(own)
+
+    def rows(self) -> Iterator[tuple]:
+        for (kind, k, b), parts in self.columns.items():
+            yield kind, k, b // PARTS, b, 0, 0, packed([np.concatenate(x) for x in zip(*parts, strict=True)])
+        for batch, parts in self.sums.items():
+            own, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            numbers = np.concatenate([x for _, x in parts], axis=1)
+            total = [np.bincount(at, weights=x) for x in numbers]
+            yield _SUMS, 0, 0, 0, batch, 0, packed([np.diff(own.astype(np.int64), prepend=0), *(x.astype(np.int64) for x in total[2:]), *total[:2]])
+        for (k, r), n in self.counts.items():
+            yield _COUNTS, k, 0, 0, r, n, None
+
+
+def settle_bucket(sent: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], into: Settled, uni: Unigrams, order: int, start: int, end: int) -> None:
+    """Settles all n-grams of one bucket: (batch, blob) of every batch."""
+    texts, sizes, cols = [], [], []
+    for blob in sent["blob"]:
+        part = unpacked(blob)
+        texts.append(part.pop().astype(np.uint16))
+        w = [unpack_words(*part[2 * k : 2 * k + 2]) for k in range(order)]
+        cols.append([*w, *(x.astype(np.int32) for x in part[2 * order :])])
+        sizes.append(len(w[0]))
+    *grams, c, each = (np.concatenate(x) for x in zip(*cols, strict=True))
+    del cols
+    at = np.lexsort(grams[::-1])
+    grams, c = [g[at] for g in grams], c[at].astype(np.int64)
+    place = np.empty(len(at), dtype=np.int64)  # of each sent n-gram in sorted order
+    place[at] = np.arange(len(at))
+    c1 = into.words.count(grams[0], *known, start)
+    new = np.r_[True, grams[0][1:] != grams[0][:-1]]
+    level, lower, value = np.ones(len(c), dtype=np.int8), [c1], np.log10(uni.probability(c1))
+    small = np.zeros(len(c), dtype=np.int64)  # (k - 2) * TOP + count of the longest seen n-gram, where that is small
+    for k in range(2, order + 1):
+        new[1:] |= grams[k - 1][1:] != grams[k - 1][:-1]
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(c, first)
+        seen = sums[np.cumsum(new) - 1]
+        hit = seen > 0
+        level[hit] = k
+        value = np.where(hit, np.log10(np.where(seen > TOP, seen * (seen / (seen + 1.0)), np.maximum(seen, 1))), value)
+        small = np.where(hit, np.where(seen <= TOP, (k - 2) * TOP + seen, 0), small)
+        trained = first[sums > 0]
+        if k == 2 < order:  # contexts spread over several buckets get their pairs apart; all others see them in longer n-grams
+            trained = trained[into.words.spread(grams[1][trained])]
+        if k in (2, order):
+            own = [g[trained] for g in grams[:k]]
+            into.send(_NGRAMS, k, own[1:], own, [seen[trained], *(x[trained] for x in lower)])
+        for r, n in zip(*np.unique(sums[(sums > 0) & (sums <= TOP + 1)], return_counts=True), strict=True):
+            into.counts[k, int(r)] = into.counts.get((k, int(r)), 0) + int(n)
+        lower.insert(0, seen)
+    # less the log of the context's count of the token behind
+    value -= np.where((lower[1] > 0) & (grams[0] != end), np.log10(np.maximum(lower[1], 1)), 0)
+    base = uni.base(c1)
+
+    edges, lost = np.cumsum([0, *sizes]), []
+    for batch, text, lo, hi in zip(sent["batch"], texts, edges[:-1], edges[1:], strict=True):
+        e = np.repeat(place[lo:hi], each[lo:hi])
+        own, text_of = np.unique(text, return_inverse=True)
+        n, m = len(own), (order - 1) * TOP + 1
+        count = np.bincount(text_of * m + small[e], minlength=m * n).reshape(n, m).T[1:]
+        sums = [np.bincount(text_of, weights=x[e], minlength=n) for x in (base, value, c1 > 0)]
+        into.sums.setdefault(batch, []).append((own, np.concatenate([sums, count]).astype(np.float64)))
+        fell = level[e] < order
+        lost.append(np.stack([e[fell], batch * 65_536 + text[fell].astype(np.int64)]))
+    e, where = np.concatenate(lost, axis=1)
+    for k in range(2, order + 1):
+        mode = np.full(len(e), _BOTH) if k == order else np.where(level[e] < k, _ALPHA, _LESS)
+        asks = level[e] <= k if k < order else level[e] < k
+        ctx = [g[e[asks]] for g in grams[1:k]]
+        into.send(_ASKS, k, ctx, ctx, [mode[asks], where[asks]])
+
+
 def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, order: int, start: int) -> DataFrame:
-    """Settles every bucket; rows of several kinds (see the constants) that go into one table partitioned by kind."""
+    """Settles all buckets; rows of several kinds (see the constants) that go into one table partitioned by kind."""
     end = int(words.coded(np.array([END], dtype=np.uint64))[0])
 
-    def by_bucket(kind: int, k: int, bucket: np.ndarray, cols: list[np.ndarray], n_words: int) -> Iterator[tuple]:
-        at = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[at]) != 0, True]) if len(at) else []
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            own = at[s:e]
-            parts = [x for c in cols[:n_words] for x in pack_words(c[own])]
-            yield kind, k, int(bucket[own[0]]), 0, 0, packed([*parts, *(c[own] for c in cols[n_words:])])
-
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        names = [x.split()[0] for x in _SETTLED.split(", ")]
-        if not len(left):
-            return pd.DataFrame(out, columns=names)
-        batches, texts, sizes, cols = left["batch"].tolist(), [], [], []
-        for blob in left["blob"]:
-            part = unpacked(blob)
-            texts.append(part.pop().astype(np.uint16))
-            w = [unpack_words(*part[2 * k : 2 * k + 2]) for k in range(order)]
-            cols.append([*w, *(x.astype(np.int32) for x in part[2 * order :])])
-            sizes.append(len(w[0]))
-        *grams, c, each = (np.concatenate(x) for x in zip(*cols, strict=True))
-        del cols
-        at = np.lexsort(grams[::-1])
-        grams, c = [g[at] for g in grams], c[at].astype(np.int64)
-        place = np.empty(len(at), dtype=np.int64)  # of each sent n-gram in sorted order
-        place[at] = np.arange(len(at))
-        c1 = words.count(grams[0], *rare_counts(right), start)
-        new = np.r_[True, grams[0][1:] != grams[0][:-1]]
-        level, lower, value = np.ones(len(c), dtype=np.int8), [c1], np.log10(uni.probability(c1))
-        small = np.zeros(len(c), dtype=np.int8)  # (order - 2) * TOP + count of the longest seen n-gram, where small
-        for k in range(2, order + 1):
-            new[1:] |= grams[k - 1][1:] != grams[k - 1][:-1]
-            first = np.flatnonzero(new)
-            sums = np.add.reduceat(c, first)
-            seen = sums[np.cumsum(new) - 1]
-            hit = seen > 0
-            level[hit] = k
-            value = np.where(hit, np.log10(np.where(seen > TOP, seen * (seen / (seen + 1.0)), np.maximum(seen, 1))), value)
-            small = np.where(hit, np.where(seen <= TOP, (k - 2) * TOP + seen, 0), small).astype(np.int8)
-            trained = first[sums > 0]
-            if k == 2 < order:  # contexts spread over several buckets get their pairs apart; all others see them in longer n-grams
-                trained = trained[words.spread(grams[1][trained])]
-            if k in (2, order):
-                ctx = [g[trained] for g in grams[1:k]]
-                bucket = words.bucket(ctx[0]) if k == 2 else words.bucket(ctx[0], ctx[1])
-                out += by_bucket(_NGRAMS, k, bucket, [grams[0][trained], *ctx, seen[trained], *(x[trained] for x in lower)], k)
-            r, n = np.unique(sums[(sums > 0) & (sums <= TOP + 1)], return_counts=True)
-            out += [(_COUNTS, k, 0, int(x), int(y), None) for x, y in zip(r, n, strict=True)]
-            lower.insert(0, seen)
-        telescoped = lower[1]
-        value -= np.where((telescoped > 0) & (grams[0] != end), np.log10(np.maximum(telescoped, 1)), 0)  # C(context) of the token behind
-        base = uni.base(c1)
-
-        edges, lost = np.cumsum([0, *sizes]), []
-        for batch, text, lo, hi in zip(batches, texts, edges[:-1], edges[1:], strict=True):
-            e = np.repeat(place[lo:hi], each[lo:hi])
-            own, text_of = np.unique(text, return_inverse=True)
-            n = len(own)
-            count = np.bincount(text_of * 64 + small[e], minlength=64 * n).reshape(n, 64) if (order - 1) * TOP < 64 else np.stack([np.bincount(text_of, weights=small[e] == r, minlength=n) for r in range((order - 1) * TOP + 1)], axis=1).astype(np.int64)
-            whole = [np.bincount(text_of, weights=c1[e] > 0, minlength=n).astype(np.int64), *(count[:, r] for r in range(1, (order - 1) * TOP + 1))]
-            real = [np.bincount(text_of, weights=x[e], minlength=n) for x in (base, value)]
-            out.append((_SUMS, 0, key[0], batch, 0, packed([np.diff(own.astype(np.int64), prepend=0), *whole, *real])))
-            fell = level[e] < order
-            lost.append(np.stack([e[fell], batch * 65_536 + text[fell].astype(np.int64)]))
-        out += [(_IDS, 0, 0, b, 0, x) for b, x in zip(batches, left["ids"], strict=True) if x is not None]
-        e, where = np.concatenate(lost, axis=1)
-        for k in range(2, order + 1):
-            mode = np.full(len(e), _BOTH) if k == order else np.where(level[e] < k, _ALPHA, _LESS)
-            asks = level[e] <= k if k < order else level[e] < k
-            ctx = [g[e[asks]] for g in grams[1:k]]
-            bucket = words.bucket(ctx[0]) if k == 2 else words.bucket(ctx[0], ctx[1])
-            out += by_bucket(_ASKS, k, bucket, [*ctx, mode[asks], where[asks]], k - 1)
-        return pd.DataFrame(out, columns=names)
+        into, known = Settled(words), rare_counts(right)
+        for _, part in left.groupby("bucket"):
+            settle_bucket(part, known, into, uni, order, start, end)
+        rows = [(_IDS, 0, 0, 0, b, 0, x) for b, x in zip(left["batch"], left["ids"], strict=True) if x is not None]
+        return pd.DataFrame([*rows, *into.rows()], columns=[x.split()[0] for x in _SETTLED.split(", ")])
 
-    return sent.groupBy("bucket").cogroup(dealt(unigrams, words).groupBy("bucket")).applyInPandas(run, _SETTLED)
+    return sent.groupBy("task").cogroup(dealt(unigrams, words).groupBy("task")).applyInPandas(run, _SETTLED)
 
 
 def folded(ctx: list[np.ndarray]) -> np.ndarray:
@@ -442,20 +471,18 @@ _ANSWERS, _CONTEXTS = range(2)
 def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, d: list[np.ndarray], order: int, start: int) -> DataFrame:
     """Totals and exactly normalised backoff weights of all contexts, and the answers to what was asked about them."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, answers, shorter = [], [], None
-        known = rare_counts(right)
+    def weigh_bucket(left: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], out: list[tuple], answers: list[tuple]) -> None:
+        shorter = None
         grams: dict[int, list[tuple]] = {k: [] for k in range(2, order + 1)}  # (words before, count, count of the shorter one)
         for size, blob in zip(left.loc[left["kind"] == _NGRAMS, "k"], left.loc[left["kind"] == _NGRAMS, "blob"], strict=True):
             cols = gathered([blob], size)
             w, c = cols[:size], cols[size:]
             new = np.r_[True, w[0][1:] != w[0][:-1]]
-            for k in range(2, size + 1):  # rows are sorted: a shorter n-gram is counted where its run begins
+            for k in range(2, size + 1):  # rows come sorted: a shorter n-gram is counted where its run begins
                 new[1:] |= w[k - 1][1:] != w[k - 1][:-1]
                 own = new & ~words.spread(w[1]) if k == 2 < size else new
                 grams[k].append((*(x[own] for x in w[1:k]), c[size - k][own], c[size - k + 1][own]))
         for k in range(2, order + 1):
-            of = left[left["k"] == k]
             h = np.zeros(0, dtype=np.uint64)
             parts = [x for x in grams.pop(k) if len(x[-1])]
             if parts:
@@ -471,34 +498,37 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
                 if k == 2:
                     taken = np.add.reduceat(uni.probability(low), first)
                 else:
-                    if k == 3:
-                        over = words.count(ctx[0], *known, start)
-                    else:
-                        over = shorter[1][np.searchsorted(shorter[0], folded(ctx[:-1]))]
+                    over = words.count(ctx[0], *known, start) if k == 3 else shorter[1][np.searchsorted(shorter[0], folded(ctx[:-1]))]
                     taken = np.add.reduceat(discounted(low, d[k - 1]), first) / over
                 alpha = freed / total / (1 - taken)
                 shorter = (h, total)
                 at = np.lexsort((alpha, ctx[0]))
                 out.append((_CONTEXTS, k, 0, packed([*(x for w in ctx for x in pack_words(w[at])), total[at], alpha[at]])))
-            cols = gathered(of.loc[of["kind"] == _ASKS, "blob"], k - 1)
-            if cols:
+            cols = gathered(left.loc[(left["k"] == k) & (left["kind"] == _ASKS), "blob"], k - 1)
+            if cols and len(h):  # a context that training has not seen adds nothing
                 *ask, mode, where = cols
-                if len(h):
-                    h2 = folded(ask)
-                    at = np.minimum(np.searchsorted(h, h2), len(h) - 1)
-                    hit = h[at] == h2
-                    t, a = np.where(hit, total[at], 1), np.where(hit, alpha[at], 1.0)
-                    answers.append((where, np.where(mode == _LESS, 0, np.log10(a)) + np.where(mode == _BOTH, 1, np.where(mode == _LESS, -1, 0)) * np.log10(t)))
+                key = folded(ask)
+                at = np.minimum(np.searchsorted(h, key), len(h) - 1)
+                hit = h[at] == key
+                at, mode = at[hit], mode[hit]
+                value = np.where(mode == _LESS, 0, np.log10(alpha[at])) + np.where(mode == _BOTH, 1, np.where(mode == _LESS, -1, 0)) * np.log10(total[at])
+                answers.append((where[hit].astype(np.int64), value))
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        answers: list[tuple] = []
+        known = rare_counts(right)
+        for _, part in left.groupby("bucket"):
+            weigh_bucket(part, known, out, answers)
         if answers:
             where, value = (np.concatenate(x) for x in zip(*answers, strict=True))
-            own, at = np.unique(where.astype(np.int64), return_inverse=True)
+            own, at = np.unique(where, return_inverse=True)
             value = np.bincount(at, weights=value)
-            edges = np.flatnonzero(np.r_[True, np.diff(own >> 16) != 0, True])
-            out += [(_ANSWERS, 0, int(own[s] >> 16), packed([own[s:e] & 0xFFFF, value[s:e]])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            out += [(_ANSWERS, 0, batch, packed([own[at] & 0xFFFF, value[at]])) for batch, at in runs_of(own >> 16)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in _WEIGHED.split(", ")])
 
-    left = settled.where(F.col("kind").isin(_NGRAMS, _ASKS)).select("bucket", "kind", "k", "blob")
-    return left.groupBy("bucket").cogroup(dealt(unigrams, words).groupBy("bucket")).applyInPandas(run, _WEIGHED)
+    left = settled.where(F.col("kind").isin(_NGRAMS, _ASKS)).select("task", "bucket", "kind", "k", "blob")
+    return left.groupBy("task").cogroup(dealt(unigrams, words).groupBy("task")).applyInPandas(run, _WEIGHED)
 
 
 @dataclass
@@ -542,14 +572,14 @@ class Tables:
         return self._rows(blobs, names, k - 1, ", ".join(f"{n} {'double' if n == 'alpha' else 'long'}" for n in names))
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, per_bucket: int = 2_500_000) -> tuple[DataFrame, Tables]:
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, per_bucket: int = 600_000) -> tuple[DataFrame, Tables]:
     """Fits an `order`-gram model (2 or more) on the rows where `train` holds and scores all rows: id, held_out, n_tokens,
     n_known, train_tokens, base_score, score; and the tables of the model."""
     own = F.col(id_col).cast("long")
     rows = df.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("has"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     unigrams = stored(unigram_table(rows, "train"), "unigrams")
     uni = summary(unigrams)
-    buckets = max(partitions(df.sparkSession), -(-uni.total // per_bucket))
+    buckets = PARTS * max(partitions(df.sparkSession), -(-uni.total // (per_bucket * PARTS)))
     words = frequent_words(unigrams, buckets, max(uni.total / buckets / 4, 1.0))
     start = rows.where("train").count()  # every training text starts once
     settled = stored(settle(sent_ngrams(rows, "train", words, order), unigrams, words, uni, order, start), "katz", partition_by=["kind"])
