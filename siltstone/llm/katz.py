@@ -213,10 +213,10 @@ def unigram_table(df: DataFrame, train: str) -> DataFrame:
 
         for pdf in batches:
             raw = [as_bytes(t) for t in pdf.loc[pdf[train].to_numpy(dtype=bool), "text"]]
-            for s, e in blocks(raw):
+            for s, e in blocks(raw, 1 << 20):
                 held.append(tokens(raw[s:e])[0])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -267,7 +267,7 @@ def frequent_words(unigrams: DataFrame, buckets: int, share: float) -> Words:
 _SENT = "task long, bucket long, batch long, ids binary, blob binary"
 
 
-def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch: int = 1_000_000) -> DataFrame:
+def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch: int = 800_000) -> DataFrame:
     """The distinct n-grams of each batch of texts, by bucket: last words in runs, words before, training counts,
     occurrences, and the text of every occurrence as a place in the batch's `ids` (sent once a batch)."""
 
@@ -281,14 +281,17 @@ def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch:
             held.clear()
             cols = [w, *(before(w, text, k) for k in range(1, order))]
             n_tokens = np.bincount(text, minlength=len(ids))
-            bucket = words.bucket(w, cols[1])
+            bucket = words.bucket(w, cols[1]).astype(np.int32)
             at = np.lexsort((*cols[::-1], bucket))
-            cols, text, trained, bucket = [c[at] for c in cols], text[at], trained[at], bucket[at]
+            for k in range(order):
+                cols[k] = cols[k][at]
+            text, trained, bucket = text[at], trained[at], bucket[at]
+            del w
             new = np.r_[True, bucket[1:] != bucket[:-1]]
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
             at = np.flatnonzero(new)
-            seen, each = np.add.reduceat(trained.astype(np.int64), at), np.diff(np.r_[at, len(w)])
+            seen, each = np.add.reduceat(trained.astype(np.int64), at), np.diff(np.r_[at, len(text)])
             own = packed([*(np.array(x, dtype=np.uint64) for x in zip(*ids, strict=True)), n_tokens])  # id, has an id, trained
             batch, out = TaskContext.get().partitionId() * 1_000_000 + number, []
             for b in np.unique(bucket).tolist():
@@ -301,12 +304,12 @@ def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch:
         for pdf in batches:
             raw, trained = [as_bytes(t) for t in pdf["text"]], pdf[train].to_numpy(dtype=bool)
             rows = list(zip(pdf["id"].to_numpy().view(np.uint64), pdf["has"], trained, strict=True))
-            for s, e in blocks(raw):
+            for s, e in blocks(raw, 1 << 20):
                 if held and (size > per_batch or len(ids) + e - s > 60_000):
                     yield flush()
                     ids, size, number = [], 0, number + 1
                 w, text = tokens(raw[s:e])
-                held.append((words.coded(w), text + len(ids), trained[s:e][text]))
+                held.append((words.coded(w), (text + len(ids)).astype(np.int32), trained[s:e][text]))
                 ids += rows[s:e]
                 size += len(w)
         if held:
@@ -349,7 +352,7 @@ def rare_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return w[order].astype(np.uint64) + _RARE, c[order].astype(np.int64)
 
 
-_SETTLED = "kind int, k int, task long, bucket long, a long, b long, blob binary"
+_SETTLED = "kind int, k int, task long, bucket long, a long, b long, last binary, blob binary"
 _SUMS, _IDS, _COUNTS, _NGRAMS, _ASKS = range(5)
 #: What an answer adds up: log alpha and log C(h), log alpha alone, or minus log C(h).
 _BOTH, _ALPHA, _LESS = range(3)
@@ -364,23 +367,24 @@ class Settled:
         self.sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.counts: dict[tuple[int, int], int] = {}
 
-    def send(self, kind: int, k: int, ctx: list[np.ndarray], grams: list[np.ndarray], numbers: list[np.ndarray]) -> None:
-        """Keeps rows for the buckets of their contexts."""
+    def send(self, kind: int, k: int, ctx: list[np.ndarray], numbers: list[np.ndarray], last: np.ndarray | None = None) -> None:
+        """Keeps rows for the buckets of their contexts; last words go into a column of their own."""
         bucket = self.words.bucket(ctx[0]) if k == 2 else self.words.bucket(ctx[0], ctx[1])
         for b, at in runs_of(bucket):
-            own = [x for g in grams for x in pack_words(g[at])] + [x[at].astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in numbers]
-            self.columns.setdefault((kind, k, b), []).append(own)
+            own = [x for g in ctx for x in pack_words(g[at])] + [x[at].astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in numbers]
+            self.columns.setdefault((kind, k, b), []).append([*(pack_words(last[at]) if last is not None else []), *own])
 
     def rows(self) -> Iterator[tuple]:
         for (kind, k, b), parts in self.columns.items():
-            yield kind, k, b // PARTS, b, 0, 0, packed([np.concatenate(x) for x in zip(*parts, strict=True)])
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            yield kind, k, b // PARTS, b, 0, 0, packed(cols[:2]) if kind == _NGRAMS else None, packed(cols[2:] if kind == _NGRAMS else cols)
         for batch, parts in self.sums.items():
             own, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
             numbers = np.concatenate([x for _, x in parts], axis=1)
             total = [np.bincount(at, weights=x) for x in numbers]
-            yield _SUMS, 0, 0, 0, batch, 0, packed([np.diff(own.astype(np.int64), prepend=0), *(x.astype(np.int64) for x in total[2:]), *total[:2]])
+            yield _SUMS, 0, 0, 0, batch, 0, None, packed([np.diff(own.astype(np.int64), prepend=0), *(x.astype(np.int64) for x in total[2:]), *total[:2]])
         for (k, r), n in self.counts.items():
-            yield _COUNTS, k, 0, 0, r, n, None
+            yield _COUNTS, k, 0, 0, r, n, None, None
 
 
 def settle_bucket(sent: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], into: Settled, uni: Unigrams, order: int, start: int, end: int) -> None:
@@ -415,8 +419,13 @@ def settle_bucket(sent: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], into
         if k == 2 < order:  # contexts spread over several buckets get their pairs apart; all others see them in longer n-grams
             trained = trained[into.words.spread(grams[1][trained])]
         if k in (2, order):
-            own = [g[trained] for g in grams[:k]]
-            into.send(_NGRAMS, k, own[1:], own, [seen[trained], *(x[trained] for x in lower)])
+            # where the run of every shorter ending begins: 1 for the pair, 2 for the triple and so on up to the n-gram itself
+            begins = np.full(len(trained), 1 << (k - 1))
+            fresh = np.r_[True, np.diff(grams[0][trained]) != 0] if len(trained) else np.zeros(0, dtype=bool)
+            for j in range(2, k):
+                fresh[1:] |= np.diff(grams[j - 1][trained]) != 0
+                begins += fresh << (j - 1)
+            into.send(_NGRAMS, k, [g[trained] for g in grams[1:k]], [begins, seen[trained], *(x[trained] for x in lower)], grams[0][trained])
         for r, n in zip(*np.unique(sums[(sums > 0) & (sums <= TOP + 1)], return_counts=True), strict=True):
             into.counts[k, int(r)] = into.counts.get((k, int(r)), 0) + int(n)
         lower.insert(0, seen)
@@ -439,7 +448,7 @@ def settle_bucket(sent: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], into
         mode = np.full(len(e), _BOTH) if k == order else np.where(level[e] < k, _ALPHA, _LESS)
         asks = level[e] <= k if k < order else level[e] < k
         ctx = [g[e[asks]] for g in grams[1:k]]
-        into.send(_ASKS, k, ctx, ctx, [mode[asks], where[asks]])
+        into.send(_ASKS, k, ctx, [mode[asks], where[asks]])
 
 
 def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, order: int, start: int) -> DataFrame:
@@ -450,7 +459,7 @@ def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, or
         into, known = Settled(words), rare_counts(right)
         for _, part in left.groupby("bucket"):
             settle_bucket(part, known, into, uni, order, start, end)
-        rows = [(_IDS, 0, 0, 0, b, 0, x) for b, x in zip(left["batch"], left["ids"], strict=True) if x is not None]
+        rows = [(_IDS, 0, 0, 0, b, 0, None, x) for b, x in zip(left["batch"], left["ids"], strict=True) if x is not None]
         return pd.DataFrame([*rows, *into.rows()], columns=[x.split()[0] for x in _SETTLED.split(", ")])
 
     return sent.groupBy("task").cogroup(dealt(unigrams, words).groupBy("task")).applyInPandas(run, _SETTLED)
@@ -475,13 +484,13 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
         shorter = None
         grams: dict[int, list[tuple]] = {k: [] for k in range(2, order + 1)}  # (words before, count, count of the shorter one)
         for size, blob in zip(left.loc[left["kind"] == _NGRAMS, "k"], left.loc[left["kind"] == _NGRAMS, "blob"], strict=True):
-            cols = gathered([blob], size)
-            w, c = cols[:size], cols[size:]
-            new = np.r_[True, w[0][1:] != w[0][:-1]]
-            for k in range(2, size + 1):  # rows come sorted: a shorter n-gram is counted where its run begins
-                new[1:] |= w[k - 1][1:] != w[k - 1][:-1]
-                own = new & ~words.spread(w[1]) if k == 2 < size else new
-                grams[k].append((*(x[own] for x in w[1:k]), c[size - k][own], c[size - k + 1][own]))
+            cols = gathered([blob], size - 1)
+            w, begins, c = cols[: size - 1], cols[size - 1], cols[size:]
+            for k in range(2, size + 1):  # a shorter n-gram is counted where its run begins
+                own = begins & (1 << (k - 1)) > 0
+                if k == 2 < size:
+                    own &= ~words.spread(w[0])
+                grams[k].append((*(x[own] for x in w[: k - 1]), c[size - k][own], c[size - k + 1][own]))
         for k in range(2, order + 1):
             h = np.zeros(0, dtype=np.uint64)
             parts = [x for x in grams.pop(k) if len(x[-1])]
@@ -542,37 +551,41 @@ class Tables:
     uni: Unigrams
     d: list[np.ndarray] = field(default_factory=list)
 
-    def _rows(self, blobs: DataFrame, columns: list[str], words: int, schema: str) -> DataFrame:
+    def _rows(self, blobs: DataFrame, columns: list[str], words: list[int], schema: str) -> DataFrame:
+        """Unpacked rows; `words` is the number of words in each packed column, which come first there."""
         hashes = self.words.hashes
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for blob in pdf["blob"]:
-                    cols = gathered([blob], words)
-                    for c in cols[:words]:
-                        frequent = c < len(hashes)
-                        c[frequent] = hashes[c[frequent].astype(np.int64)]
-                    yield pd.DataFrame({n: c.view(np.int64) if c.dtype == np.uint64 else c for n, c in zip(columns, cols, strict=False)})
-
-        return blobs.select("blob").mapInPandas(run, schema)
+                for row in pdf.itertuples(index=False):
+                    cols = []
+                    for blob, n in zip(row, words, strict=True):
+                        own = gathered([blob], n)
+                        for c in own[:n]:
+                            frequent = c < len(hashes)
+                            c[frequent] = hashes[c[frequent].astype(np.int64)]
+                        cols += own
+                    yield pd.DataFrame({n: c.view(np.int64) if c.dtype == np.uint64 else c for n, c in zip(columns, cols, strict=True)})
+
+        return blobs.mapInPandas(run, schema)
 
     def ngrams(self, k: int) -> DataFrame:
         """w, h1 (the word before), ..., c of every k-gram of the training texts; words are hashes (the start mark a small number)."""
         order = len(self.d) - 1
-        names = ["w", *(f"h{j}" for j in range(1, order)), *(f"c{j}" for j in range(order, 0, -1))]
-        blobs = self.settled.where((F.col("kind") == _NGRAMS) & (F.col("k") == order))
-        rows = self._rows(blobs, names, order, ", ".join(f"{n} long" for n in names))
+        names = ["w", *(f"h{j}" for j in range(1, order)), "begins", *(f"c{j}" for j in range(order, 0, -1))]
+        blobs = self.settled.where((F.col("kind") == _NGRAMS) & (F.col("k") == order)).select("last", "blob")
+        rows = self._rows(blobs, names, [1, order - 1], ", ".join(f"{n} long" for n in names))
         rows = rows.select("w", *(f"h{j}" for j in range(1, k)), F.col(f"c{k}").alias("c"))
         return rows if k == order else rows.distinct()
 
     def contexts(self, k: int) -> DataFrame:
         """h1, ..., total (its occurrences), alpha (the backoff weight) of every context of k - 1 words."""
         names = [*(f"h{j}" for j in range(1, k)), "total", "alpha"]
-        blobs = self.weighed.where((F.col("kind") == _CONTEXTS) & (F.col("k") == k))
-        return self._rows(blobs, names, k - 1, ", ".join(f"{n} {'double' if n == 'alpha' else 'long'}" for n in names))
+        blobs = self.weighed.where((F.col("kind") == _CONTEXTS) & (F.col("k") == k)).select("blob")
+        return self._rows(blobs, names, [k - 1], ", ".join(f"{n} {'double' if n == 'alpha' else 'long'}" for n in names))
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, per_bucket: int = 600_000) -> tuple[DataFrame, Tables]:
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, per_bucket: int = 400_000) -> tuple[DataFrame, Tables]:
     """Fits an `order`-gram model (2 or more) on the rows where `train` holds and scores all rows: id, held_out, n_tokens,
     n_known, train_tokens, base_score, score; and the tables of the model."""
     own = F.col(id_col).cast("long")
