@@ -1,22 +1,28 @@
 """Set-similarity join of documents on word n-grams: token-combination prefixes, then exact verification.
 
 A document's set holds the hashes of its distinct k-word shingles, in hash order. Equal sets form one class, so copies
-are never compared. Two classes whose Jaccard similarity reaches num / den share a token among the first
-n - ceil(n num / den) + 1 of each (the prefix). The join looks for them so:
-
-1. Single tokens: every class indexes its prefix; tokens held by 2 to `rare` classes give their pairs.
-2. Token combinations: a class with a frequent prefix token (more than `rare` classes) extends its prefix to the whole
-   set and indexes the combination of all its tokens in each of m ranges of the hash space, with m above the number of
-   tokens in which a similar class may differ. Then at least one range is equal on both sides, with several tokens at
-   once, which unrelated texts around a shared passage hardly ever are. m follows from the level floor(log n) to the
-   base den / num; similar sizes are at most one level apart, so each class indexes its own level and the next. A class
-   whose tokens leave too many ranges empty meets the whole bucket of its frequent tokens instead, in blocks.
+are never compared. Let t(n) be the most tokens of a set of size n that a set of Jaccard similarity num / den or more can
+lack. The join takes extended prefixes of window(n) = t(n) + 1 + max(1, t(n) / 2) tokens (all of a smaller set): two similar sets share at least
+reach(n) = window(n) - t(n) of them, n the smaller size. Tokens of prefixes are of two classes:
+
+1. Rare ones, held by the prefixes of 2 to `rare` classes, are indexed singly and give their pairs.
+2. Frequent ones are not worth a pair each. Similar sets that share no rare token share reach(n) frequent ones, so only
+   sets with that many go on, and those index token combinations. Sets of more than a few tokens are dealt to m ranges of
+   the hash space, with m above the number of tokens in which a similar set may differ, and the tokens of each range are
+   one combination: at least one is equal on both sides, and unrelated texts around a shared passage hardly ever have one
+   in common. m follows from the level floor(log n) to the base den / num; similar sizes are at most one level apart, so
+   a set indexes its own level and the next. Empty ranges break the guarantee: m, and where sets are short several
+   independent dealings, make that rarer than two equal 64-bit hashes (`dealings`). Sets so small that similar ones
+   differ in one token only index the combination of all their tokens and those that leave one out.
 3. Pairs are filtered by length and by parity bitmaps, whose Hamming distance never exceeds the symmetric difference.
-   Buckets above `rare` members are cut into blocks of about `_BLOCK` that meet pairwise as rows; each pair of blocks
-   compares bitmaps and passes on a spanning forest, never all pairs.
+   Combinations of more than `rare` classes are cut into blocks of about `_BLOCK` members that meet pairwise as rows; each
+   pair of blocks compares bitmaps and passes on a spanning forest, never all pairs.
 4. The connected groups of that candidate graph meet with their sets, in parts of bounded size; pairs not yet linked
    are verified exactly. Links of one group need no more than a spanning forest to give the components.
 
+A token or combination that a task finds in more than `rare` classes is known to be frequent there and then: it sends
+just enough rows to tell the others, so no key gathers more than a few rows a task.
+
 Tokens and classes are 64-bit hashes. Defined results: no words or null text give an empty set, linked with nothing;
 fewer than k words are one shingle; repeated rows link like any copies; rows without an id keep their place in the
 result; extra columns are ignored whatever their names; an empty table gives an empty result.
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +46,7 @@ from siltstone.llm.text import BASE, as_bytes, blocks, mix, runs, word_hashes
 _PART_BYTES = 24 << 20
 _SEEN = 500_000
 _BLOCK = 4096
-_MARKS = 1 << 25
+_MARKS = 1 << 27
 _SHORT = np.uint64(16)
 
 
@@ -91,29 +98,111 @@ def compatible(n1, n2, distance, num: int, den: int):
     return (small * den >= large * num) & (distance * (den + num) <= (n1 + n2) * (den - num))
 
 
-def ranges(level: int, num: int, den: int) -> tuple[int, int]:
-    """Most tokens in which similar sets of a level may differ, and the number of ranges at that level."""
-    largest = math.floor((den / num) ** (level + 1) + 1e-6) + 1
-    differ = largest * (den - num) // num
-    return differ, differ + 2 + differ // 8
-
-
-def combinations(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
-    """Keys of the token combinations of both levels; False where empty ranges break the guarantee."""
-    n, keys, sound = len(s), [], True
-    level = math.floor(math.log(n) / math.log(den / num) + 1e-9)
-    differ = n * (den - num) // num
-    for lv in (level, level + 1):
-        _, m = ranges(lv, num, den)
-        at = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        starts, _ = runs(at)
-        sound &= len(starts) > differ
-        keys.append(mix(np.add.reduceat(mix(s ^ np.uint64(lv * 2 + 1)), starts) + at[starts]))
-    return np.concatenate(keys), sound
-
-
-def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """One row per document: id, n, cls, bits, prefix and combos (arrays of 48-bit keys), sound.
+def lacking(n: int, num: int, den: int) -> int:
+    """Most tokens of a set of size n that a similar one can lack."""
+    return n + (-n * num) // den
+
+
+def window(n: int, num: int, den: int) -> int:
+    """Size of the extended prefix."""
+    t = lacking(n, num, den)
+    return min(n, t + 1 + max(1, t // 2))
+
+
+def reach(n: int, num: int, den: int) -> int:
+    """Least number of prefix tokens that a set of size n shares with a similar one, of whatever size."""
+    least = -(-n * num // den)
+    return window(least, num, den) - lacking(least, num, den)
+
+
+def differing(n: int, num: int, den: int) -> int:
+    """Most tokens in which a set of size n and a similar one differ, both sides together."""
+    return n * (den - num) // num
+
+
+def smallest_sets(num: int, den: int) -> int:
+    """Largest size at which similar sets differ in one token at most."""
+    return (2 * num - 1) // (den - num)
+
+
+@lru_cache(maxsize=None)
+def dealings(level: int, num: int, den: int) -> tuple[int, int]:
+    """Number of ranges and of independent dealings at a level, such that the chance of a set without enough non-empty
+    ranges in any of them is below 2 ** -60."""
+    base = den / num
+    low, high = max(smallest_sets(num, den) + 1, math.ceil(base ** (level - 1) - 1e-6)), math.floor(base ** (level + 1) + 1e-6) + 1
+    most = max(differing(high, num, den), 2)
+    d = np.arange(max(differing(low, num, den), 1), most + 1)
+    n = np.maximum(low, -(-d * num // (den - num)))  # the smallest set that may differ in d tokens
+
+    def bits(m: int) -> float:
+        """-log2 of a bound of the chance that n tokens leave all but d of m ranges empty."""
+        ways = np.array([math.lgamma(m + 1) - math.lgamma(x + 1) - math.lgamma(m - x + 1) for x in d.tolist()])
+        return float(-(ways + n * np.log(d / m)).max() / math.log(2))
+
+    largest = most + most // 2 + 8
+    few, many = most + 2, largest
+    if bits(largest) < 60:
+        return largest, math.ceil(60 / max(bits(largest), 1.0))
+    while few < many:  # more ranges make it less likely
+        mid = (few + many) // 2
+        few, many = (few, mid) if bits(mid) >= 60 else (mid + 1, many)
+    return few, 1
+
+
+def combinations(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set's token combinations."""
+    n, small = len(s), smallest_sets(num, den)
+    keys = []
+    if n <= small + 1:
+        h = mix(s)
+        whole = h.sum(dtype=np.uint64)
+        keys.append(mix(np.r_[whole, whole - h] + np.r_[np.uint64(n), np.full(n, n - 1, dtype=np.uint64)]))
+    if n > small:
+        level = math.floor(math.log(n) / math.log(den / num) + 1e-9)
+        for lv in (level, level + 1):
+            m, times = dealings(lv, num, den)
+            for k in range(times):
+                own = np.sort(mix(s + np.uint64(k))) if k else s
+                at = ((own >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+                starts, _ = runs(at)
+                keys.append(mix(np.add.reduceat(mix(own ^ np.uint64(lv * 16 + k + 1)), starts) + at[starts]))
+    return np.concatenate(keys)
+
+
+def too_many(key: np.ndarray, cls: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (key, cls): is the key held by more than `rare` classes, and is the row beyond the first of those?"""
+    new = np.r_[True, key[1:] != key[:-1]]
+    fresh = new | np.r_[True, cls[1:] != cls[:-1]]
+    first = np.flatnonzero(new)
+    place = np.cumsum(fresh) - 1
+    rank = place - np.repeat(place[first], np.diff(np.r_[first, len(key)]))  # of the class within its key
+    frequent = np.repeat(np.maximum.reduceat(rank, first) >= rare, np.diff(np.r_[first, len(key)]))
+    return frequent, frequent & (rank > rare)
+
+
+class Frequent:
+    """Keys that a task knows to be frequent; it may forget some, which costs rows only."""
+
+    def __init__(self, rare: int, most: int = 200_000):
+        self.rare, self.most, self.keys = rare, most, np.zeros(0, dtype=np.int64)
+
+    def beyond(self, key: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """True for rows whose key is known to be frequent and has sent enough rows to tell so."""
+        if not len(key):
+            return np.zeros(0, dtype=bool)
+        at = np.lexsort((cls, key))
+        frequent, extra = too_many(key[at], cls[at], self.rare)
+        out = np.empty(len(key), dtype=bool)
+        out[at] = extra | np.isin(key[at], self.keys)
+        found = np.union1d(self.keys, key[at][frequent])
+        self.keys = found if len(found) <= self.most else np.unique(key[at][frequent])[: self.most]
+        return out
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, rare: int) -> DataFrame:
+    """One row per document: id, n, cls, bits, prefix (48-bit keys of its extended prefix), frequent (how many tokens of
+    it are left out there, being known to be frequent).
 
     Copies that a task has met before (it remembers up to `_SEEN` classes) leave out what is indexed, so a class that
     holds a third of all rows reaches an index bucket at most a few times a task. Short keys only add candidates.
@@ -121,39 +210,70 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        known = Frequent(rare)
         for pdf in batches:
             raw, ids = [as_bytes(t) for t in pdf["text"]], pdf["id"].to_numpy()
             for s, e in blocks(raw):
-                rows = []
+                rows, heads = [], {}
                 for i, x in zip(ids[s:e], shingle_sets(raw[s:e], k), strict=True):
                     n = len(x)
-                    if not n:
-                        rows.append((i, 0, None, None, None, None, True))
-                        continue
-                    cls = class_of(x)
-                    if cls in seen or n * (den - num) < num:  # met before, or so small that no other set is similar
-                        rows.append((i, n, cls, None, None, None, True))
+                    cls = class_of(x) if n else None
+                    rows.append([i, n, cls, None, None, 0])
+                    if cls is None or cls in seen or not differing(n, num, den):  # met before, or no other set is similar
                         continue
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(cls)
-                    keys, sound = combinations(x, num, den)
-                    prefix = x[: n + (-n * num) // den + 1]
-                    rows.append((i, n, cls, bitmap(x), (prefix >> _SHORT).view(np.int64), (keys >> _SHORT).view(np.int64), sound))
-                names = ["id", "n", "cls", "bits", "prefix", "combos", "sound"]
+                    rows[-1][3] = bitmap(x)
+                    heads[len(rows) - 1] = (x[: window(n, num, den)] >> _SHORT).view(np.int64)
+                if heads:
+                    sizes = [len(h) for h in heads.values()]
+                    beyond = known.beyond(np.concatenate(list(heads.values())), np.repeat([rows[r][2] for r in heads], sizes))
+                    for (r, h), out in zip(heads.items(), np.split(beyond, np.cumsum(sizes)[:-1]), strict=True):
+                        rows[r][4], rows[r][5] = h[~out], int(out.sum())
+                names = ["id", "n", "cls", "bits", "prefix", "frequent"]
                 cols = dict(zip(names, zip(*rows, strict=True), strict=True))
-                yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "cls" else pd.Series(v, dtype=object if c in ("id", "bits", "prefix", "combos") else None) for c, v in cols.items()})  # class keys never pass through floats
+                yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "cls" else pd.Series(v, dtype=object if c in ("id", "bits", "prefix") else None) for c, v in cols.items()})  # class keys never pass through floats
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n int, cls long, bits binary, prefix array<long>, combos array<long>, sound boolean")
+    return rows.mapInPandas(run, f"id {kind}, n int, cls long, bits binary, prefix array<long>, frequent int")
+
+
+def combination_rows(df: DataFrame, text_col: str, k: int, num: int, den: int, rare: int, flagged) -> DataFrame:
+    """(key, cls, n, known) of the token combinations of all classes that `flagged` marks; known: the key is frequent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        known = Frequent(rare)
+        for pdf in batches:
+            raw = [as_bytes(t) for t in pdf["text"]]
+            for s, e in blocks(raw):
+                keys, classes, sizes = [], [], []
+                own = [x for x in shingle_sets(raw[s:e], k) if differing(len(x), num, den)]
+                cls = np.array([class_of(x) for x in own], dtype=np.int64)
+                for c, x, wanted in zip(cls.tolist(), own, flagged(cls), strict=True):
+                    if not wanted or c in seen:
+                        continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    keys.append((combinations(x, num, den) >> _SHORT).view(np.int64))
+                    classes.append(c)
+                    sizes.append(len(x))
+                if keys:
+                    many = [len(x) for x in keys]
+                    key, of, n = np.concatenate(keys), np.repeat(classes, many), np.repeat(sizes, many)
+                    yield pd.DataFrame({"key": key, "cls": of, "n": n.astype(np.int32), "known": known.beyond(key, of)})
+
+    return df.select(F.col(text_col).alias("text")).mapInPandas(run, "key long, cls long, n int, known boolean")
 
 
 def bucket_pairs(rows: DataFrame, rare: int, num: int, den: int) -> DataFrame:
     """From (key, cls, n): kind 0 rows are pairs (a, b) of small buckets, kind 1 rows members (key, cls, n) of large ones.
 
     Rows are dealt by key and sorted, so buckets stream by in runs; at most `rare` members of a bucket wait for more,
-    those of a larger one are passed on as they come. n is negative for classes that are not sound.
+    those of a larger one are passed on as they come.
     """
 
     def emit(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pd.DataFrame:
@@ -163,7 +283,7 @@ def bucket_pairs(rows: DataFrame, rare: int, num: int, den: int) -> DataFrame:
             rows_at = starts[size == g][:, None] + np.arange(g)
             i, j = np.triu_indices(g, 1)
             x, y = rows_at[:, i].ravel(), rows_at[:, j].ravel()
-            nx, ny = np.abs(n[x]).astype(np.int64), np.abs(n[y]).astype(np.int64)
+            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
             near = np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num
             a.append(cls[x[near]])
             b.append(cls[y[near]])
@@ -215,18 +335,6 @@ def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
 
-def met_with(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, p, q, cls, side): the members (key, cls, n) of large buckets that are not sound (side 1) and those of near sizes (side 0), by block pair."""
-    alone = members.where("n < 0")
-    span = alone.groupBy("key").agg(F.min(-F.col("n")).alias("least"), F.max(-F.col("n")).alias("most"))
-    near = members.join(span, "key").where(f"abs(n) * {den}L >= least * {num}L and abs(n) * {num}L <= most * {den}L").select("key", "cls")
-    one, other = in_blocks(alone.select("key", "cls"), ["key"]), in_blocks(near, ["key"])
-    both = one.select("key", F.col("blocks").alias("ones")).distinct().join(other.select("key", F.col("blocks").alias("others")).distinct(), "key")
-    first = one.join(both, "key").select("key", F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("q"), "cls", F.lit(1).alias("side"))
-    second = other.join(both, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("p"), F.col("block").alias("q"), "cls", F.lit(0).alias("side"))
-    return first.unionByName(second)
-
-
 def met_all(members: DataFrame) -> DataFrame:
     """(key, p, q, cls, side): all members (key, cls) of large buckets by block pair, with side 0 everywhere where a block meets itself."""
     rows = in_blocks(members.select("key", "cls"), ["key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -234,20 +342,21 @@ def met_all(members: DataFrame) -> DataFrame:
 
 
 def marker(classes: DataFrame):
-    """A filter for rows by cls: true for all given classes and for a few others, which only adds candidates.
+    """A filter of arrays of classes: true for all given classes and for a few others, which only adds candidates.
 
-    The classes are folded into `_MARKS` bits (4 MB, whatever their number) instead of joined: a join would deal out
-    the arrays of all documents once more.
+    The classes are folded into a bit map of 16 bits or more a class, at most `_MARKS` bits (16 MB), instead of joined: a
+    join would deal out all texts once more. Beyond some 2 ** 27 classes it lets more and more others pass, and costs rows.
     """
-    words = classes.selectExpr(f"pmod(cls, {_MARKS}) div 64 as w", f"shiftleft(1L, cast(pmod(cls, {_MARKS}) % 64 as int)) as bit")
-    bits = np.zeros(_MARKS // 64, dtype=np.int64)
+    count = classes.count()
+    size = min(_MARKS, max(1 << 20, 1 << (16 * count).bit_length()))
+    words = classes.selectExpr(f"pmod(cls, {size}) div 64 as w", f"shiftleft(1L, cast(pmod(cls, {size}) % 64 as int)) as bit")
+    bits = np.zeros(size // 64, dtype=np.int64)
     for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[r["w"]] = r["bits"]
 
-    @F.pandas_udf("boolean")
-    def marked(cls: pd.Series) -> pd.Series:
-        p = cls.to_numpy() % _MARKS
-        return pd.Series((bits[p // 64] >> (p % 64)) & 1 == 1)
+    def marked(cls: np.ndarray) -> np.ndarray:
+        p = cls % size
+        return (bits[p // 64] >> (p % 64)) & 1 == 1
 
     return marked
 
@@ -302,16 +411,21 @@ def verify(cls: np.ndarray, sets: list[np.ndarray], maps: np.ndarray, num: int,
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, rare: int = 16) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links of Jaccard similarity num / den or more) of every row."""
-    sig = stored(signatures(df, id_col, text_col, k, num, den), "signatures")
+    sig = stored(signatures(df, id_col, text_col, k, num, den, rare), "signatures")
     by_class = sig.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     indexed = sig.where("prefix is not null")
-    size = F.when(F.col("sound"), F.col("n")).otherwise(-F.col("n"))
 
-    singles = indexed.select(F.explode("prefix").alias("key"), "cls", size.alias("n"))
+    singles = indexed.select(F.explode("prefix").alias("key"), "cls", "n")
     found = stored(bucket_pairs(singles, rare, num, den), "single-buckets")
-    flagged = marker(found.where("kind = 1").select(F.col("b").alias("cls")))
-    combos = indexed.where(flagged("cls")).select(F.explode("combos").alias("key"), "cls", "n")
-    combined = stored(bucket_pairs(combos, rare, num, den), "combination-buckets")
+    in_buckets = found.where("kind = 1").groupBy(F.col("b").alias("cls")).agg(F.count("*").alias("here"))
+    left_out = indexed.groupBy("cls").agg(F.max("frequent").alias("frequent"), F.first("n").alias("n"))
+    least = f"ceil(n * {num}L / {den})"
+    t = f"({least} + floor(-{least} * {num}L / {den}))"
+    enough = f"frequent + coalesce(here, 0) >= least({least} - {t}, 1 + greatest(1, {t} div 2))"  # reach(n)
+    flagged = marker(left_out.join(in_buckets, "cls", "left").where(enough).select("cls"))
+    combos = stored(combination_rows(df, text_col, k, num, den, rare, flagged), "combinations")
+    combined = stored(bucket_pairs(combos.where("not known").drop("known"), rare, num, den), "combination-buckets")
+    combined = combined.unionByName(combos.where("known").selectExpr("1 as kind", "key as a", "cls as b", "n"))
 
     bits = indexed.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     pairs = found.where("kind = 0").unionByName(combined.where("kind = 0")).select("a", "b").distinct()
@@ -337,9 +451,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         edges = forest_of(pdf["cls"].to_numpy(), pdf["n"].to_numpy(), folded(list(pdf["bits"])), num, den, side if side.any() else None)
         return pd.DataFrame([e for e in edges if e[0] != e[1]], columns=["a", "b"]).astype("int64")
 
-    hot = [x.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n") for x in (found, combined)]
-    large = met_with(hot[0], num, den).withColumn("of", F.lit(0)).unionByName(met_all(hot[1]).withColumn("of", F.lit(1)))
-    forests = large.join(bits, "cls").groupBy("of", "key", "p", "q").applyInPandas(forest, "a long, b long")
+    large = met_all(combined.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls")).distinct())
+    forests = large.join(bits, "cls").groupBy("key", "p", "q").applyInPandas(forest, "a long, b long")
     candidates = stored(screened.unionByName(forests).distinct(), "candidates")
 
     groups = components(candidates, "candidate-groups")
