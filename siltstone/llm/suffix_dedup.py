@@ -1,14 +1,18 @@
 """Removal of every byte covered by a `length`-byte string that also starts anywhere else (default 200 bytes).
 
 Sparse suffix arrays: in every window of `length` bytes the smallest hash of the window's (length / 2)-byte grams is an
-anchor, chosen by content alone, so all copies of a repeated string hold the same anchor at the same place. Anchors are
-dealt by their gram's hash. Where the whole context of an anchor (length / 2 bytes before, length after its start)
-repeats, all its windows repeat. The other contexts of a shared anchor are sorted by deep-shallow sorting, once by what
-follows and once, reversed, by what precedes; two suffix orders with their common prefixes tell for each of the
-length / 2 + 1 windows around an anchor whether another occurrence agrees on both sides. An anchor shared by more than
-`most` different contexts is split: the windows around it are then counted by their hash, evenly over the cluster.
-
-Matches never cross texts. Grams, contexts and (for split anchors) windows are compared by 64-bit hashes.
+anchor, chosen by content alone, so all copies of a repeated string hold the same anchor at the same place. Where the
+whole context of an anchor (length / 2 bytes before, length after its start) repeats, all its windows repeat. The other
+contexts of a shared anchor are sorted by deep-shallow sorting, once by what follows and once, reversed, by what precedes;
+two suffix orders with their common prefixes tell for each of the length / 2 + 1 windows around an anchor whether another
+occurrence agrees on both sides.
+
+Anchors are dealt by gram and context; a context that a task meets again and again is known to repeat there and then, and
+sends two rows only. Contexts are dealt to sorting tasks by their gram. Where more than `per_task` contexts share one, they
+are dealt deeper, in `_SPLIT` ways: windows that start d bytes before the anchor, d in one of `_SPLIT` ranges, agree on all
+bytes that every window of the range has, so those join the gram in the key; sorting then decides about that range.
+
+Matches never cross texts. Grams, contexts and keys are compared by 64-bit hashes.
 Defined results: null and empty texts have no bytes; texts shorter than `length` are kept; repeated rows repeat each
 other like any copies; extra columns are ignored whatever their names; an empty table gives an empty result.
 """
@@ -23,10 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.near_duplicates import Frequent
 from siltstone.llm.suffix_order import deep_shallow
 from siltstone.llm.tables import partitions, stored
 from siltstone.llm.text import as_bytes, blocks, mix, prefix, slice_hashes
 
+#: Ranges of window starts in which the contexts of a very frequent anchor are sorted.
+_SPLIT = 8
+
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """op over every window of `width` values; n - width + 1 results."""
@@ -61,10 +69,11 @@ def anchors(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return owner[pos], pos - first[pos], h[pos].view(np.int64), ctx.view(np.int64)
 
 
-def repeated_windows(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after: np.ndarray, n_after: np.ndarray) -> np.ndarray:
+def repeated_windows(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after: np.ndarray, n_after: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For each occurrence and d = 0 .. half: does another one of its group agree on d bytes before and half - d after?
 
-    before: reversed bytes before the anchor, after: bytes after its gram; zero beyond the given numbers of bytes.
+    before: reversed bytes before the anchor, after: bytes after its gram; zero beyond the given numbers of bytes. Only
+    d = low .. high of each occurrence are looked at; a group has one range.
     """
     m, half = before.shape
     out = np.zeros((m, half + 1), dtype=bool)
@@ -74,7 +83,7 @@ def repeated_windows(group: np.ndarray, before: np.ndarray, n_before: np.ndarray
     for d in range(half + 1):
         left[left_order] = np.cumsum(left_lcp < d)
         right[right_order] = np.cumsum(right_lcp < half - d)
-        able = np.flatnonzero((n_before >= d) & (n_after >= half - d))
+        able = np.flatnonzero((n_before >= d) & (n_after >= half - d) & (low <= d) & (d <= high))
         key = left[able] * (m + 1) + right[able]
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -105,35 +114,35 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, most: int = 100_000, per_task: int = 40_000) -> DataFrame:
-    """All columns of df and `_spans`, the byte spans (start, stop) to remove, possibly overlapping; null where there are none."""
+def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, per_task: int = 40_000) -> DataFrame:
+    """`row`, a struct of all columns of df, and `spans`, the byte spans (start, stop) to remove, possibly overlapping; null
+    where there are none."""
     half, spark = length // 2, df.sparkSession
     n_parts = partitions(spark)
-    uid = F.xxhash64(F.lit(7), *[F.col(c) for c in df.columns if c in ("doc_id", text_col)])
-    docs = df.withColumn("_uid", uid)
-    texts = docs.select("_uid", F.col(text_col).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # a struct: the user's names never meet ours
+    docs = df.select(row.alias("row"), F.xxhash64(F.lit(7), *[F.col(f"`{c}`") for c in df.columns if c in ("doc_id", text_col)]).alias("uid"))
+    texts = docs.select("uid", F.col("row").getField(text_col).alias("text"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repeated = Frequent(1)
         for pdf in batches:
-            raw, ids = [as_bytes(t) for t in pdf["text"]], pdf["_uid"].to_numpy()
+            raw, ids = [as_bytes(t) for t in pdf["text"]], pdf["uid"].to_numpy()
             for s, e in blocks(raw):
                 text, pos, gram, ctx = anchors(raw[s:e], length)
-                yield pd.DataFrame({"gram": gram, "ctx": ctx, "uid": ids[s:e][text], "pos": pos})
+                known = repeated.beyond(gram ^ mix(ctx.view(np.uint64)).view(np.int64), np.arange(len(gram)))
+                yield pd.DataFrame({"gram": gram, "ctx": ctx, "uid": ids[s:e][text], "pos": pos, "known": known})
 
-    found = texts.mapInPandas(find, "gram long, ctx long, uid long, pos long")
+    found = stored(texts.mapInPandas(find, "gram long, ctx long, uid long, pos long, known boolean"), "anchors")
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted: kind 0, the whole context repeats; kind 1, one row per context of a gram that has several rows."""
+        """Rows come sorted: kind 0, the whole context repeats; kind 1, one row per context."""
 
         def tell(rows: np.ndarray, last: bool) -> pd.DataFrame:
             inner = slice(1, len(rows) if last else len(rows) - 1)
-            g, c = rows[:, 0], rows[:, 1]
-            same_g = np.r_[False, g[1:] == g[:-1], False]
-            same_c = same_g & np.r_[False, c[1:] == c[:-1], False]
-            full = (same_c[:-1] | same_c[1:])[inner]
-            member = ((same_g[:-1] | same_g[1:]) & ~same_c[:-1])[inner]
-            out = np.concatenate([rows[inner][full], rows[inner][member]])
-            kind = np.r_[np.zeros(int(full.sum()), dtype=np.int32), np.ones(int(member.sum()), dtype=np.int32)]
+            same = np.r_[False, (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1]), False]
+            full, first = (same[:-1] | same[1:])[inner], ~same[:-1][inner]
+            out = np.concatenate([rows[inner][full], rows[inner][first]])
+            kind = np.r_[np.zeros(int(full.sum()), dtype=np.int32), np.ones(int(first.sum()), dtype=np.int32)]
             return pd.DataFrame({"kind": kind, "gram": out[:, 0], "uid": out[:, 2], "pos": out[:, 3]})
 
         held = None  # the row before, already told, and the last row, not yet told
@@ -149,22 +158,24 @@ def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, most: i
         if held is not None:
             yield tell(held, True)
 
-    dealt = found.repartition(n_parts, "gram").sortWithinPartitions("gram", "ctx")
-    rows = stored(dealt.mapInPandas(shared, "kind int, gram long, uid long, pos long"), "anchors")
+    dealt = found.where("not known").repartition(n_parts, "gram", "ctx").sortWithinPartitions("gram", "ctx")
+    rows = stored(dealt.mapInPandas(shared, "kind int, gram long, uid long, pos long"), "anchor-contexts")
     members = rows.where("kind = 1")
     sizes = members.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     several = members.join(sizes, "gram").select("uid", "pos", "gram", "n")
-    wanted = rows.where("kind = 0").select("uid", "pos", F.lit(None).cast("long").alias("gram"), F.lit(0).cast("long").alias("n")).unionByName(several)
-    listed = stored(wanted.groupBy(F.col("uid").alias("_of")).agg(F.collect_list(F.struct("pos", "gram", "n")).alias("places")), "anchor-places")  # no more than a text's own anchors
+    whole = rows.where("kind = 0").select("uid", "pos").unionByName(found.where("known").select("uid", "pos"))
+    wanted = whole.select("uid", "pos", F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("n")).unionByName(several)
+    listed = stored(wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "n")).alias("places")), "anchor-places")  # no more than a text's own anchors
 
-    with_places = texts.join(listed, F.col("_uid") == F.col("_of"))
+    with_places = texts.join(listed, "uid")
+    edges = np.linspace(0, half + 1, _SPLIT + 1).astype(int)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """kind 0: a span; 1: a context to sort; 2: a window of a split anchor."""
-        names = ["kind", "key", "uid", "pos", "stop", "before", "after"]
+        """kind 0: a span; 1: a context to sort."""
+        names = ["kind", "key", "uid", "pos", "stop", "low", "high", "before", "after"]
         for pdf in batches:
             out = []
-            for uid, text, places in zip(pdf["_uid"], pdf["text"], pdf["places"], strict=True):
+            for uid, text, places in zip(pdf["uid"], pdf["text"], pdf["places"], strict=True):
                 raw, sums, whole = as_bytes(text), None, []
                 for p in places:
                     pos, n = p["pos"], p["n"]
@@ -172,38 +183,39 @@ def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, most: i
                     if n == 0:
                         if left + right >= length:
                             whole.append((pos - left, pos + right))
-                    elif n <= most:
-                        out.append((1, p["gram"], uid, pos, 0, raw[pos - left : pos][::-1], raw[pos + half : pos + right]))
-                    elif left + right >= length:
-                        sums = prefix(np.frombuffer(raw, dtype=np.uint8)) if sums is None else sums
-                        starts = np.arange(pos - left, pos + right - length + 1)
-                        out += [(2, int(h), uid, int(s), int(s) + length, None, None) for s, h in zip(starts, slice_hashes(sums, starts, starts + length).view(np.int64), strict=True)]
-                out += [(0, 0, uid, s, e, None, None) for s, e in merged(*np.array(whole, dtype=np.int64).reshape(-1, 2).T)]
+                        continue
+                    own = (raw[pos - left : pos][::-1], raw[pos + half : pos + right])
+                    if n <= per_task:
+                        out.append((1, p["gram"], uid, pos, 0, 0, half, *own))
+                        continue
+                    sums = prefix(np.frombuffer(raw, dtype=np.uint8)) if sums is None else sums
+                    for low, high in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist(), strict=True):
+                        if low <= left and length - high <= right:  # every window of the range has these bytes
+                            key = slice_hashes(sums, np.array([pos - low]), np.array([pos + length - high])).view(np.int64)[0]
+                            out.append((1, int(key) ^ low, uid, pos, 0, low, high, *own))
+                out += [(0, 0, uid, s, e, 0, 0, None, None) for s, e in merged(*np.array(whole, dtype=np.int64).reshape(-1, 2).T)]
                 if len(out) > 5000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    many = several.where(F.col("n") <= most).count()
-    buckets = max(1, -(-many // per_task))
-    made = with_places.mapInPandas(contexts, "kind int, key long, uid long, pos long, stop long, before binary, after binary")
-    made = stored(made.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")), "anchor-contexts")
+    schema = "kind int, key long, uid long, pos long, stop long, low int, high int, before binary, after binary"
+    made = stored(with_places.mapInPandas(contexts, schema), "contexts")
+    buckets = max(1, -(-made.where("kind = 1").count() // per_task))
+    to_sort = made.where("kind = 1").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def matrix(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
             return np.frombuffer(b"".join(v.ljust(half, b"\0") for v in values), dtype=np.uint8).reshape(-1, half), values.str.len().to_numpy(dtype=np.int64)
 
         _, group = np.unique(pdf["key"].to_numpy(), return_inverse=True)
-        covered = repeated_windows(group, *matrix(pdf["before"]), *matrix(pdf["after"]))
+        covered = repeated_windows(group, *matrix(pdf["before"]), *matrix(pdf["after"]), pdf["low"].to_numpy(), pdf["high"].to_numpy())
         return spans_of(covered, pdf["uid"].to_numpy(), pdf["pos"].to_numpy(), length)
 
-    sorted_spans = made.where("kind = 1").groupBy("bucket").applyInPandas(compare, "uid long, start long, stop long")
-    windows = made.where("kind = 2").select("key", "uid", F.col("pos").alias("start"), "stop").distinct()
-    twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    counted = windows.join(twice, "key").select("uid", "start", "stop")
-    spans = made.where("kind = 0").select("uid", F.col("pos").alias("start"), "stop").unionByName(sorted_spans).unionByName(counted)
-    per_text = spans.groupBy(F.col("uid").alias("_of")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return docs.join(per_text, F.col("_uid") == F.col("_of"), "left").drop("_of", "_uid")
+    sorted_spans = to_sort.groupBy("bucket").applyInPandas(compare, "uid long, start long, stop long")
+    spans = made.where("kind = 0").select("uid", F.col("pos").alias("start"), "stop").unionByName(sorted_spans)
+    per_text = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return docs.join(per_text, "uid", "left").select("row", "spans")
 
 
 def removed(raw: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -218,13 +230,13 @@ def removed(raw: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*kept, raw[at:]]), gone
 
 
-def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 100_000) -> DataFrame:
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, per_task: int = 40_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text, spans in zip(pdf["id"], pdf["text"], pdf["_spans"], strict=True):
+            for i, text, spans in zip(pdf["id"], pdf["text"], pdf["spans"], strict=True):
                 raw = as_bytes(text)
                 kept, gone = removed(raw, spans)
                 rows.append((i, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
@@ -232,11 +244,11 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    out = with_spans(source, "text", length, most).select(F.col("doc_id").alias("id"), "text", "_spans")
+    out = with_spans(source, "text", length, per_task).select(F.col("row.doc_id").alias("id"), "row.text", "spans")
     return out.mapInPandas(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200, most: int = 100_000) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200, per_task: int = 40_000) -> DataFrame:
     """df with repeated bytes taken out of its text; characters cut in part go whole. Other columns stay; null stays null."""
 
     @F.pandas_udf("string")
@@ -244,4 +256,6 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200, mos
         out = [t if t is None or s is None or not len(s) else removed(as_bytes(t), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
         return pd.Series(out, dtype=object)
 
-    return with_spans(df, text_col, length, most).withColumn(text_col, cut(text_col, "_spans")).select(*df.columns)
+    found = with_spans(df, text_col, length, per_task)
+    own = lambda c: F.col("row").getField(c)
+    return found.select(*((cut(own(c), F.col("spans")) if c == text_col else own(c)).alias(c) for c in df.columns))

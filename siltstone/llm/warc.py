@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.tables import shared_dir, stored
+from siltstone.llm.tables import partitions, shared_dir, stored
 from siltstone.llm.text import as_bytes
 
 #: Fixed values of the WARC format.
@@ -128,13 +128,17 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def with_responses(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html, refers_to of every page. Only digests and ids are grouped; texts are joined once."""
+def with_responses(pages: DataFrame, least: int = 1000, salts: int = 16) -> DataFrame:
+    """page_id, url, html, refers_to of every page. Only digests and ids are grouped; texts are joined once, by page and
+    digest, so copies of one payload lie evenly over the cluster. `salts` deals the ids of one digest over tasks."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    same = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    joined = rows.join(same, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("kept") != F.col("page_id"), F.col("kept")).alias("refers_to"))
+    long = rows.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    same = long.groupBy("digest").agg(F.max("page_id").alias("kept"), F.min("page_id").alias("least")).where("kept <> least").select("digest", "kept")
+    dealt = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    refers = long.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(dealt, ["digest", "salt"])
+    refers = refers.where("kept <> page_id").select("page_id", "digest", F.col("kept").alias("refers_to"))
+    return rows.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -161,65 +165,75 @@ def write(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> D
     return texts.mapInPandas(run, "archive string, records long")
 
 
-def normalise(archives: DataFrame) -> DataFrame:
-    """Rewrites each archive with one gzip member a record and writes its sidecar: archive (the new one), index, records."""
+def normalise(archives: DataFrame, per_slice: int = 1000) -> DataFrame:
+    """Rewrites each archive with one gzip member a record and writes its sidecar. One row for each `per_slice` records:
+    archive (the new one), index, and where the slice starts and ends in the index."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for uri in pdf["archive"]:
                 new = f"{uri.removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}.members.warc.gz"
-                (system, source), (_, target), at, n = opened(uri), opened(new), 0, 0
+                (system, source), (_, target) = opened(uri), opened(new)
+                at = n = lines = 0
+                cuts = [0]
                 with system.open_input_stream(source, compression=None) as src, system.open_output_stream(target, compression=None) as out, system.open_output_stream(f"{target}.idx", compression=None) as idx:
                     for record in records(inflate(src)):
                         fields, _ = headers(record)
                         member = gzipped(record)
                         out.write(member)
                         line = {"offset": at, "length": len(member), "type": fields["warc-type"], "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri")}
-                        idx.write(json.dumps(line).encode() + b"\n")
-                        at, n = at + len(member), n + 1
-                yield pd.DataFrame({"archive": [new], "index": [f"{new}.idx"], "records": [n]})
+                        entry = json.dumps(line).encode() + b"\n"
+                        idx.write(entry)
+                        at, n, lines = at + len(member), n + 1, lines + len(entry)
+                        if n % per_slice == 0:
+                            cuts.append(lines)
+                if cuts[-1] < lines:
+                    cuts.append(lines)
+                yield pd.DataFrame({"archive": new, "index": f"{new}.idx", "start": cuts[:-1], "end": cuts[1:]})
 
-    return archives.select("archive").mapInPandas(run, "archive string, index string, records long")
+    return archives.select("archive").mapInPandas(run, "archive string, index string, start long, end long")
 
 
 def read(normalised: DataFrame) -> DataFrame:
-    """Every record through the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits)."""
+    """Every record through slices of the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
         for pdf in batches:
-            for uri, index in zip(pdf["archive"], pdf["index"], strict=True):
+            for uri, index, start, end in zip(pdf["archive"], pdf["index"], pdf["start"], pdf["end"], strict=True):
                 (system, path), (_, sidecar) = opened(uri), opened(index)
+                with system.open_input_file(sidecar) as lines:
+                    lines.seek(start)
+                    entries = [json.loads(x) for x in lines.read(end - start).splitlines()]
                 rows = []
-                with system.open_input_file(path) as f, system.open_input_stream(sidecar, compression=None) as lines:
-                    held = b""
-                    while True:
-                        part = lines.read(_CHUNK)
-                        *whole, held = (held + part).split(b"\n")
-                        for entry in map(json.loads, whole):
-                            f.seek(entry["offset"])
-                            fields, http, payload = parse(zlib.decompress(f.read(entry["length"]), 31))
-                            digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
-                            response = fields["warc-type"] == "response"
-                            if response and hashlib.sha1(payload).digest() != digest:
-                                raise ValueError(f"payload digest differs in {uri} at {entry['offset']}")
-                            refers = None if response else str(page_of(fields["warc-refers-to"]))
-                            page = page_of(fields["warc-record-id"])
-                            rows.append((None if page is None else str(page), int(http["content-length"]), digest.hex(), fields["warc-type"], refers, fields.get("warc-target-uri"), payload if response else None))
-                            if len(rows) == 500:
-                                yield pd.DataFrame(rows, columns=cols)
-                                rows = []
-                        if not part:
-                            break
+                with system.open_input_file(path) as f:
+                    for entry in entries:
+                        f.seek(entry["offset"])
+                        fields, http, payload = parse(zlib.decompress(f.read(entry["length"]), 31))
+                        digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
+                        response = fields["warc-type"] == "response"
+                        if response and hashlib.sha1(payload).digest() != digest:
+                            raise ValueError(f"payload digest differs in {uri} at {entry['offset']}")
+                        refers = None if response else str(page_of(fields["warc-refers-to"]))
+                        page = page_of(fields["warc-record-id"])
+                        rows.append((None if page is None else str(page), int(http["content-length"]), digest.hex(), fields["warc-type"], refers, fields.get("warc-target-uri"), payload if response else None))
+                        if len(rows) == 500:
+                            yield pd.DataFrame(rows, columns=cols)
+                            rows = []
                 yield pd.DataFrame(rows, columns=cols)
 
-    out = normalised.select("archive", "index").mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
+    out = normalised.select("archive", "index", "start", "end").mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
     return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
+def dealt_out(names: DataFrame, count: int, *keys: str) -> DataFrame:
+    """One task for each of `count` rows, as far as the hash of the keys allows; at most 20 for each shuffle partition."""
+    return names.repartition(max(1, min(count, 20 * partitions(names.sparkSession))), *keys)
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes, normalises and reads back all pages."""
     folder = shared_dir(spark, "warc")
     written = stored(write(with_responses(pages, least), folder), "warc-written")
-    names = written.select("archive").repartition(max(1, written.count()), "archive")
-    return read(stored(normalise(names), "warc-normalised").repartition(F.col("archive")))
+    slices = stored(normalise(dealt_out(written.select("archive"), 2 * written.count(), "archive")), "warc-normalised")
+    return read(dealt_out(slices, slices.count(), "archive", "start"))

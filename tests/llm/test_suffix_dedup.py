@@ -35,8 +35,8 @@ def test_query_equals_brute_force(spark):
     assert sum(r[2] for r in got) > 0
 
 
-@pytest.mark.parametrize(("length", "most"), [(20, 100_000), (20, 3), (50, 100_000)])
-def test_planted_repeats(spark, length, most):
+@pytest.mark.parametrize(("length", "per_task"), [(20, 40_000), (20, 3), (50, 40_000), (50, 5)])
+def test_planted_repeats(spark, length, per_task):
     rng = random.Random(length)
     passage = "".join(rng.choice("abcdé ") for _ in range(120))
     texts = [None, "", "short", "x" * 300, "x" * 19, "ab" * 100, "\0" * 90, "\0" * 25 + "q"]
@@ -45,9 +45,9 @@ def test_planted_repeats(spark, length, most):
         noise = lambda: "".join(rng.choice("ab\0é") for _ in range(rng.randrange(40)))
         texts.append(noise() + passage[s:e] + noise())
     texts += texts[10:14]
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, uid string")
-    assert sorted(map(tuple, sd.digest(df, length=length, most=most).collect())) == brute(texts, length)
-    left = {r.doc_id: r for r in sd.remove_repeats(df, length=length, most=most).collect()}
+    df = spark.createDataFrame([(i, t, "z", 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, uid string, spans int, `a.b` int, _of int")
+    assert sorted(map(tuple, sd.digest(df, length=length, per_task=per_task).collect())) == brute(texts, length)
+    left = {r.doc_id: r for r in sd.remove_repeats(df, length=length, per_task=per_task).collect()}
     assert left[0].text is None and left[3].text == "" and left[2].text == "short" and left[2].uid == "z"
     assert sd.digest(df.limit(0)).count() == 0
 
@@ -67,3 +67,13 @@ def test_sorting():
         assert x == (n if group[a] == group[b] else -1)
     strings = [bytes(rng.integers(0, 3, 9).astype(np.uint8)) for _ in range(400)]
     assert [strings[i] for i in blind_trie_order(strings)] == sorted(strings)
+
+
+def test_one_gram_in_many_contexts(spark):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    gram, long = noise(24), noise(60)
+    texts = [noise(rng.randrange(5, 12)) + gram + noise(rng.randrange(5, 12)) for _ in range(4000)]
+    texts += [noise(6) + long[rng.randrange(10) : 50 + rng.randrange(10)] + noise(6) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, sd.digest(df, length=40, per_task=200).collect())) == brute(texts, 40)

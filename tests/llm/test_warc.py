@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import duckdb
+from pyspark.sql import functions as F
 from siltstone.llm import queries as q
 from siltstone.llm import warc
 
@@ -34,3 +35,16 @@ def test_inflate_and_records_over_small_parts():
     made = [warc.build(k, "u", b"x" * k, None, "d") for k in range(40)]
     for data in (gzip.compress(b"".join(made)), b"".join(map(gzip.compress, made))):
         assert list(warc.records(warc.inflate(io.BytesIO(data), 7))) == made
+
+
+def test_reading_and_copies_are_spread(spark):
+    df = spark.createDataFrame([(k, "u", "z" * 1200 if k % 3 else f"{k}" * 400) for k in range(600)], "page_id long, url string, html string")
+    rows = warc.with_responses(df).repartition(2, "page_id")
+    assert rows.where("refers_to = 599").count() == 399
+    folder = warc.shared_dir(spark, "warc-test")
+    written = warc.stored(warc.write(rows, folder), "warc-written")
+    slices = warc.stored(warc.normalise(written, per_slice=50), "warc-slices")
+    assert slices.count() >= 12
+    read = warc.read(warc.dealt_out(slices, slices.count(), "archive", "start"))
+    assert read.rdd.getNumPartitions() >= 12 and read.count() == 600
+    assert read.groupBy(F.spark_partition_id()).count().count() > 4
