@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UND = "und"
@@ -80,10 +80,11 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarra
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600, dims: int = 4096, centroids: int = 3, slack: float = 0.6) -> Model | None:
+def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600, sample_bytes: int = 4 << 20, dims: int = 4096, centroids: int = 3, slack: float = 0.6) -> Model | None:
     """Model of the rows where `train` holds and the language is known; None where there are none.
 
-    `sample` bounds the labelled rows a language (a hash of the id picks them; ties and the last few are cut by order).
+    `sample` bounds the labelled rows a language (a hash of the id picks them; ties and the last few are cut by order), and
+    `sample_bytes` the bytes of them: rows are taken in that order up to there, one at least, whole.
     """
     rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -93,7 +94,9 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     for lang, n in sizes.items():
         below = int(-(1 << 63) + (1 << 64) * min(1.0, 1.2 * sample / n)) - 1
         keep = keep | ((F.col("lang") == lang) & (F.col("h") <= min(below, (1 << 63) - 1)))
-    picked = rows.where(keep).toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(sample)
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    some = rows.where(keep).select("lang", "text", "h", F.row_number().over(order).alias("rank"), F.sum(F.octet_length("text")).over(order).alias("bytes"))
+    picked = some.where((F.col("rank") == 1) | (F.col("rank") <= sample) & (F.col("bytes") <= sample_bytes)).toPandas().sort_values(["lang", "rank"])
     x = vectors(list(picked["text"]), dims)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x *= idf
@@ -132,5 +135,6 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for texts in batches:
             yield classify(list(texts))
 
-    out = df.select(*kept, udf(F.col(text_col)).alias("_p"))
-    return out.select(*kept, *(F.col(f"_p.{n}").alias(n) for n in names))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # a struct: the user's names never meet ours
+    out = df.select(row.alias("row"), udf(F.col(text_col)).alias("found"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), *(F.col("found").getField(n).alias(n) for n in names))

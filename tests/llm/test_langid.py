@@ -1,3 +1,7 @@
+import collections
+import random
+
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -34,3 +38,38 @@ def test_kmeans_gives_unit_centroids(k):
     x = langid.vectors(["aaa", "aab", "zzz zz", "q"], 256)
     c, own = langid.spherical_kmeans(x, k)
     assert len(c) == min(k, 4) and len(own) == 4
+
+
+def test_predictions_equal_brute_force(spark):
+    """The nearest of all centroids by cosine, text by text, from plain dictionaries of n-grams."""
+    rng, words = random.Random(1), {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["szczyt", "chrząszcz", "trzcina"], "cc": ["и", "не", "что", "быть"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 40))), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [rows[0], rows[1], (None, "lorem ipsum", "aa"), (200, "lorem " * 20_000, "aa"), (201, None, "bb"), (202, "", "bb")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, row int, found int")
+    model = langid.fit(df, F.lit(True), sample=25, dims=512)
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(rows)
+
+    def brute(text):
+        folded = " " + " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()) + " "
+        raw, counted = folded.encode(), collections.Counter()
+        for n in range(1, 5):
+            for i in range(len(raw) - n + 1):
+                counted[raw[i : i + n]] += 1
+        v = np.zeros(512)
+        for g, c in counted.items():
+            h = 0
+            for j, byte in enumerate(g):
+                h = (h * 0x9E3779B1 ^ (byte * 0x85EBCA77 + j)) % 2**32
+            v[(h * 0xC2B2AE3D) % 2**32 >> 23] += c
+        v = np.log1p(v) * model.idf
+        cos = model.centroids @ (v / max(np.linalg.norm(v), 1e-9))
+        return model.langs[model.owner[int(np.argmax(cos))]], float(cos.max())
+
+    for r in got:
+        if r.text and r.text.strip():
+            lang, score = brute(r.text)
+            assert r.lang_pred == lang and abs(r.score - min(score, 1)) < 1e-4
+        else:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+    assert langid.fit(df, F.lit(True), sample_bytes=1) is not None

@@ -3,6 +3,7 @@ import zlib
 
 import corpus_pipeline
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from siltstone.llm.queries import tokenizer_path
 from test_near_duplicates import brute as groups_of
 from test_suffix_dedup import brute as repeats_of
@@ -39,10 +40,18 @@ def test_odd_rows(spark):
     t = pq.read_table(f"{SF}/documents.parquet").slice(0, 60).to_pylist()
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 0.5) for r in t]
     rows += [(900, None, None, None, None, None), (901, "", "en", None, 0, None), (None, t[0]["text"], "en", None, 1, None), (902, "12 34", "en", "s", 5, None), rows[1]]
+    other = "A sentence of its own that shares its number with another one and shall not be lost for that reason."
+    rows.append((rows[2][0], other, "en", "s", 1, None))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score"]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    for c in ("_2", "_uid", "uid", "row", "rejected", "spans", "_of", "a.b"):
+        docs, names = docs.withColumn(c, F.lit(c)), [*names, c]
+    docs = docs.cache()
+    bare = docs.select("doc_id", "text", "lang")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
-    ids = [r.doc_id for r in docs.collect()]
-    assert len(ids) == len(set(ids)) and None in ids and not {900, 901, 902} & set(ids)
+        docs, bare = stage(spark, docs, SF), stage(spark, bare, SF)
+        assert docs.columns == names and bare.columns == ["doc_id", "text", "lang"]
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    ids = [i for i, _ in got]
+    assert len(got) == len(set(got)) and None in ids and not {900, 901, 902} & set(ids) and any(x and x.startswith(other[:20]) for _, x in got)
     assert corpus_pipeline.duplicates(spark, docs.limit(0), SF).count() == 0
