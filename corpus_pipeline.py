@@ -5,8 +5,10 @@
 3. repeats    bytes of 200-byte strings that also start elsewhere go; n_chars follows; no document is dropped
 4. packing    what is left is tokenised and packed into sequences of 2048 tokens
 
-Defined results: documents without an id are not compared with others in stage 2 and stay; of rows that share an id one
-stays; without any labelled row stage 1 keeps every text that has a letter; empty tables give empty results.
+Defined results: documents without an id are not compared with others in stage 2 and stay; rows that share an id are
+compared like any others, and of those with the same text too one stays; without any labelled row stage 1 keeps every text
+that has a letter; extra columns of any names come through all stages but the last; n_chars is set anew where there is such
+a column; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,23 +21,38 @@ from siltstone.llm.queries import tokenizer_path
 from siltstone.llm.tables import shared_dir
 
 
+def rows(docs: DataFrame) -> DataFrame:
+    """row (all columns as one, so that no name meets another), doc_id and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
+def columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs out of `row`."""
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    names = {c: f"_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # extra columns never clash
-    known = langid.predict(docs.withColumnsRenamed(names), model).where("not rejected")
-    return known.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+    known = langid.predict(rows(docs), model).where("not rejected")
+    return columns(known, docs)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.expr("9223372036854775808")).cast("string"), 20, "0")  # strings in the order of the ids
+    keyed = rows(docs).withColumn("uid", F.concat(place, F.hex(F.xxhash64("text"))))
+    found = near_duplicates.near_duplicates(keyed.where("uid is not null"), "uid", k=5, num=80, den=100)
+    kept = found.where("uid = component_id").select("uid").distinct()
+    once = keyed.join(kept, "uid", "left_semi").dropDuplicates(["uid"])
+    return columns(once.select("row").unionByName(keyed.where("uid is null").select("row")), docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = suffix_dedup.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
