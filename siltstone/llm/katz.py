@@ -9,7 +9,7 @@ counts cannot support a factor) take d(c) = c / (c + 1), the Good-Turing estimat
 whose words are all frequent would otherwise free no mass and give every other word probability 0. Texts start from start
 marks and close with an end token.
 
-1. Words are counted. The most frequent ones, at most `CODES`, are known to all tasks: they get two-byte codes.
+1. Words are counted. The most frequent ones, at most `CODES`, are known to all tasks: their ranks are codes of three bytes at most.
 2. Every batch of texts sends its distinct n-grams, packed, to buckets of their last word (frequent words are spread over
    several by the word before). Sorted by last word, word before and so on, the counts of all shorter n-grams with that
    ending are sums of runs, so the longest seen one of every token and its discount are settled there (`settle`).
@@ -38,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.tables import partitions, stored
+from siltstone.llm.tables import stored
 from siltstone.llm.text import as_bytes, blocks, mix, word_hashes
 
 TOP = 5
-#: Bound of the list of frequent words that every task knows (16 bytes each).
-CODES = 65_000
+#: Bound of the list of frequent words that every task knows (32 bytes each).
+CODES = 500_000
 #: Buckets that a task settles one after the other: each is small enough for a worker's memory.
 PARTS = 4
-_ESCAPE, START = 0xFFFF, 0xFFFE
+_ESCAPE, START = 0xFFFFFF, 0xFFFFFE
 _RARE = np.uint64(1 << 48)
 #: Hash of the end token; mix() is a bijection, so it is as unlikely as any word's.
 END = (int(mix(np.array([1], dtype=np.uint64))[0]) >> 16) | (1 << 48)
@@ -92,10 +92,12 @@ def before(w: np.ndarray, text: np.ndarray, by: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Frequent words (at most `CODES`, by hash), their counts, and how many buckets each is spread over."""
+    """Frequent words (at most `CODES`): their hashes in order, the code of each, and by code (the rank by count) their
+    counts and how many buckets each is spread over."""
 
     buckets: int
     hashes: np.ndarray
+    codes: np.ndarray
     counts: np.ndarray
     ways: np.ndarray
 
@@ -104,7 +106,7 @@ class Words:
         if not len(self.hashes):
             return w
         at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == w, at.astype(np.uint64), w)
+        return np.where(self.hashes[at] == w, self.codes[at], w)
 
     def bucket(self, w: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
         """Bucket of a word, or the one of its buckets that the word `by` selects."""
@@ -114,6 +116,10 @@ class Words:
             out[frequent] += mix(by[frequent] + np.uint64(1)) % self.ways[w[frequent].astype(np.int64)]
         return (out % np.uint64(self.buckets)).astype(np.int64)
 
+    def context_bucket(self, ctx: list[np.ndarray]) -> np.ndarray:
+        """Bucket of a context, nearest word first."""
+        return self.bucket(ctx[0]) if len(ctx) == 1 else self.bucket(ctx[0], ctx[1])
+
     def spread(self, w: np.ndarray) -> np.ndarray:
         """Is the word spread over several buckets?"""
         out = np.zeros(len(w), dtype=bool)
@@ -171,7 +177,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 def pack_words(w: np.ndarray) -> list[np.ndarray]:
     """Two columns: codes, and the hashes of the words that have none."""
     rare = w >= _RARE
-    return [np.where(rare, _ESCAPE, w).astype(np.uint16), w[rare] - _RARE]
+    return [np.where(rare, _ESCAPE, w).astype(np.uint32), w[rare] - _RARE]
 
 
 def unpack_words(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -257,17 +263,17 @@ def frequent_words(unigrams: DataFrame, buckets: int, share: float) -> Words:
         if held + n > CODES:
             break
         cut, held = s, held + n
-    rows = unigrams.where(step >= cut).collect() if cut is not None else []
-    rows = sorted((r["w"], r["c"]) for r in rows)
-    counts = np.array([c for _, c in rows], dtype=np.int64)
+    rows = unigrams.where(step >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["c", "w"], ascending=[False, True])
+    hashes, counts = rows["w"].to_numpy(dtype=np.int64).view(np.uint64), rows["c"].to_numpy(dtype=np.int64)
+    codes = np.argsort(hashes)
     ways = np.minimum(buckets, (counts / share).astype(np.int64) + 1).astype(np.uint64)
-    return Words(buckets, np.array([w for w, _ in rows], dtype=np.uint64), counts, ways)
+    return Words(buckets, hashes[codes], codes.astype(np.uint64), counts, ways)
 
 
 _SENT = "task long, bucket long, batch long, ids binary, blob binary"
 
 
-def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch: int = 800_000) -> DataFrame:
+def sent_ngrams(df: DataFrame, train: str, words: Words, order: int, per_batch: int = 1_000_000) -> DataFrame:
     """The distinct n-grams of each batch of texts, by bucket: last words in runs, words before, training counts,
     occurrences, and the text of every occurrence as a place in the batch's `ids` (sent once a batch)."""
 
@@ -352,14 +358,14 @@ def rare_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return w[order].astype(np.uint64) + _RARE, c[order].astype(np.int64)
 
 
-_SETTLED = "kind int, k int, task long, bucket long, a long, b long, last binary, blob binary"
+_SETTLED = "kind int, k int, task long, a long, b long, last binary, blob binary"
 _SUMS, _IDS, _COUNTS, _NGRAMS, _ASKS = range(5)
 #: What an answer adds up: log alpha and log C(h), log alpha alone, or minus log C(h).
 _BOTH, _ALPHA, _LESS = range(3)
 
 
 class Settled:
-    """What a task has settled: columns for buckets of contexts, sums per text, counts of counts."""
+    """What a task has settled: columns for the tasks of contexts, sums per text, counts of counts."""
 
     def __init__(self, words: Words):
         self.words = words
@@ -368,23 +374,22 @@ class Settled:
         self.counts: dict[tuple[int, int], int] = {}
 
     def send(self, kind: int, k: int, ctx: list[np.ndarray], numbers: list[np.ndarray], last: np.ndarray | None = None) -> None:
-        """Keeps rows for the buckets of their contexts; last words go into a column of their own."""
-        bucket = self.words.bucket(ctx[0]) if k == 2 else self.words.bucket(ctx[0], ctx[1])
-        for b, at in runs_of(bucket):
+        """Keeps rows for the tasks of their contexts; last words go into a column of their own."""
+        for task, at in runs_of(self.words.context_bucket(ctx) // PARTS):
             own = [x for g in ctx for x in pack_words(g[at])] + [x[at].astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in numbers]
-            self.columns.setdefault((kind, k, b), []).append([*(pack_words(last[at]) if last is not None else []), *own])
+            self.columns.setdefault((kind, k, task), []).append([*(pack_words(last[at]) if last is not None else []), *own])
 
     def rows(self) -> Iterator[tuple]:
-        for (kind, k, b), parts in self.columns.items():
+        for (kind, k, task), parts in self.columns.items():
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield kind, k, b // PARTS, b, 0, 0, packed(cols[:2]) if kind == _NGRAMS else None, packed(cols[2:] if kind == _NGRAMS else cols)
+            yield kind, k, task, 0, 0, packed(cols[:2]) if kind == _NGRAMS else None, packed(cols[2:] if kind == _NGRAMS else cols)
         for batch, parts in self.sums.items():
             own, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
             numbers = np.concatenate([x for _, x in parts], axis=1)
             total = [np.bincount(at, weights=x) for x in numbers]
-            yield _SUMS, 0, 0, 0, batch, 0, None, packed([np.diff(own.astype(np.int64), prepend=0), *(x.astype(np.int64) for x in total[2:]), *total[:2]])
+            yield _SUMS, 0, 0, batch, 0, None, packed([np.diff(own.astype(np.int64), prepend=0), *(x.astype(np.int64) for x in total[2:]), *total[:2]])
         for (k, r), n in self.counts.items():
-            yield _COUNTS, k, 0, 0, r, n, None, None
+            yield _COUNTS, k, 0, r, n, None, None
 
 
 def settle_bucket(sent: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], into: Settled, uni: Unigrams, order: int, start: int, end: int) -> None:
@@ -459,7 +464,7 @@ def settle(sent: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, or
         into, known = Settled(words), rare_counts(right)
         for _, part in left.groupby("bucket"):
             settle_bucket(part, known, into, uni, order, start, end)
-        rows = [(_IDS, 0, 0, 0, b, 0, None, x) for b, x in zip(left["batch"], left["ids"], strict=True) if x is not None]
+        rows = [(_IDS, 0, 0, b, 0, None, x) for b, x in zip(left["batch"], left["ids"], strict=True) if x is not None]
         return pd.DataFrame([*rows, *into.rows()], columns=[x.split()[0] for x in _SETTLED.split(", ")])
 
     return sent.groupBy("task").cogroup(dealt(unigrams, words).groupBy("task")).applyInPandas(run, _SETTLED)
@@ -480,22 +485,12 @@ _ANSWERS, _CONTEXTS = range(2)
 def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams, d: list[np.ndarray], order: int, start: int) -> DataFrame:
     """Totals and exactly normalised backoff weights of all contexts, and the answers to what was asked about them."""
 
-    def weigh_bucket(left: pd.DataFrame, known: tuple[np.ndarray, np.ndarray], out: list[tuple], answers: list[tuple]) -> None:
+    def weigh_bucket(grams: dict[int, tuple], asked: dict[int, tuple], known: tuple[np.ndarray, np.ndarray], out: list[tuple], answers: list[tuple]) -> None:
         shorter = None
-        grams: dict[int, list[tuple]] = {k: [] for k in range(2, order + 1)}  # (words before, count, count of the shorter one)
-        for size, blob in zip(left.loc[left["kind"] == _NGRAMS, "k"], left.loc[left["kind"] == _NGRAMS, "blob"], strict=True):
-            cols = gathered([blob], size - 1)
-            w, begins, c = cols[: size - 1], cols[size - 1], cols[size:]
-            for k in range(2, size + 1):  # a shorter n-gram is counted where its run begins
-                own = begins & (1 << (k - 1)) > 0
-                if k == 2 < size:
-                    own &= ~words.spread(w[0])
-                grams[k].append((*(x[own] for x in w[: k - 1]), c[size - k][own], c[size - k + 1][own]))
         for k in range(2, order + 1):
             h = np.zeros(0, dtype=np.uint64)
-            parts = [x for x in grams.pop(k) if len(x[-1])]
-            if parts:
-                *ctx, c, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if k in grams and len(grams[k][-1]):
+                *ctx, c, low = grams[k]
                 c, low = c.astype(np.int64), low.astype(np.int64)
                 h = folded(ctx)
                 at = np.argsort(h, kind="stable")
@@ -513,9 +508,8 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
                 shorter = (h, total)
                 at = np.lexsort((alpha, ctx[0]))
                 out.append((_CONTEXTS, k, 0, packed([*(x for w in ctx for x in pack_words(w[at])), total[at], alpha[at]])))
-            cols = gathered(left.loc[(left["k"] == k) & (left["kind"] == _ASKS), "blob"], k - 1)
-            if cols and len(h):  # a context that training has not seen adds nothing
-                *ask, mode, where = cols
+            if k in asked and len(h):  # a context that training has not seen adds nothing
+                *ask, mode, where = asked[k]
                 key = folded(ask)
                 at = np.minimum(np.searchsorted(h, key), len(h) - 1)
                 hit = h[at] == key
@@ -527,8 +521,21 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
         out: list[tuple] = []
         answers: list[tuple] = []
         known = rare_counts(right)
-        for _, part in left.groupby("bucket"):
-            weigh_bucket(part, known, out, answers)
+        grams: dict[int, list[tuple]] = {}  # (words before, count, count of the shorter one)
+        for size, blob in zip(left.loc[left["kind"] == _NGRAMS, "k"], left.loc[left["kind"] == _NGRAMS, "blob"], strict=True):
+            cols = gathered([blob], size - 1)
+            w, begins, c = cols[: size - 1], cols[size - 1], cols[size:]
+            for k in range(2, size + 1):  # a shorter n-gram is counted where its run begins
+                own = begins & (1 << (k - 1)) > 0
+                if k == 2 < size:
+                    own &= ~words.spread(w[0])
+                grams.setdefault(k, []).append((*(x[own] for x in w[: k - 1]), c[size - k][own], c[size - k + 1][own]))
+        held = {k: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for k, parts in grams.items()}
+        del grams
+        asked = {k: tuple(gathered(left.loc[(left["k"] == k) & (left["kind"] == _ASKS), "blob"], k - 1)) for k in range(2, order + 1)}
+        place = [{k: words.context_bucket(list(x[: k - 1])) for k, x in of.items() if x} for of in (held, asked)]
+        for b in range(key[0] * PARTS, (key[0] + 1) * PARTS):
+            weigh_bucket(*({k: tuple(c[at[k] == b] for c in of[k]) for k in at} for of, at in zip((held, asked), place, strict=True)), known, out, answers)
         if answers:
             where, value = (np.concatenate(x) for x in zip(*answers, strict=True))
             own, at = np.unique(where, return_inverse=True)
@@ -536,7 +543,7 @@ def weigh(settled: DataFrame, unigrams: DataFrame, words: Words, uni: Unigrams,
             out += [(_ANSWERS, 0, batch, packed([own[at] & 0xFFFF, value[at]])) for batch, at in runs_of(own >> 16)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in _WEIGHED.split(", ")])
 
-    left = settled.where(F.col("kind").isin(_NGRAMS, _ASKS)).select("task", "bucket", "kind", "k", "blob")
+    left = settled.where(F.col("kind").isin(_NGRAMS, _ASKS)).select("task", "kind", "k", "blob")
     return left.groupBy("task").cogroup(dealt(unigrams, words).groupBy("task")).applyInPandas(run, _WEIGHED)
 
 
@@ -553,7 +560,7 @@ class Tables:
 
     def _rows(self, blobs: DataFrame, columns: list[str], words: list[int], schema: str) -> DataFrame:
         """Unpacked rows; `words` is the number of words in each packed column, which come first there."""
-        hashes = self.words.hashes
+        hashes = self.words.hashes[np.argsort(self.words.codes)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -592,7 +599,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     rows = df.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("has"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     unigrams = stored(unigram_table(rows, "train"), "unigrams")
     uni = summary(unigrams)
-    buckets = PARTS * max(partitions(df.sparkSession), -(-uni.total // (per_bucket * PARTS)))
+    buckets = PARTS * max(1, -(-uni.total // (per_bucket * PARTS)))
     words = frequent_words(unigrams, buckets, max(uni.total / buckets / 4, 1.0))
     start = rows.where("train").count()  # every training text starts once
     settled = stored(settle(sent_ngrams(rows, "train", words, order), unigrams, words, uni, order, start), "katz", partition_by=["kind"])
