@@ -109,9 +109,9 @@ def with_fingerprint(df: DataFrame, raw_col: str = "raw_log") -> DataFrame:
     text = trim_space(raw)
     many = F.lit(False)
     for d in (",", "\t", "|", ";"):
-        many = many | (F.char_length(text) - F.char_length(F.replace(text, F.lit(d))) >= 3)
-    maybe = text.rlike(r"^[\[{<]|CEF:|LEEF:|=") | many
-    step1 = df.withColumn("_t", text).withColumn("_syslog", syslog_parts(F.col("_t")))
+        many = many | (F.char_length("_t") - F.char_length(F.replace(F.col("_t"), F.lit(d))) >= 3)
+    maybe = F.col("_t").rlike(r"^[\[{<]|CEF:|LEEF:|=") | many
+    step1 = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), text.alias("_t")).withColumn("_syslog", syslog_parts(F.col("_t")))
     is_syslog = F.col("_syslog").isNotNull()
     step1 = step1.withColumn("_nested", nested_udf(F.when(maybe, F.col("_t")), is_syslog)).withColumn(
         "_sd", structured_udf(F.when((F.col("_syslog.ver") > 0) & F.col("_syslog.body").startswith("["), F.col("_syslog.body")))
@@ -144,4 +144,6 @@ def with_fingerprint(df: DataFrame, raw_col: str = "raw_log") -> DataFrame:
     )
     canonical = F.concat(F.lit(f"{VERSION}:format="), F.col("format"), optional("|vendor=", F.col("vendor")), optional("|product=", F.col("product")), tail)
     done = step3.withColumn("canonical", canonical).withColumn("fingerprint", F.sha2("canonical", 256))
-    return done.drop("_t", "_syslog", "_nested", "_sd", "_vp")
+    made = ["format", "vendor", "product", "template", "canonical", "fingerprint"]
+    # the user's columns travel as one, so that no name meets another; those named like a result are replaced
+    return done.select(*(F.col("_row").getField(c).alias(c) for c in df.columns if c not in made), *made)

@@ -12,11 +12,11 @@ from siltstone.functions import patterns as P
 from siltstone.functions.features import syslog_parts, with_fingerprint
 from siltstone.operators import explore as X
 from siltstone.operators import rules as R
-from siltstone.operators.parse import transform_column, with_parsed
+from siltstone.operators.parse import TRANSFORMATIONS, with_parsed
 from siltstone.plans import oracles as O
 from siltstone.plans import pipeline as B
 from siltstone.sources import logs as L
-from siltstone.sources.corpus import raw_logs
+from siltstone.sources.corpus import raw_logs, spread
 from siltstone.sources.scratch import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,12 +79,12 @@ def q_split_lines(spark, sf):
 
 @query(marked_sql("SELECT id, format FROM marked"))
 def q_detect_format(spark, sf):
-    return marked(spark, sf).select("id", "format")
+    return with_fingerprint(raw_logs(spark, sf)).select("id", "format")
 
 
 @query(marked_sql("SELECT format, count(*) AS n FROM marked GROUP BY format"))
 def q_format_counts(spark, sf):
-    return marked(spark, sf).groupBy("format").agg(F.count("*").alias("n"))
+    return with_fingerprint(raw_logs(spark, sf)).groupBy("format").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, 'number' AS id_type, 'string' AS kind_type, 'timestamp' AS ts_type, 'time' AS time_type, 'ipv4' AS ip_type, 'email' AS mail_type FROM events""")
@@ -187,12 +187,12 @@ def q_xml_pages(spark, sf):
 
 @query(marked_sql("SELECT id, fingerprint FROM marked"))
 def q_fingerprint_hash(spark, sf):
-    return marked(spark, sf).select("id", "fingerprint")
+    return with_fingerprint(raw_logs(spark, sf)).select("id", "fingerprint")
 
 
 @query(marked_sql("SELECT fingerprint, count(*) AS n FROM marked GROUP BY fingerprint ORDER BY n DESC, fingerprint LIMIT 10"))
 def q_fingerprint_topk(spark, sf):
-    return marked(spark, sf).groupBy("fingerprint").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "fingerprint").limit(10)
+    return with_fingerprint(raw_logs(spark, sf)).groupBy("fingerprint").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "fingerprint").limit(10)
 
 
 # rules and parsing -------------------------------------------------------------------------------------------------
@@ -206,26 +206,45 @@ def q_default_rule(spark, sf):
 _FIVE = P.DEFAULT_RULES[0][1]
 
 
-@query(corpus_sql(rf"""SELECT id, strftime(strptime(regexp_extract(raw_log, '^(\S+ \S+) ', 1), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
-'ERROR' AS severity, 'svc-' || event_type AS service, 'server-' || (user_id % 9) AS host, 'failed for user u' || user_id AS message FROM corpus WHERE k = 5"""))
+_FIELDS = ("timestamp", "severity", "service", "host", "message")
+_STRUCTURED = {
+    "timestamp": r"strftime(strptime(regexp_extract(raw_log, '^(\S+ \S+) ', 1), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%SZ')",
+    "severity": "'ERROR'",
+    "service": "'svc-' || event_type",
+    "host": "'server-' || (user_id % 9)",
+    "message": "'failed for user u' || user_id",
+}
+
+
+@query(corpus_sql("SELECT id, " + ", ".join(f"CASE WHEN contains(raw_log, chr(10)) THEN NULL WHEN regexp_matches(raw_log, {O.q(_FIVE)}) THEN {v} ELSE {'raw_log' if c == 'message' else O.q('')} END AS {c}" for c, v in _STRUCTURED.items()) + " FROM corpus"))
 def q_parse_rules(spark, sf):
-    p = with_parsed(raw_logs(spark, sf).where("k = 5").withColumn("r", R.default_rule(F.col("raw_log"))).select("id", "raw_log", "r.*"))
-    return p.select("id", *(f"normalized.{c}" for c in ("timestamp", "severity", "service", "host", "message")))
+    p = with_parsed(raw_logs(spark, sf).withColumn("r", R.default_rule(F.col("raw_log"))).select("id", "raw_log", "r.*"))
+    return p.select("id", *(f"normalized.{c}" for c in _FIELDS))
 
 
-@query(corpus_sql("SELECT id, 'u' || user_id AS actor, event_type AS message, CAST(id AS VARCHAR) AS pid FROM corpus WHERE k = 2"))
+@query(corpus_sql("SELECT id, CASE WHEN k = 2 THEN 'u' || user_id END AS actor, CASE WHEN k = 2 THEN event_type END AS message, CASE WHEN k = 2 THEN CAST(id AS VARCHAR) END AS pid FROM corpus"))
 def q_parse_metadata(spark, sf):
     rule = r"^<\d+>.*app\[(?P<p_id>\d+)\]: (?<what>\w+) by user (?P<who>\S+)$"
     mapping = F.create_map(*[F.lit(x) for x in ("p_id", "metadata.pid", "who", "actor", "what", "message")])
-    p = with_parsed(raw_logs(spark, sf).where("k = 2").select("id", "raw_log", F.lit(rule).alias("pattern"), mapping.alias("mapping"), F.lit(None).cast("map<string,struct<type:string,format:string>>").alias("transformations")))
+    p = with_parsed(raw_logs(spark, sf).select("id", "raw_log", F.lit(rule).alias("pattern"), mapping.alias("mapping"), F.lit(None).cast(TRANSFORMATIONS).alias("transformations")))
     return p.select("id", F.col("normalized.metadata")["actor"].alias("actor"), "normalized.message", F.col("normalized.metadata")["pid"].alias("pid"))
 
 
-@query(corpus_sql("SELECT k, CASE WHEN k = 10 THEN 'no match' WHEN k = 5 THEN 'partial match' ELSE 'no match' END AS error, count(*) AS n FROM corpus WHERE k IN (5, 10) GROUP BY 1, 2"))
+def unmapped(df: DataFrame, pattern: str, raw: str = "raw_log", steps=None) -> DataFrame:
+    """df parsed by one pattern without a mapping."""
+    steps = F.lit(None) if steps is None else steps
+    return with_parsed(df.withColumns({"pattern": F.lit(pattern), "mapping": F.lit(None).cast("map<string,string>"), "transformations": steps.cast(TRANSFORMATIONS)}), raw)
+
+
+@query(corpus_sql("SELECT k, CASE WHEN contains(raw_log, 'ERROR') THEN 'partial match' ELSE 'no match' END AS error, count(*) AS n FROM corpus GROUP BY 1, 2"))
 def q_parse_errors(spark, sf):
-    none = F.lit(None).cast("map<string,string>").alias("mapping"), F.lit(None).cast("map<string,struct<type:string,format:string>>").alias("transformations")
-    p = with_parsed(raw_logs(spark, sf).where("k in (5, 10)").select("id", "k", "raw_log", F.lit(r"(?P<severity>ERROR)").alias("pattern"), *none))
-    return p.groupBy("k", "error").agg(F.count("*").alias("n"))
+    return unmapped(raw_logs(spark, sf), r"(?P<severity>ERROR)").groupBy("k", "error").agg(F.count("*").alias("n"))
+
+
+@query(corpus_sql(r"SELECT id, CASE WHEN k = 8 THEN regexp_extract(raw_log, '(host\d+) app', 1) END AS host, CASE WHEN k = 8 THEN event_type END AS what, CASE WHEN k = 8 THEN regexp_extract(raw_log, 'took (\d+)', 1) END AS ms FROM corpus"))
+def q_parse_nomap(spark, sf):
+    p = unmapped(raw_logs(spark, sf), r"^\w+ \d+ [\d:]+ (?P<host>\w+) app\[\d+\]: (?P<what>\w+) took (?P<ms>\d+) ms$")
+    return p.select("id", "normalized.host", F.col("normalized.metadata")["what"].alias("what"), F.col("normalized.metadata")["ms"].alias("ms"))
 
 
 _TRANSFORMS = {
@@ -235,12 +254,19 @@ _TRANSFORMS = {
     "int": ("concat('00', event_id)", "CAST(event_id AS VARCHAR)"),
     "epoch_s": ("cast(1700000000 + event_id as string)", "strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"),
     "epoch_ms": ("cast(1700000000000 + event_id as string)", "strftime(make_timestamp(((1700000000000 + event_id) // 1000) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"),
+    "float": ("concat('0', event_id, '.50')", "event_id || '.5'"),
     "datetime": ("date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"),
 }
 
 
 def _transform_query(kind: str, spark_sql: str, duck: str) -> None:
-    QUERIES[f"q_transform_{kind}"] = lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", transform_column(F.expr(spark_sql), kind).alias("v"))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        events = spread(spark.read.parquet(f"{sf}/events.parquet")).select("event_id", F.expr(spark_sql).alias("raw"))
+        layout = "2006-01-02 15:04:05" if kind == "datetime" else ""
+        step = F.create_map(F.lit("v"), F.struct(F.lit(kind).alias("type"), F.lit(layout).alias("format")))
+        return unmapped(events, r"(?P<v>[\s\S]*)", "raw", step).select("event_id", F.col("normalized.metadata")["v"].alias("v"))
+
+    QUERIES[f"q_transform_{kind}"] = run
     SQL[f"q_transform_{kind}"] = f"SELECT event_id, {duck} AS v FROM events"
 
 
@@ -269,14 +295,14 @@ def q_single_flight(spark, sf):
 
 @query(rules_sql("SELECT hash, waiting FROM rules"))
 def q_waiters(spark, sf):
-    return B.eligible(marked(spark, sf)).groupBy(F.col("fingerprint").alias("hash")).agg(F.size(F.collect_set("id")).cast("long").alias("waiting"))
+    return B.eligible(marked(spark, sf)).groupBy(F.col("fingerprint").alias("hash")).agg(F.count_distinct("id").alias("waiting"))
 
 
-@query(rules_sql("SELECT m.id, r.rule.name AS rule FROM marked m JOIN rules r ON m.fingerprint = r.hash WHERE m.k < 6"))
+@query(rules_sql("SELECT m.id, r.rule.name AS rule FROM marked m JOIN rules r ON m.fingerprint = r.hash"))
 def q_parser_lookup(spark, sf):
     m = marked(spark, sf)
     rules = R.synthesize(B.representatives(B.eligible(m))).select("hash", F.col("name").alias("rule"))
-    return m.where("k < 6").join(rules, F.col("fingerprint") == F.col("hash")).select("id", "rule")
+    return m.join(rules, F.col("fingerprint") == F.col("hash")).select("id", "rule")
 
 
 @query(rules_sql("SELECT id FROM marked WHERE fingerprint NOT IN (SELECT hash FROM rules WHERE format = 'cef')"))
@@ -293,9 +319,9 @@ def q_request_logs(spark, sf):
     return X.with_logs(pending, done.logs).select("id", F.size("logs").cast("long").alias("logs"))
 
 
-@query(rules_sql("SELECT id, user_id, raw_log, fingerprint AS hash FROM done WHERE result = 'completed' AND user_id % 7 = 3"))
+@query(rules_sql("SELECT id, user_id, raw_log, fingerprint AS hash FROM done WHERE result = 'completed'"))
 def q_request_detail(spark, sf):
-    return processed(spark, sf).logs.where("user_id % 7 = 3").select("id", "user_id", "raw_log", "hash")
+    return processed(spark, sf).logs.select("id", "user_id", "raw_log", "hash")
 
 
 @query(marked_sql("SELECT id FROM marked WHERE fingerprint IN (SELECT fingerprint FROM marked WHERE k = 3 AND event_type = 'error')"))

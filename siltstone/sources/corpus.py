@@ -43,7 +43,13 @@ def duckdb_cte() -> str:
     return f"""corpus AS (SELECT event_id AS id, user_id, event_type, ts AS created_at, event_id % 12 AS k, event_id // 5 % 5 AS attempts, {status} AS status, {raw} AS raw_log FROM events)"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits (small tables of one row group); others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, user_id, event_type, created_at, k, attempts, status, raw_log of every event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return events.selectExpr("event_id as id", "user_id", "event_type", "ts as created_at", "event_id % 12 as k", "event_id div 5 % 5 as attempts", f"{_STATUS.format(id='event_id')} as status", f"{spark_expression()} as raw_log")

@@ -1,20 +1,26 @@
+import hashlib
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from samples import GOLDEN, MALFORMED
+from samples import CANONICAL, MALFORMED, SSHD, SSHD_FINGERPRINT
 from siltstone.functions import normalize as N
 from siltstone.functions import patterns as P
 from siltstone.functions import structure as S
 from siltstone.functions.features import with_fingerprint
 
 
-def test_goldens_and_malformed(spark):
-    logs = [g[0] for g in GOLDEN] + MALFORMED
-    df = spark.createDataFrame(list(enumerate(logs)), "id int, raw_log string")
-    rows = with_fingerprint(df).orderBy("id").collect()
-    for r, (raw, fmt, sha) in zip(rows, GOLDEN, strict=False):
-        assert (r.format, r.fingerprint) == (fmt, sha), (raw[:60], r.canonical)
+def test_canonical_forms_and_malformed_logs(spark):
+    logs = [raw for raw, _ in CANONICAL] + [SSHD] + MALFORMED
+    df = spark.createDataFrame([(i, raw, "mine", "mine") for i, raw in enumerate(logs)], "id int, raw_log string, _t string, `_row` string")
+    out = with_fingerprint(df)
+    assert out.columns[:4] == df.columns
+    rows = out.orderBy("id").collect()
+    for r, (raw, want) in zip(rows, CANONICAL, strict=False):
+        assert r.canonical == want, raw
+        assert r.fingerprint == hashlib.sha256(want.encode()).hexdigest() and r["_t"] == r["_row"] == "mine"
+    assert rows[len(CANONICAL)].fingerprint == SSHD_FINGERPRINT
     assert len(rows) == len(logs) and all(len(r.fingerprint) == 64 for r in rows)
 
 
