@@ -142,3 +142,9 @@ def normalize_value(key: Column, value: Column) -> Column:
         out = out.when(kind == label, f"<{mark}>")
     out = out.when((kind == "number") & small_enum(t, k), t).when(kind == "number", "<NUMBER>").when(kind == "bool", F.lower(t))
     return out.when(matches(t, P.DYNAMIC), "<DYNAMIC_ID>").otherwise(normalize_template(t))
+
+
+def structural_tokens(template: Column) -> Column:
+    """Words of a template without brackets, colons, commas and quotes at their ends; words of those alone are left out."""
+    bare = F.transform(F.split(template, " "), lambda w: F.btrim(w, F.lit("()[]{}:,\"'")))
+    return F.filter(bare, lambda w: w != "")

@@ -64,7 +64,7 @@ def search_rules(rules: DataFrame, text: str = "", status: str = "", fmt: str =
 
 
 def rule_metrics(rules: DataFrame) -> DataFrame:
-    return rules.agg(F.count("*").alias("rules"), F.count_if(F.lower("status") == "active").alias("active"), F.coalesce(F.sum("logs_processed"), F.lit(0)).alias("processed"))
+    return rules.agg(F.count("*").alias("rules"), F.count_if(F.lower(F.coalesce("status", F.lit("Active"))) == "active").alias("active"), F.coalesce(F.sum("logs_processed"), F.lit(0)).alias("processed"))
 
 
 def formats(rules: DataFrame) -> DataFrame:
@@ -101,3 +101,45 @@ def find_rule(rules: DataFrame, key: str) -> DataFrame:
 
 def clock(at: Column) -> Column:
     return F.coalesce(F.date_format(at, "dd/MM/yyyy, HH:mm:ss"), F.lit("—"))
+
+
+def count_of(requests: DataFrame, user_id: int, status: str = "") -> DataFrame:
+    """How many rows by_user finds, for the number of pages."""
+    return by_user(requests, user_id, status).agg(F.count("*").alias("total"))
+
+
+def request_of(requests: DataFrame, request_id: int, user_id: int) -> DataFrame:
+    """One user's request by its id; others' are not found."""
+    return requests.where((F.col("id") == request_id) & (F.col("user_id") == user_id))
+
+
+def first_logs(requests: DataFrame, logs: DataFrame) -> DataFrame:
+    """Requests with level, service and message of their first log (the smallest hash); what is empty falls back to a dash,
+    a message to the payload first."""
+    first = logs.groupBy("id").agg(F.min_by(F.struct(*(F.col(f"normalized.{c}").alias(c) for c in ("severity", "service", "message"))), "hash").alias("_first"))
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    dash = F.lit("—")
+    shown = {"level": F.coalesce(some("_first.severity"), dash), "service": F.coalesce(some("_first.service"), dash), "message": F.coalesce(some("_first.message"), some("raw_log"), dash)}
+    return requests.join(first, "id", "left").withColumns(shown).drop("_first")
+
+
+def pretty(normalized: Column, names: list[str]) -> Column:
+    """A normalised log as indented JSON: fields in the order of `names`, nulls left out, metadata by key at the end."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    line = lambda key, c: F.when(c.isNotNull(), F.concat(F.lit("  "), quoted(key), F.lit(": "), quoted(c)))
+    extra = F.transform(F.array_sort(F.map_entries(normalized["metadata"])), lambda e: F.concat(F.lit("  "), line(e["key"], F.coalesce(e["value"], F.lit("")))))
+    block = F.when(F.size(extra) > 0, F.concat(F.lit('  "metadata": {\n'), F.array_join(extra, ",\n"), F.lit("\n  }")))
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *(line(F.lit(n), normalized[n]) for n in names), block), F.lit("\n}"))
+
+
+def rule_options(rules: DataFrame) -> DataFrame:
+    """Choices of a rule filter: value (hash or else name) and label (name or else hash), and one for all."""
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    own = rules.select(F.coalesce(some("hash"), some("name")).alias("value"), F.coalesce(some("name"), some("hash")).alias("label"))
+    every = rules.sparkSession.range(1).select(F.lit("all").alias("value"), F.lit("All rules").alias("label"))
+    return every.unionByName(own.where("value is not null"))
+
+
+def tag_counts(logs: DataFrame, raw: str = "raw_log") -> DataFrame:
+    """Opening tags of all logs by name."""
+    return logs.select(F.explode(F.regexp_extract_all(F.col(raw), F.lit(r"<([A-Za-z_][\w.\-]*)(?=[\s/>])"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.normalize import trim_space
 from siltstone.functions.patterns import DEFAULT_RULES, java
@@ -48,9 +50,36 @@ def valid(pattern: str) -> bool:
     return True
 
 
+@F.pandas_udf(T.BooleanType())
+def _compiles(patterns: pd.Series) -> pd.Series:
+    return pd.Series([p is not None and valid(p) for p in patterns], dtype=bool)
+
+
+def valid_rules(rules: DataFrame) -> DataFrame:
+    """Rules whose pattern compiles; empty, null and foreign patterns go."""
+    return rules.where(_compiles("pattern"))
+
+
+def patched(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """rules with the non-empty values of changes (hash and any other columns of rules, one row a hash) in place of theirs."""
+    named = [c for c in changes.columns if c != "hash"]
+    new = changes.select(F.col("hash"), F.struct(*named).alias("_new"))
+    value = lambda c: F.coalesce(F.when(F.col(f"_new.{c}").cast("string") != "", F.col(f"_new.{c}")), F.col(c)).alias(c)
+    texts = {f.name for f in rules.schema.fields if f.dataType.simpleString() in ("string", "bigint", "timestamp")}
+    kept = lambda c: value(c) if c in texts else F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c)
+    return rules.join(new, "hash", "left").select(*(kept(c) if c in named else c for c in rules.columns))
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """rows but those whose key stands in ids."""
+    return rows.join(ids.select(key), key, "left_anti")
+
+
 def synthesize(missing: DataFrame, rule=default_rule) -> DataFrame:
-    """A rule row for each (fingerprint, raw_log, format, vendor, product, template); `rule` is the pluggable synthesiser."""
-    r = missing.withColumn("_r", rule(F.col("raw_log")))
+    """A rule row for each (fingerprint, raw_log, format, vendor, product, template); `rule` is the pluggable synthesiser,
+    and where it gives null the default rule stands in."""
+    made = rule(F.col("raw_log")) if rule is default_rule else F.coalesce(rule(F.col("raw_log")).cast(RULE), default_rule(F.col("raw_log")))
+    r = missing.withColumn("_r", made)
     other = F.when(F.col("format") == "unknown", "Custom").otherwise(F.col("format"))
     return r.select(F.col("fingerprint").alias("hash"), F.col("_r.name").alias("name"), F.col("_r.pattern").alias("pattern"), F.col("_r.mapping").alias("mapping"), F.col("_r.transformations").alias("transformations"), F.lit("Active").alias("status"), other.alias("format"), "vendor", "product", "template", F.lit(0).cast("long").alias("logs_processed"), F.lit(None).cast("timestamp").alias("last_used"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.features import with_fingerprint
@@ -63,3 +63,13 @@ def process(requests: DataFrame, rules: DataFrame, rule=default_rule, only_activ
     rest = requests.where("not (status = 'pending' and attempts < 3)")
     logs = done.where(ok).select("id", "user_id" if "user_id" in done.columns else F.lit(None).cast("long").alias("user_id"), F.lit(False).alias("is_direct"), F.col("created_at").alias("request_created_at"), "normalized", "raw_log", F.col("fingerprint").alias("hash"))
     return Processed(result.select(requests.columns).unionByName(rest), logs, all_rules)
+
+
+def waiting_again(requests: DataFrame, rules: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """Requests that wait for a rule (status waiting_parser, with fingerprint and created_at): pending again where the rule
+    has come, failed with one more attempt where none came in time; all others as they are."""
+    known = usable(rules).select(F.col("hash").alias("fingerprint"), F.lit(True).alias("_known")).distinct()
+    waits, late = F.col("status") == "waiting_parser", F.unix_timestamp(now) - F.unix_timestamp("created_at") > seconds
+    status = F.when(waits & F.col("_known"), "pending").when(waits & late, "failed").otherwise(F.col("status"))
+    attempts = F.col("attempts") + F.when(waits & F.col("_known").isNull() & late, 1).otherwise(0)
+    return requests.join(known, "fingerprint", "left").withColumns({"status": status, "attempts": attempts}).select(requests.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import normalize as N
 from siltstone.functions import patterns as P
 from siltstone.functions.features import syslog_parts, with_fingerprint
+from siltstone.functions.layouts import extract_timestamp
 from siltstone.operators import explore as X
 from siltstone.operators import rules as R
 from siltstone.operators.parse import TRANSFORMATIONS, with_parsed
@@ -279,6 +280,65 @@ def q_manual_key(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", R.manual_key(F.concat(F.lit("^("), "event_type", "event_id", F.lit(")$"))).alias("key"))
 
 
+# branches that the corpus of logs does not reach -------------------------------------------------------------------
+
+
+def crafted(spark: SparkSession, sf: str, text) -> DataFrame:
+    """event_id, event_type, ts and raw_log of every event."""
+    return spread(spark.read.parquet(f"{sf}/events.parquet")).select("event_id", "event_type", "ts", text.alias("raw_log"))
+
+
+def _canonical_query(name: str, parts: list[str], expected: str) -> None:
+    """Canonical form of a text made of literals and (marked by $) expressions over events."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        text = F.concat(*(F.expr(p[1:]).cast("string") if p[0] == "$" else F.lit(p) for p in parts))
+        return with_fingerprint(crafted(spark, sf, text)).select("event_id", "canonical")
+
+    QUERIES[name] = run
+    raw = " || ".join(f"CAST({p[1:]} AS VARCHAR)" if p[0] == "$" else O.q(p) for p in parts)
+    SQL[name] = f"SELECT event_id, {expected} AS canonical FROM (SELECT *, {raw} AS raw_log FROM events)"
+
+
+_canonical_query("q_syslog_pri", ["<", "$event_id % 300", ">free text here"], f"CASE WHEN event_id % 300 <= 191 THEN 'fp-v1:format=syslog|ver=0|fac=' || (event_id % 300 // 8) || '|sev=' || (event_id % 300 % 8) || '|app=|msg_id=|template=free text here' ELSE 'fp-v1:format=plain_text|template=' || {O.template('raw_log')} END")
+_canonical_query("q_syslog_sd", ["<", "$event_id % 192", '>1 2024-01-02T03:04:05Z h app 1 ID [b@1 z="', "$event_id", '" y="1"][a@2 x="q"] done'], "'fp-v1:format=syslog|ver=1|fac=' || (event_id % 192 // 8) || '|sev=' || (event_id % 192 % 8) || '|app=app|msg_id=ID|sd=a@2.x,b@1.y,b@1.z|template=done'")
+_canonical_query("q_cef_header", ["CEF:0|Ac\\|me|Sh\\\\op|1.0|", "$event_type", "|Na\\|me|", "$event_id % 11", "|cnt=", "$event_id"], "'fp-v1:format=cef|vendor=ac|me|product=sh\\op|ver=0|dev_vendor=Ac|me|dev_product=Sh\\op|dev_ver=1.0|class_id=' || event_type || '|sev=' || (event_id % 11) || '|ext=cnt:number'")
+_canonical_query("q_csv_header", ["$event_type", ",Level,Host Name,", "$CASE WHEN event_id % 2 = 0 THEN 'Count' ELSE '7' END"], "'fp-v1:format=csv|delim=,|cols=4|header=' || CASE WHEN event_id % 2 = 0 THEN 'true|headers=' || lower(event_type) || ',level,host name,count|types=string,string,string,string' ELSE 'false|types=string,string,string,number' END")
+_canonical_query("q_leef_delimiter", ["LEEF:2.0|Acme|Shop|2|", "$event_type", "|^|src=10.0.0.1^cnt=", "$event_id"], "'fp-v1:format=leef|vendor=acme|product=shop|ver=2.0|vendor=Acme|product=Shop|prod_ver=2|event_id=' || event_type || '|delim=^|ext=cnt:number,src:ipv4'")
+_canonical_query("q_json_array", ['[{"a":', "$event_id", '},{"b":[],"a":"x"},{"c":[null,1],"d":true}]'], "'fp-v1:format=json|schema=array[object{a:number,b:array[unknown],c:array[null],d:bool}]'")
+
+
+@query(f"SELECT doc_id, len(t) AS n, sha256(array_to_string(t, chr(10))) AS h FROM (SELECT doc_id, list_filter(list_transform(string_split({O.template('text')}, ' '), lambda w: trim(w, '()[]{{}}:,\"' || chr(39))), lambda w: w <> '') AS t FROM documents)")
+def q_text_tokens(spark, sf):
+    """Whole texts: the fold without the cut that templates of logs get."""
+    c = F.col("text")
+    tokens = N.structural_tokens(N.remaining_numbers(F.when(N.is_ascii(c), N.steps(c)).otherwise(N.steps(c, False))))
+    return docs(spark, sf).select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", "\n"), 256).alias("h"))
+
+
+#: For each layout of a lone timestamp: Spark's pattern of the text (|d| is the day with a leading blank), the shift to UTC, whether it has a year.
+_LAYOUTS = [
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "0 minute", True), ("yyyy-MM-dd'T'HH:mm:ss'.123+02:00'", "-120 minute", True), ("yyyy-MM-dd'T'HH:mm:ss'+0200'", "-120 minute", True),
+    ("yyyy-MM-dd HH:mm:ss", "0 minute", True), ("yyyy-MM-dd HH:mm:ss'.250'", "0 minute", True), ("dd/MMM/yyyy:HH:mm:ss' -0330'", "210 minute", True), ("MMM |d| HH:mm:ss", "0 minute", False),
+    ("MMM dd HH:mm:ss", "0 minute", False), ("E MMM |d| HH:mm:ss yyyy", "0 minute", True), ("E MMM |d| HH:mm:ss' UTC 'yyyy", "0 minute", True), ("E MMM dd HH:mm:ss' -0700 'yyyy", "420 minute", True),
+    ("yyyy/MM/dd HH:mm:ss", None, True),
+]
+_MOMENTS = " ".join(f"WHEN {i} THEN " + ("NULL" if by is None else f"strftime(ts + INTERVAL '{by}', '{'%Y' if year else '0000'}-%m-%dT%H:%M:%SZ')") for i, (_, by, year) in enumerate(_LAYOUTS))
+
+
+@query(f"SELECT event_id, CASE event_id % {len(_LAYOUTS)} {_MOMENTS} END AS moment FROM events")
+def q_layout_timestamp(spark, sf):
+    kind = F.col("event_id") % len(_LAYOUTS)
+    shown = lambda p: F.lpad(F.dayofmonth("ts").cast("string"), 2, " ") if p == "d" else F.date_format("ts", p)
+    text = F.coalesce(*(F.when(kind == i, F.concat(*map(shown, p.split("|")))) for i, (p, _, _) in enumerate(_LAYOUTS)))
+    return crafted(spark, sf, text).select("event_id", extract_timestamp("raw_log").alias("moment"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(['Event', 'Type', 'User']) AS tag FROM events WHERE event_id % 12 = 9) GROUP BY tag")
+def q_xml_tags(spark, sf):
+    return X.tag_counts(raw_logs(spark, sf))
+
+
 # processing --------------------------------------------------------------------------------------------------------
 
 
@@ -401,6 +461,39 @@ def q_recent5(spark, sf):
     return X.newest_page(raw_logs(spark, sf), 1, 5).select("id", F.coalesce(F.nullif("status", F.lit("")), F.lit("—")).alias("status"), "raw_log")
 
 
+def _made_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of two requests in three, some twice, with empty and missing fields."""
+    r = raw_logs(spark, sf).where("id % 3 > 0").selectExpr("id", "explode(sequence(1, cast(id % 2 + 1 as int))) as i", "event_type", "user_id")
+    return r.selectExpr(
+        "id", "concat('h', i) as hash",
+        "named_struct('timestamp', '', 'severity', if(id % 4 = 0, '', concat('L', i)), 'service', if(id % 5 = 0, cast(null as string), event_type), 'message', if(id % 7 = 0, '', concat('say \"', id, '\"')), 'metadata', if(id % 4 = 1, map('u', cast(user_id as string), 'a', 'b'), cast(map() as map<string,string>))) as normalized",
+    )
+
+
+@query(corpus_sql("SELECT id, CASE WHEN id % 3 > 0 AND id % 4 <> 0 THEN 'L1' ELSE '—' END AS level, CASE WHEN id % 3 > 0 AND id % 5 <> 0 THEN event_type ELSE '—' END AS service, CASE WHEN id % 3 > 0 AND id % 7 <> 0 THEN 'say \"' || id || '\"' ELSE raw_log END AS message FROM corpus"))
+def q_first_log(spark, sf):
+    return X.first_logs(raw_logs(spark, sf), _made_logs(spark, sf)).select("id", "level", "service", "message")
+
+
+@query(corpus_sql("""SELECT id, '{' || chr(10) || '  "severity": "' || CASE WHEN id % 4 = 0 THEN '' ELSE 'L1' END || '",' || chr(10) || CASE WHEN id % 5 = 0 THEN '' ELSE '  "service": "' || event_type || '",' || chr(10) END
+|| '  "message": "' || CASE WHEN id % 7 = 0 THEN '' ELSE 'say \\"' || id || '\\"' END || '"' || CASE WHEN id % 4 = 1 THEN ',' || chr(10) || '  "metadata": {' || chr(10) || '    "a": "b",' || chr(10) || '    "u": "' || user_id || '"' || chr(10) || '  }' ELSE '' END || chr(10) || '}' AS shown FROM corpus WHERE id % 3 > 0"""))
+def q_pretty_log(spark, sf):
+    first = _made_logs(spark, sf).groupBy("id").agg(F.min_by("normalized", "hash").alias("normalized"))
+    return first.select("id", X.pretty(F.col("normalized"), ["severity", "service", "message"]).alias("shown"))
+
+
+@query(rules_sql("SELECT hash AS value, coalesce(nullif(rule.name, ''), hash) AS label FROM rules UNION ALL SELECT 'all', 'All rules'"))
+def q_rule_options(spark, sf):
+    return X.rule_options(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+
+
+@query(corpus_sql("SELECT id, CASE WHEN status <> 'waiting_parser' THEN status WHEN k < 6 THEN 'pending' WHEN epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(date_trunc('second', created_at)) > 86400 THEN 'failed' ELSE status END AS status FROM corpus"))
+def q_waiting_again(spark, sf):
+    requests = raw_logs(spark, sf).withColumn("fingerprint", F.col("k").cast("string"))
+    rules = spark.range(6).selectExpr("cast(id as string) as hash", "'x' as pattern", "'Active' as status")
+    return B.waiting_again(requests, rules, F.expr(NOW).cast("timestamp"), 86400).select("id", "status")
+
+
 @query(corpus_sql("SELECT id, CASE WHEN length(trim(split_part(raw_log, chr(10), 1))) > 40 THEN left(trim(split_part(raw_log, chr(10), 1)), 40) || '…' ELSE trim(split_part(raw_log, chr(10), 1)) END AS preview FROM corpus"))
 def q_preview(spark, sf):
     return raw_logs(spark, sf).select("id", X.preview(F.col("raw_log"), 40).alias("preview"))
