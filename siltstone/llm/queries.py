@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chunk_bpe, katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, warc
+from siltstone.llm import chunk_bpe, clusters, katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, warc
 from siltstone.llm.tables import crc32_mod, documents, table
 
 
@@ -60,12 +60,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op11_centroid_clustering": OP11_SQL}
 
 
 OP8_SQL = """
@@ -77,3 +81,31 @@ FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) A
              max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept
       FROM pages)
 """
+
+#: Rounds are chained steps; integer products stand exactly in doubles, as no component passes 2**20 here.
+OP11_SQL = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, sha256('1:' || vec_id) AS h, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS cluster, v FROM kept ORDER BY h NULLS LAST, v LIMIT 16)"""
+    + "".join(
+        f""",
+a{n} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v), cluster := c.cluster)) AS near
+  FROM kept k, c{n} c GROUP BY r),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY i) AS v FROM (
+      SELECT near.cluster AS cluster, i, CAST(floor(sum(v[i]) / count(*)) AS DOUBLE) AS mean
+      FROM kept JOIN a{n} USING (r), range(1, 65) t(i) GROUP BY ALL) GROUP BY cluster) m USING (cluster))"""
+        for n in range(4)
+    )
+    + """
+SELECT vec_id, near.cluster AS cluster, CAST(near.d AS BIGINT) AS distance,
+       CAST(sum(near.d) OVER (PARTITION BY near.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM kept JOIN a3 USING (r) JOIN c3 c ON c.cluster = near.cluster
+"""
+)
