@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chunk_bpe, clusters, katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, warc
+from siltstone.llm import chunk_bpe, clusters, katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, url_filter, warc
 from siltstone.llm.tables import crc32_mod, documents, table
 
 
@@ -64,6 +64,15 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(table(spark, sf_dir, "embeddings"))
 
 
+#: action and `host/path` of the rules
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
