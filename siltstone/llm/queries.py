@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chunk_bpe, clusters, katz, langid, media, near_duplicates, packing, suffix_dedup, token_counts, topk, url_filter, warc
+from siltstone.llm import chunk_bpe, clusters, katz, langid, media, near_duplicates, packing, resampling, suffix_dedup, token_counts, topk, url_filter, warc
 from siltstone.llm.tables import crc32_mod, documents, table
 
 
@@ -64,6 +64,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 #: action and `host/path` of the rules
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -78,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op11_centroid_clustering": OP11_SQL}
+    return {"op8_warc": OP8_SQL, "op11_centroid_clustering": OP11_SQL, "op12_target_resampling": OP12_SQL}
 
 
 OP8_SQL = """
@@ -118,3 +122,41 @@ SELECT vec_id, near.cluster AS cluster, CAST(near.d AS BIGINT) AS distance,
 FROM kept JOIN a3 USING (r) JOIN c3 c ON c.cluster = near.cluster
 """
 )
+
+#: CRC-32 goes over the bytes of all distinct features, one position a step; its table comes from the polynomial.
+OP12_SQL = """
+WITH RECURSIVE poly AS (
+  SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS v, 0 AS step FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM poly WHERE step < 8),
+crc AS MATERIALIZED (SELECT b, v FROM poly WHERE step = 8),
+texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, * FROM (
+    SELECT doc_id, text, TRUE AS own FROM documents UNION ALL SELECT NULL, text, FALSE FROM benchmark)),
+words AS MATERIALIZED (
+  SELECT r, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM texts),
+runs AS MATERIALIZED (
+  SELECT r, own, f, count(*) AS n FROM (
+    SELECT r, own, unnest(w) AS f FROM words UNION ALL
+    SELECT r, own, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words) GROUP BY ALL),
+distinct_f AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM runs),
+steps AS (
+  SELECT f, h, CAST(1 AS BIGINT) AS pos, CAST(4294967295 AS BIGINT) AS reg FROM distinct_f
+  UNION ALL
+  SELECT f, h, pos + 2, xor(crc.v, reg >> 8) FROM steps JOIN crc ON crc.b = xor(reg, CAST('0x' || substr(h, pos, 2) AS BIGINT)) & 255 WHERE pos < length(h)),
+bucketed AS MATERIALIZED (SELECT f, xor(reg, 4294967295) % 10000 AS bucket FROM steps WHERE pos > length(h)),
+counts AS MATERIALIZED (SELECT r, own, bucket, sum(n) AS n FROM runs JOIN bucketed USING (f) GROUP BY ALL),
+whole AS MATERIALIZED (SELECT CAST(coalesce(sum(n) FILTER (own), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT own), 0) AS DOUBLE) AS t FROM counts),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((b.t + 1) * (w.s + 10000) / ((b.s + 1) * (w.t + 10000)))) AS gain
+  FROM (SELECT bucket, CAST(coalesce(sum(n) FILTER (own), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT own), 0) AS DOUBLE) AS t FROM counts GROUP BY bucket) b, whole w),
+weights AS (SELECT r, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM counts JOIN gains USING (bucket) WHERE own GROUP BY r),
+scored AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (r) WHERE own),
+ranked AS (
+  SELECT *, n_words >= 20 AND doc_id IS NOT NULL AS may, row_number() OVER (PARTITION BY n_words >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_words >= 20 AND doc_id IS NOT NULL) OVER () AS many FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 25 * many // 100 THEN place END AS rank FROM ranked
+"""
