@@ -28,7 +28,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.tables import partitions
 from siltstone.llm.text import as_bytes, blocks, prefix, slice_hashes
 
 WINDOW = 32
@@ -184,9 +183,9 @@ def slices(raw: bytes, ends: np.ndarray) -> list[bytes]:
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", finish=None, columns: str = "ids binary") -> DataFrame:
     """id and `ids` (little-endian unsigned 32-bit token ids, packed) of every row. With `finish`, a function of a list
     of packed ids, the frame that it returns (of the given columns) takes their place within the same pass."""
-    n_parts = partitions(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("uid"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("uid", F.xxhash64("id", "text", F.col("id").isNull(), F.col("text").isNull()))
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdCompressor(level=6)
@@ -194,8 +193,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"id": pdf["id"], "z": [z.compress(as_bytes(t)) for t in pdf["text"]], "uid": pdf["uid"]})
 
     # one exchange of the compressed texts serves all three passes: each takes all its columns and hands on none of them
-    # under their own names, so Spark sees the same exchange and runs it once
-    dealt = rows.mapInPandas(squeeze, f"id {kind}, z binary, uid long not null").repartition(n_parts, "uid")
+    # under their own names, so Spark sees the same exchange and runs it once. Equal rows are one row with their number,
+    # within each task already, so a row repeated without bound neither meets in one task nor multiplies its chunks
+    once = F.first("id").alias("id"), F.first("z").alias("z"), F.count("*").alias("times")
+    dealt = rows.mapInPandas(squeeze, f"id {kind}, z binary, uid long not null").groupBy("uid").agg(*once)
 
     def chop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -237,10 +238,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     out.append(join_chunks(b, ends.tolist(), own, words))
             made = pd.DataFrame({"ids": out}) if finish is None else finish(out)
             made.insert(0, "id", pdf["id"].to_numpy())
+            made["times"] = pdf["times"].to_numpy()
             yield made
 
-    out = dealt.join(uses, F.col("uid") == F.col("of"), "left").mapInPandas(assemble, f"id {kind}, {columns}")
-    return out.withColumnRenamed("id", id_col)
+    out = dealt.join(uses, F.col("uid") == F.col("of"), "left").mapInPandas(assemble, f"id {kind}, {columns}, times long")
+    each = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("copy", "times")
+    return each.withColumnRenamed("id", id_col)
 
 
 class Decoder:

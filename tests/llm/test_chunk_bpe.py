@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -48,3 +50,20 @@ def test_cuts_depend_on_content_only():
     chunks = [{raw[s:e] for s, e in zip(np.r_[0, x], x, strict=False)} for raw, x in zip((a, b), ends, strict=False)]
     assert len(chunks[0] & chunks[1]) > 0.8 * len(chunks[0])
     assert ends[2].tolist() == [] and ends[3].tolist() == [5]
+
+
+def test_repeated_rows_are_encoded_once(spark):
+    """2,000 equal rows take about as long as 200: no row meets the others' chunks."""
+    rng, tok = random.Random(6), Tokenizer.from_file(PATH)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1200))
+    seconds = []
+    for n in (20, 200, 2000):
+        df = spark.createDataFrame([(None, text)] * n + [(1, text), (2, None), (2, None)], "doc_id string, text string").repartition(8)
+        start = time.time()
+        got = cb.digest(df, PATH).collect()
+        seconds.append(time.time() - start)
+        assert len(got) == n + 3 and collections.Counter(r.doc_id for r in got) == {None: n, "1": 1, "2": 2}
+        assert {(r.doc_id == "2", r.n_tokens) for r in got} == {(True, 0), (False, len(tok.encode(text, add_special_tokens=False).ids))}
+    assert seconds[2] < 5 * seconds[1] + 5
+    swapped = spark.createDataFrame([(None, "a b"), ("a b", None)], "doc_id string, text string")
+    assert {(r.doc_id, r.n_tokens) for r in cb.digest(swapped, PATH).collect()} == {(None, 2), ("a b", 0)}
