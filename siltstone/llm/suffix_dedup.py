@@ -120,7 +120,8 @@ def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, per_tas
     half, spark = length // 2, df.sparkSession
     n_parts = partitions(spark)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # a struct: the user's names never meet ours
-    docs = df.select(row.alias("row"), F.xxhash64(F.lit(7), *[F.col(f"`{c}`") for c in df.columns if c in ("doc_id", text_col)]).alias("uid"))
+    own = [F.col(f"`{c}`") for c in df.columns if c in ("doc_id", text_col)]
+    docs = df.select(row.alias("row"), F.xxhash64(F.lit(7), *own, *(c.isNull() for c in own)).alias("uid"))
     texts = docs.select("uid", F.col("row").getField(text_col).alias("text"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +166,7 @@ def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, per_tas
     several = members.join(sizes, "gram").select("uid", "pos", "gram", "n")
     whole = rows.where("kind = 0").select("uid", "pos").unionByName(found.where("known").select("uid", "pos"))
     wanted = whole.select("uid", "pos", F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("n")).unionByName(several)
-    listed = stored(wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "n")).alias("places")), "anchor-places")  # no more than a text's own anchors
+    listed = stored(wanted.groupBy("uid").agg(F.collect_set(F.struct("pos", "gram", "n")).alias("places")), "anchor-places")  # a set: equal rows share their uid, and a text's own anchors bound it
 
     with_places = texts.join(listed, "uid")
     edges = np.linspace(0, half + 1, _SPLIT + 1).astype(int)
@@ -214,7 +215,7 @@ def with_spans(df: DataFrame, text_col: str = "text", length: int = 200, per_tas
 
     sorted_spans = to_sort.groupBy("bucket").applyInPandas(compare, "uid long, start long, stop long")
     spans = made.where("kind = 0").select("uid", F.col("pos").alias("start"), "stop").unionByName(sorted_spans)
-    per_text = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return docs.join(per_text, "uid", "left").select("row", "spans")
 
 

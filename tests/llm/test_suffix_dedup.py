@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -77,3 +78,18 @@ def test_one_gram_in_many_contexts(spark):
     texts += [noise(6) + long[rng.randrange(10) : 50 + rng.randrange(10)] + noise(6) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(map(tuple, sd.digest(df, length=40, per_task=200).collect())) == brute(texts, 40)
+
+
+def test_repeated_rows_stay_linear(spark):
+    """2,000 equal rows of one text: all of them go, and each row meets its own places only."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    seconds = []
+    for n in (20, 200, 2000):
+        df = spark.createDataFrame([(None, text)] * n + [(1, "short"), (1, "short"), (2, "z" + text[:150])], "doc_id long, text string").repartition(8)
+        start = time.time()
+        got = sd.digest(df).collect()
+        seconds.append(time.time() - start)
+        assert len(got) == n + 3
+        assert {(r.n_bytes, r.n_removed, r.n_spans) for r in got} == {(5000, 5000, 1), (5, 0, 0), (151, 0, 0)}
+    assert seconds[2] < 5 * seconds[1] + 10
