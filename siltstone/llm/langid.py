@@ -5,11 +5,12 @@ Features: byte n-grams (1 to 4 bytes of the lower-cased UTF-8, digits and ASCII
 spherical k-means centroids. A text takes the language of the centroid with the largest cosine; it is rejected when that
 cosine is below the language's radius, a share (`slack`) of the smallest cosine of its training texts to their centroids.
 
-The model is fitted on a bounded sample: at most about `sample` labelled rows a language, chosen by a hash of their id.
+The model is fitted on a bounded sample: at most `sample` distinct labelled texts a language, chosen by a hash of the text.
 Prediction covers every row and looks at nothing but the text. Whole texts are read, never prefixes.
 
 Defined results: a null text or one without a letter is `und`, score 0, rejected; without any labelled training row
-every text is `und`; repeated rows each give their row; extra columns are ignored; an empty table gives an empty result.
+every text is `und`; rows without an id are learned from and predicted like any others; repeated rows each give their row,
+and the fit learns from equal texts of a language once; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,28 +81,27 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarra
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600, sample_bytes: int = 4 << 20, dims: int = 4096, centroids: int = 3, slack: float = 0.6) -> Model | None:
+def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", sample: int = 600, sample_bytes: int = 4 << 20, dims: int = 4096, centroids: int = 3, slack: float = 0.6) -> Model | None:
     """Model of the rows where `train` holds and the language is known; None where there are none.
 
-    `sample` bounds the labelled rows a language (a hash of the id picks them; ties and the last few are cut by order), and
-    `sample_bytes` the bytes of them: rows are taken in that order up to there, one at least, whole.
+    `sample` bounds the distinct labelled texts a language (a hash of the text picks them, the last few are cut by order),
+    and `sample_bytes` the bytes of them: texts are taken in that order up to there, one at least, whole. Ids play no part.
     """
-    rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
         return None
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        below = int(-(1 << 63) + (1 << 64) * min(1.0, 1.2 * sample / n)) - 1
-        keep = keep | ((F.col("lang") == lang) & (F.col("h") <= min(below, (1 << 63) - 1)))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    some = rows.where(keep).select("lang", "text", "h", F.row_number().over(order).alias("rank"), F.sum(F.octet_length("text")).over(order).alias("bytes"))
+    most = [(lang, min(int(-(1 << 63) + (1 << 64) * min(1.0, 1.3 * sample / max(n, 1))), (1 << 63) - 1)) for lang, n in sizes.items()]
+    limits = df.sparkSession.createDataFrame(most, f"lang {rows.schema['lang'].dataType.simpleString()}, most long")  # a row a language, of which the model holds centroids
+    distinct = rows.join(F.broadcast(limits), "lang").where("h <= most").select("lang", "text", "h").dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    some = distinct.select("lang", "text", F.row_number().over(order).alias("rank"), F.sum(F.octet_length("text")).over(order).alias("bytes"))
     picked = some.where((F.col("rank") == 1) | (F.col("rank") <= sample) & (F.col("bytes") <= sample_bytes)).toPandas().sort_values(["lang", "rank"])
     x = vectors(list(picked["text"]), dims)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    langs, cs, owner, radius = sorted(sizes), [], [], []
+    langs, cs, owner, radius = sorted(set(picked["lang"])), [], [], []
     for k, lang in enumerate(langs):
         own = x[(picked["lang"] == lang).to_numpy()]
         c, at = spherical_kmeans(own, centroids)

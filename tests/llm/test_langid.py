@@ -73,3 +73,15 @@ def test_predictions_equal_brute_force(spark):
         else:
             assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
     assert langid.fit(df, F.lit(True), sample_bytes=1) is not None
+
+
+def test_labelled_rows_without_ids_and_copies(spark):
+    rng = random.Random(3)
+    words = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["szczyt", "trzcina", "źdźbło"]}
+    rows = [(None, " ".join(rng.choice(words[lang]) for _ in range(9)), lang) for lang in words for _ in range(2000)]
+    rows += [(5, "one boilerplate line", "cc")] * 2000 + [(None, "uno", "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    assert model.langs == ["aa", "bb", "cc", "dd"]
+    got = langid.predict(df.distinct(), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.99 * len(got)
