@@ -5,16 +5,17 @@
 3. repeats    bytes of 200-byte strings that also start elsewhere go; n_chars follows; no document is dropped
 4. packing    what is left is tokenised and packed into sequences of 2048 tokens
 
-Defined results: documents without an id are not compared with others in stage 2 and stay; rows that share an id are
-compared like any others, and of those with the same text too one stays; without any labelled row stage 1 keeps every text
-that has a letter; extra columns of any names come through all stages but the last; n_chars is set anew where there is such
-a column; empty tables give empty results.
+Defined results: ids are whole numbers or texts, in their own order; documents without an id are not compared with others
+in stage 2 and stay; rows that share an id are compared like any others, and of those with the same text too one stays;
+without any labelled row stage 1 keeps every text that has a letter; extra columns of any names come through all stages but
+the last; n_chars is set anew where there is such a column; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from siltstone.llm import langid, near_duplicates, packing, suffix_dedup
 from siltstone.llm.queries import tokenizer_path
@@ -40,7 +41,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.expr("9223372036854775808")).cast("string"), 20, "0")  # strings in the order of the ids
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.expr("9223372036854775808")).cast("string"), 20, "0")  # strings in the order of the ids
+    else:
+        place = F.concat(F.col("doc_id").cast("string"), F.lit("\0"))
     keyed = rows(docs).withColumn("uid", F.concat(place, F.hex(F.xxhash64("text"))))
     found = near_duplicates.near_duplicates(keyed.where("uid is not null"), "uid", k=5, num=80, den=100)
     kept = found.where("uid = component_id").select("uid").distinct()
