@@ -55,3 +55,15 @@ def test_odd_rows(spark):
     ids = [i for i, _ in got]
     assert len(got) == len(set(got)) and None in ids and not {900, 901, 902} & set(ids) and any(x and x.startswith(other[:20]) for _, x in got)
     assert corpus_pipeline.duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+def test_text_ids_and_many_equal_rows(spark):
+    """Ids that are texts; 2,000 equal rows without an id go through stages 1 to 3."""
+    texts = [r["text"] for r in pq.read_table(f"{SF}/documents.parquet").slice(0, 30).to_pylist()]
+    rows = [(f"k{i}", t, "en") for i, t in enumerate(texts)] + [("a0", texts[0], "en")] + [(None, texts[1], "en")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(8)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        ids = [r.doc_id for r in docs.collect()]
+        assert ids.count(None) == 2000
+        assert ("k0" in ids) == (name == "language") and "a0" in ids
