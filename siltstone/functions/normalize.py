@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +16,21 @@ MOST_BYTES = 4096
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(P.SPACES))
+
+
+def built(make: Callable[..., Column], *names: str) -> Column:
+    """make(columns of these names), built once for each Spark context: large expressions take a second to put together."""
+    kept = SparkContext._active_spark_context.__dict__.setdefault("_siltstone_columns", {})
+    key = (make.__module__, make.__qualname__, names)
+    if key not in kept:
+        kept[key] = make(*map(F.col, names))
+    return kept[key]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -33,8 +48,76 @@ def step(c: Column, pattern: str, replacement: str, ascii_only: bool = True) ->
     return F.regexp_replace(c, P.java(pattern, ascii_only), replacement.replace("\\1", "$1"))
 
 
-def steps(c: Column, ascii_only: bool = True) -> Column:
-    return reduce(lambda x, s: step(x, s[1], s[2], ascii_only), P.STEPS, c)
+def seen_in(c: Column) -> Column:
+    """struct of a text, its lower-case form and the character classes that the steps ask for, each looked up once."""
+    has = lambda x: F.contains(c, F.lit(x))
+    found = {
+        "text": c,
+        "low": F.lower(c),
+        "size": F.octet_length(c),
+        "ascii": is_ascii(c),
+        "digit": c.rlike("[0-9]"),
+        **{name: has(x) for name, x in [("dash", "-"), ("colon", ":"), ("slash", "/"), ("dot", "."), ("at", "@"), ("quote", '"'), ("bracket", "["), ("line", "_"), ("hex", "0x")]},
+    }
+    return F.struct(*(v.alias(k) for k, v in found.items()))
+
+
+def needs(s: Column) -> dict[str, Column]:
+    """By template step: whether a text (as seen_in shows it) has what the step's pattern cannot do without.
+
+    Every replacement but its angle-bracketed name comes from the text itself, and no pattern reaches into such a name, so
+    what the text lacks at first no earlier step brings in.
+    """
+    text, digit, dash, colon, slash, dot = (s[x] for x in ("text", "digit", "dash", "colon", "slash", "dot"))
+    says = lambda x: F.contains(s["low"], F.lit(x))
+    long_hex = (s["size"] >= 24) & text.rlike("[0-9a-fA-F]{24}")
+    epoch = digit & (s["size"] >= 10) & text.rlike("1[4-9][0-9]{8}")
+    return {
+        "web_user": s["bracket"] & dash,
+        "user_agent": s["quote"] & slash,
+        "ssh_key": colon & (says("sha256:") | says("md5:") | says("rsa:")),
+        "user_context": says("user"),
+        "host_context": says("host"),
+        "port_context": digit & says("port"),
+        "url": colon & slash & F.contains(text, F.lit("://")),
+        "email": s["at"],
+        "iso8601": digit & dash & colon,
+        "apache_ts": digit & slash & colon,
+        "syslog_ts": digit & colon & text.rlike("[JFMASOND][a-z]{2}[\\t\\n\\f\\r ]"),
+        "date_only": digit & (dash | slash),
+        "uuid": digit & dash & (s["size"] >= 36),
+        "mac": (s["size"] >= 14) & (colon | dash | dot) & text.rlike("(?:[:-][0-9a-fA-F]{2}){5}|[.][0-9a-fA-F]{4}[.]"),
+        "sha256": (s["size"] >= 64) & long_hex,
+        "sha1": (s["size"] >= 40) & long_hex,
+        "md5": (s["size"] >= 32) & long_hex,
+        "hex_addr": s["hex"],
+        "mongo_id": long_hex,
+        "ipv4_port": digit & dot & (colon | slash),
+        "ipv4": digit & dot,
+        "ipv6": colon & text.rlike("::|(?::[0-9a-fA-F]{1,4}){7}"),
+        "time_only": digit & colon,
+        "epoch_ms": epoch,
+        "epoch_sec": epoch,
+        "dynamic": digit & (dash | s["line"]) & text.rlike("[A-Za-z][-_]|[-_][A-Za-z]"),
+    }
+
+
+def steps(c: Column) -> Column:
+    """All template steps in order. Only those run for which a text has what they need; with characters beyond ASCII the
+    slower form of \\b serves."""
+
+    def run(seen: Column) -> Column:
+        need, many = needs(seen), len(P.STEPS)
+        shift = F.when(seen["ascii"], 0).otherwise(many)
+        due = F.array_compact(F.array(*(F.when(need[name], shift + k) for k, (name, _, _) in enumerate(P.STEPS))))
+
+        def apply(text: Column, at: Column) -> Column:
+            forms = [(k + (0 if plain else many), step(text, pattern, replacement, plain)) for plain in (True, False) for k, (_, pattern, replacement) in enumerate(P.STEPS)]
+            return reduce(lambda out, f: out.when(at == f[0], f[1]), forms[1:], F.when(at == forms[0][0], forms[0][1]))
+
+        return F.reduce(due, seen["text"], apply)
+
+    return let(seen_in(c), run)
 
 
 def is_number(c: Column) -> Column:
@@ -72,40 +155,49 @@ def number_token(tok: Column) -> Column:
     )
 
 
+#: How a number begins, at the start of a word or after its first `=`; most words are told apart by it.
+_STARTS = "[+-]?(?:[.]?[0-9]|[iI][nN][fF]|[nN][aA][nN])"
+
+
 def remaining_numbers(c: Column) -> Column:
-    return F.array_join(F.transform(fields(c), number_token), " ")
+    """Words joined by one space, numbers among them replaced; a text without the start of a number is not taken apart."""
+    each = lambda tok: F.when(tok.rlike(f"^(?:[^=]*=)?{_STARTS}"), number_token(tok)).otherwise(tok)
+    words = lambda x: F.array_join(F.transform(fields(x), each), " ")
+    return let(c, lambda x: F.when(x.rlike(f"(?:^|{SPACE[:-1]}=]){_STARTS}"), words(x)).otherwise(collapse_whitespace(x)))
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return trim_space(F.regexp_replace(c, f"{SPACE}+", " "))
+    return trim_space(F.regexp_replace(c, f"{SPACE}{{2,}}|{SPACE[:-1]}&&[^ ]]", " "))
 
 
 def normalize_template(c: Column) -> Column:
     """Volatile values replaced by placeholders; texts above 4096 bytes are cut there and marked."""
     long = F.octet_length(c) > MOST_BYTES
     text = F.when(long, F.make_valid_utf8(F.substring(c.cast("binary"), 1, MOST_BYTES).cast("string"))).otherwise(c)
-    folded = F.when(is_ascii(c), steps(text)).otherwise(steps(text, False))
-    return F.concat(remaining_numbers(folded), F.when(long, " <TRUNCATED>").otherwise(""))
+    return F.concat(remaining_numbers(steps(text)), F.when(long, " <TRUNCATED>").otherwise(""))
 
 
 def detect_value_type(c: Column) -> Column:
     """The label of a value: the first rule that holds."""
-    t = trim_space(c)
-    low, size = F.lower(t), F.octet_length(t)
+    shown = lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), F.octet_length(t).alias("size"))
+    return let(let(trim_space(c), shown), lambda s: _value_type(s["t"], s["low"], s["size"]))
+
+
+def _value_type(t: Column, low: Column, size: Column) -> Column:
     rules: list[tuple[Column, str]] = [
         (t == "", "string"),
         (low.isin("true", "false", "yes", "no"), "bool"),
         (low.isin("null", "nil", "none"), "null"),
-        (matches(t, P.UUID) & (size == 36), "uuid"),
-        (matches(t, P.MAC) & size.isin(17, 14), "mac"),
-        (t.rlike(f"^{P.STRICT_IPV4}\\z"), "ipv4"),
+        ((size == 36) & matches(t, P.UUID), "uuid"),
+        (size.isin(17, 14) & matches(t, P.MAC), "mac"),
+        (F.contains(t, F.lit(".")) & t.rlike(f"^{P.STRICT_IPV4}\\z"), "ipv4"),
         (F.contains(t, F.lit(":")) & t.rlike(f"^{P.strict_ipv6()}\\z"), "ipv6"),
         (size.isin(64, 40, 32) & t.rlike("^[0-9a-fA-F]+\\z"), "hex_hash"),
         (low.startswith("http://") | low.startswith("https://") | low.startswith("ftp://"), "url"),
-        (matches(t, P.EMAIL), "email"),
-        (matches(t, P.ISO8601) | matches(t, P.APACHE_TS) | matches(t, P.SYSLOG_TS), "timestamp"),
-        (matches(t, P.TIME_ONLY) & (size <= 12), "time"),
-        (matches(t, P.EPOCH_MS) | matches(t, P.EPOCH_SEC), "timestamp"),
+        (F.contains(t, F.lit("@")) & matches(t, P.EMAIL), "email"),
+        (F.contains(t, F.lit(":")) & (matches(t, P.ISO8601) | matches(t, P.APACHE_TS) | matches(t, P.SYSLOG_TS)), "timestamp"),
+        ((size <= 12) & F.contains(t, F.lit(":")) & matches(t, P.TIME_ONLY), "time"),
+        ((size >= 10) & (matches(t, P.EPOCH_MS) | matches(t, P.EPOCH_SEC)), "timestamp"),
         (is_number(t), "number"),
     ]
     out: Column | None = None
@@ -114,17 +206,41 @@ def detect_value_type(c: Column) -> Column:
     return out.otherwise("string")
 
 
-def vendor_product(c: Column) -> Column:
+#: Literals of which a text has one at least where the vendor's rule can hold; those of the second kind in any case.
+_VENDOR_MARKS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "asa": (("%",), ()),
+    "ios": (("%",), ()),
+    "fortigate": ((), ("devid=", "devname=", "device_id=")),
+    "pan_os": (("TRAFFIC,", "THREAT,", "CONFIG,", "SYSTEM,", "CORRELATION,", "PAN-OS"), ()),
+    "junos": (("RT_", "SSG", "JUNOS"), ()),
+    "firewall1": ((), ("checkpoint", "smartdefense", "fw_log")),
+    "windows_event": ((), ("schemas.microsoft.com", "<eventid>", "microsoft-windows-")),
+    "aws": (("eni-", "aws:cloudtrail", "aws_region"), ()),
+    "azure": ((), ("azureactivity", "azurediagnostics", "/subscriptions/")),
+    "linux": (("]:",), ()),
+}
+
+
+def vendor_product(text: Column) -> Column:
     """struct<vendor, product>, both '' where no rule holds."""
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda s: _vendor_product(s["text"], s["low"]))
+
+
+def _vendor_product(c: Column, low: Column) -> Column:
     pair: Callable[[str, str], Column] = lambda v, p: F.struct(F.lit(v).alias("vendor"), F.lit(p).alias("product"))
+
+    def maybe(name: str) -> Column:
+        exact, folded = _VENDOR_MARKS[name]
+        return reduce(lambda a, b: a | b, [*(F.contains(c, F.lit(x)) for x in exact), *(F.contains(low, F.lit(x)) for x in folded)])
+
     out: Column | None = None
     for pattern, also, vendor, product in P.VENDORS:
-        cond = reduce(lambda a, b: a | b, [matches(c, pattern), *(c.rlike(x) for x in also)])
+        cond = maybe(product) & reduce(lambda a, b: a | b, [matches(c, pattern), *(c.rlike(x) for x in also)])
         out = F.when(cond, pair(vendor, product)) if out is None else out.when(cond, pair(vendor, product))
-    aws = matches(c, P.AWS)
+    aws = maybe("aws") & matches(c, P.AWS)
     out = out.when(aws & F.contains(c, F.lit("eni-")), pair("aws", "vpc_flow")).when(aws, pair("aws", "cloudtrail"))
-    out = out.when(matches(c, P.AZURE), pair("microsoft", "azure"))
-    linux = matches(c, P.LINUX)
+    out = out.when(maybe("azure") & matches(c, P.AZURE), pair("microsoft", "azure"))
+    linux = maybe("linux") & matches(c, P.LINUX)
     for name in P.LINUX_PRODUCTS:
         out = out.when(linux & F.contains(c, F.lit(name)), pair("linux", name))
     return out.when(linux, pair("linux", "system")).otherwise(pair("", ""))
@@ -132,12 +248,19 @@ def vendor_product(c: Column) -> Column:
 
 def normalize_value(key: Column, value: Column) -> Column:
     """A single value's placeholder; enum-like keys keep short identifiers."""
-    t = trim_space(value)
+    return let(trim_space(value), lambda t: _normalize_value(F.lower(key), t))
+
+
+def _normalize_value(k: Column, given: Column) -> Column:
+    t = given
     quoted = (t.rlike('(?s)^".*"\\z') | t.rlike("(?s)^'.*'\\z")) & (F.octet_length(t) >= 2)
     t = F.when(quoted, F.substr(t, F.lit(2), F.char_length(t) - 2)).otherwise(t)
-    k, kind = F.lower(key), detect_value_type(t)
+    return F.when(given == "", "").otherwise(let(let(t, lambda x: F.struct(x.alias("t"), detect_value_type(x).alias("kind"))), lambda s: _placeholder(k, s["t"], s["kind"])))
+
+
+def _placeholder(k: Column, t: Column, kind: Column) -> Column:
     kept = k.isin(P.ENUM_KEYS) & (F.octet_length(t) <= 15) & t.rlike(r"^[\p{L}\p{Nd}_-]*\z")
-    out = F.when(trim_space(value) == "", "").when(kept, F.lower(t))
+    out = F.when(kept, F.lower(t))
     for label, mark in [("ipv4", "IPV4"), ("ipv6", "IPV6"), ("mac", "MAC"), ("uuid", "UUID"), ("timestamp", "TIMESTAMP"), ("time", "TIME"), ("hex_hash", "HASH"), ("url", "URL"), ("email", "EMAIL"), ("null", "NULL")]:
         out = out.when(kind == label, f"<{mark}>")
     out = out.when((kind == "number") & small_enum(t, k), t).when(kind == "number", "<NUMBER>").when(kind == "bool", F.lower(t))

@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 WORD = "[0-9A-Za-z_]"
+#: White space, one by one: what trimming cuts and words are split at.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: RE2's ASCII word boundary spelled out, for texts with characters beyond ASCII.
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
@@ -77,10 +79,11 @@ SMALL_ENUMS = [
     (["status", "http_status", "code", "response_code", "status_code"], [(100, 599), (0, 10)]),
     (["proto", "protocol"], [(1, 1), (6, 6), (17, 17), (47, 47), (50, 50), (58, 58)]),
 ]
-ENUM_KEYS = (
-    "action act status level severity sev pri priority proto protocol method http_method type event_type version v ver "
-    "op operation result disposition category cat facility fac state direction dir"
-).split()
+ENUM_KEYS = [
+    *("action", "act", "status", "level", "severity", "sev", "pri", "priority", "proto", "protocol", "method", "http_method"),
+    *("type", "event_type", "version", "v", "ver", "op", "operation", "result", "disposition", "category", "cat", "facility"),
+    *("fac", "state", "direction", "dir"),
+]
 
 # Syslog headers and stack trace marks.
 RFC5424 = r"^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)"

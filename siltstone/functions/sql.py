@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import structure as S
-from siltstone.functions.features import nested_udf
+from siltstone.functions.features import nested_udf, with_fingerprint
 from siltstone.functions.layouts import extract_timestamp
 from siltstone.operators.parse import parse_log
 
@@ -23,6 +23,14 @@ FUNCTIONS = {"log_features": nested_udf, "parse_log": parse_log, "detect_value_t
 
 def register(spark: SparkSession) -> None:
     """log_features(text, is_syslog), parse_log(raw, pattern, mapping, transformations), detect_value_type and
-    extract_timestamp for SQL. Templates, vendors and fingerprints are Column expressions and need none."""
+    extract_timestamp for SQL. Templates, vendors, fingerprints and records are Column expressions: see features_view."""
     for name, f in FUNCTIONS.items():
         spark.udf.register(name, f)
+
+
+def features_view(spark: SparkSession, table: str, raw_col: str = "raw_log") -> str:
+    """A temporary view <table>_features: the table with format, vendor, product, template, canonical, fingerprint and the
+    feature record of its logs, all as SQL columns; gives its name."""
+    name = f"{table}_features"
+    with_fingerprint(spark.table(table), raw_col, record=True).createOrReplaceTempView(name)
+    return name

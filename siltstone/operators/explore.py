@@ -56,7 +56,8 @@ def search_logs(rows: DataFrame, text: str) -> DataFrame:
 
 
 def search_rules(rules: DataFrame, text: str = "", status: str = "", fmt: str = "") -> DataFrame:
-    shown = F.concat_ws(" ", "name", F.coalesce("format", F.lit("Custom")), "vendor", "product", "hash", "pattern", F.array_join(F.map_keys("mapping"), " "))
+    """Case-insensitive search in name, format, vendor, product, hash, pattern, sample and fields; then by status and format."""
+    shown = F.concat_ws(" ", "name", F.coalesce("format", F.lit("Custom")), "vendor", "product", "hash", "pattern", "sample_log", F.array_join(fields_of(), " "))
     found = rules.where(F.contains(F.lower(shown), F.lower(F.lit(text))))
     if status:
         found = found.where(F.lower(F.coalesce("status", F.lit("Active"))) == status.lower())
@@ -89,8 +90,13 @@ def time_ago(at: Column, now: Column) -> Column:
     return F.when(s < 60, "Just now").when(s < 3600, part(60, " min ago")).when(s < 86400, part(3600, " hr ago")).when(s < 604800, part(86400, " days ago")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 
 
+def fields_of() -> Column:
+    """A rule's extracted fields, or else the keys of its mapping."""
+    return F.coalesce("extracted_fields", F.array_sort(F.map_keys("mapping")))
+
+
 def field_chips(rules: DataFrame) -> DataFrame:
-    return rules.select("hash", F.array_join(F.array_sort(F.map_keys("mapping")), ", ").alias("fields"))
+    return rules.select("hash", F.array_join(fields_of(), ", ").alias("fields"))
 
 
 def find_rule(rules: DataFrame, key: str) -> DataFrame:

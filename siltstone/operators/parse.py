@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.layouts import to_rfc3339
+from siltstone.functions.patterns import SPACES
 from siltstone.functions.structure import is_number
 
 TARGETS = ["timestamp", "severity", "service", "host", "source", "message", "event_type", "trace_id", "request_id"]
@@ -41,7 +42,8 @@ def compile_rule(pattern: str) -> re.Pattern:
 
 
 def _moment(seconds: int) -> str:
-    return f"{datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=seconds):%Y-%m-%dT%H:%M:%SZ}"
+    t = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=seconds)
+    return f"{t.year:04d}-{t:%m-%dT%H:%M:%SZ}"
 
 
 def _integer(v: str) -> int:
@@ -73,11 +75,11 @@ def transform(value: str, kind: str, layout: str) -> str:
     if k in ("lowercase", "lower"):
         return one(str.lower)
     if k in ("trim", "trim_space"):
-        return value.strip()
+        return value.strip(SPACES)
     if k in ("integer", "int"):
-        return str(_integer(value.strip()))
+        return str(_integer(value.strip(SPACES)))
     if k in ("float", "decimal", "number"):
-        return _decimal(value.strip())
+        return _decimal(value.strip(SPACES))
     if k in ("datetime", "date", "timestamp", "time"):
         out = to_rfc3339(value, layout or "")
         if out is None:
@@ -85,9 +87,9 @@ def transform(value: str, kind: str, layout: str) -> str:
         return out
     try:
         if k in ("epoch_s", "epoch_sec", "unix"):
-            return _moment(_integer(value.strip()))
+            return _moment(_integer(value.strip(SPACES)))
         if k in ("epoch_ms", "epoch_milli"):
-            return _moment(_integer(value.strip()) // 1000)
+            return _moment(_integer(value.strip(SPACES)) // 1000)
     except OverflowError:
         raise ParseError(f"out of range: {value!r}") from None
     raise ParseError(f"unknown transformation {kind!r}")

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.features import FEATURES
 from siltstone.functions.normalize import trim_space
 from siltstone.functions.patterns import DEFAULT_RULES, java
 from siltstone.operators.parse import ParseError, compile_rule
 
 RULE = "struct<name:string,pattern:string,mapping:map<string,string>,transformations:map<string,struct<type:string,format:string>>>"
-COLUMNS = ["hash", "name", "pattern", "mapping", "transformations", "status", "format", "vendor", "product", "template", "logs_processed", "last_used"]
+COLUMNS = ["hash", "name", "pattern", "mapping", "transformations", "status", "format", "vendor", "product", "template", "delimiter", "extracted_fields", "field_signatures", "sample_log", "logs_processed", "last_used", "created_at", "updated_at"]
 
 
 def _rule(name: str, pattern: str, layout: str | None, transforms: bool) -> Column:
@@ -76,24 +77,46 @@ def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def synthesize(missing: DataFrame, rule=default_rule) -> DataFrame:
-    """A rule row for each (fingerprint, raw_log, format, vendor, product, template); `rule` is the pluggable synthesiser,
-    and where it gives null the default rule stands in."""
-    made = rule(F.col("raw_log")) if rule is default_rule else F.coalesce(rule(F.col("raw_log")).cast(RULE), default_rule(F.col("raw_log")))
-    r = missing.withColumn("_r", made)
+    """A rule row for each (fingerprint, raw_log, format, vendor, product, template, and features if there); `rule` is the
+    pluggable synthesiser, and where it gives null or a pattern that does not compile the default rule stands in."""
+    if rule is default_rule:
+        r = missing.withColumn("_r", default_rule(F.col("raw_log")))
+    else:
+        r = missing.withColumn("_r", rule(F.col("raw_log")).cast(RULE))
+        r = r.withColumn("_r", F.when(_compiles("_r.pattern"), F.col("_r")).otherwise(default_rule(F.col("raw_log"))))
+    if "features" not in missing.columns:
+        r = r.withColumn("features", F.lit(None).cast(FEATURES))
     other = F.when(F.col("format") == "unknown", "Custom").otherwise(F.col("format"))
-    return r.select(F.col("fingerprint").alias("hash"), F.col("_r.name").alias("name"), F.col("_r.pattern").alias("pattern"), F.col("_r.mapping").alias("mapping"), F.col("_r.transformations").alias("transformations"), F.lit("Active").alias("status"), other.alias("format"), "vendor", "product", "template", F.lit(0).cast("long").alias("logs_processed"), F.lit(None).cast("timestamp").alias("last_used"))
+    keys = F.col("features.keys")
+    made = {
+        "hash": F.col("fingerprint"),
+        **{c: F.col(f"_r.{c}") for c in ("name", "pattern", "mapping", "transformations")},
+        "status": F.lit("Active"),
+        "format": other,
+        **{c: F.col(c) for c in ("vendor", "product", "template")},
+        "delimiter": F.col("features.delimiter"),
+        "extracted_fields": F.when(F.size(keys) > 0, keys).otherwise(F.array_sort(F.map_keys("_r.mapping"))),
+        "field_signatures": F.col("features.field_signatures"),
+        "sample_log": F.col("raw_log"),
+        "logs_processed": F.lit(0).cast("long"),
+        **{c: F.lit(None).cast("timestamp") for c in ("last_used", "created_at", "updated_at")},
+    }
+    return r.select(*(made[c].alias(c) for c in COLUMNS))
 
 
 def given_name() -> Column:
-    """product, vendor, format unless unknown, Parser-<hash8>, CustomParser: the first that a nameless rule has."""
-    full = lambda c: F.when(F.col(c) != "", F.col(c))
-    shape = F.when((F.col("format") != "") & (F.col("format") != "unknown"), F.col("format"))
-    return F.coalesce(full("name"), full("product"), full("vendor"), shape, F.when(F.col("hash") != "", F.concat(F.lit("Parser-"), F.left("hash", F.lit(8)))), F.lit("CustomParser"))
-
-
-def upsert(rules: DataFrame, new: DataFrame) -> DataFrame:
-    """rules with new rows merged by hash: pattern, mapping, transformations, format and status are replaced; names,
-    vendor, product and template only by values that say something; counters stay."""
+    """The first that a nameless rule has of product, vendor and format (unless unknown), each with `Parser` behind it;
+    then Parser-<hash8>, then CustomParser."""
+    full = lambda c: F.when(F.col(c) != "", F.concat(F.col(c), F.lit("Parser")))
+    shape = F.when(F.col("format") != "unknown", full("format"))
+    return F.coalesce(F.when(F.col("name") != "", F.col("name")), full("product"), full("vendor"), shape, F.when(F.col("hash") != "", F.concat(F.lit("Parser-"), F.left("hash", F.lit(8)))), F.lit("CustomParser"))
+
+
+def upsert(rules: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """rules with new rows merged by hash: pattern, mapping, transformations, format and status are replaced; names, vendor,
+    product, template, delimiter, fields and sample only by values that say something; counters and created_at stay,
+    updated_at becomes `now`. A new rule is created and last used now."""
+    now = F.current_timestamp() if now is None else now
     fresh = new.withColumn("name", given_name()).withColumn("status", F.coalesce(F.when(F.col("status") != "", F.col("status")), F.lit("Active"))).withColumn("format", F.coalesce(F.when(F.col("format") != "", F.col("format")), F.lit("Custom")))
     once = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("pattern"))).where("_n = 1").drop("_n")
     o, n = rules.alias("o"), once.alias("n")
@@ -104,13 +127,18 @@ def upsert(rules: DataFrame, new: DataFrame) -> DataFrame:
     name = F.when(F.col("n.hash").isNull() | (weak & (F.col("o.name") != "")), F.col("o.name")).otherwise(F.col("n.name")).alias("name")
     kept = lambda c: F.when(F.col("o.hash").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     steps = F.when(F.col("n.hash").isNotNull(), F.col("n.transformations")).otherwise(F.col("o.transformations")).alias("transformations")
-    return joined.select(both("hash"), name, both("pattern"), both("mapping"), steps, both("status"), both("format"), says("vendor"), says("product"), says("template"), kept("logs_processed"), kept("last_used"))
+    some = lambda c: F.coalesce(F.when(F.size(F.col(f"n.{c}")) > 0, F.col(f"n.{c}")), F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
+    first = lambda c: F.when(F.col("o.hash").isNull(), F.coalesce(F.col(f"n.{c}"), now)).otherwise(F.col(f"o.{c}")).alias(c)
+    moved = F.when(F.col("n.hash").isNull(), F.col("o.updated_at")).otherwise(now).alias("updated_at")
+    texts = [says(c) for c in ("vendor", "product", "template", "delimiter")]
+    lists = [some("extracted_fields"), some("field_signatures"), says("sample_log")]
+    return joined.select(both("hash"), name, both("pattern"), both("mapping"), steps, both("status"), both("format"), *texts, *lists, kept("logs_processed"), first("last_used"), first("created_at"), moved)
 
 
 def count_usage(rules: DataFrame, completed: DataFrame) -> DataFrame:
     """logs_processed and last_used moved on by the completed logs (fingerprint, at)."""
     used = completed.groupBy(F.col("fingerprint").alias("hash")).agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
-    return rules.join(used, "hash", "left").withColumn("logs_processed", F.col("logs_processed") + F.coalesce("_n", F.lit(0))).withColumn("last_used", F.coalesce("_at", "last_used")).drop("_n", "_at").select(rules.columns)
+    return rules.join(used, "hash", "left").withColumn("logs_processed", F.col("logs_processed") + F.coalesce("_n", F.lit(0))).withColumn("last_used", F.greatest("_at", "last_used")).drop("_n", "_at").select(rules.columns)
 
 
 def any_of(conditions: list[Column]) -> Column:

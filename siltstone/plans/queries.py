@@ -126,7 +126,7 @@ for _s in P.STEPS:
 @query(f"SELECT doc_id, sha256({O.fold('text')}) AS h FROM documents")
 def q_template_fold(spark, sf):
     c = F.col("text")
-    return docs(spark, sf).select("doc_id", F.sha2(F.when(N.is_ascii(c), N.steps(c)).otherwise(N.steps(c, False)), 256).alias("h"))
+    return docs(spark, sf).select("doc_id", F.sha2(N.steps(c), 256).alias("h"))
 
 
 @query(corpus_sql(f"SELECT id, {O.template('raw_log')} AS template FROM corpus"))
@@ -312,7 +312,7 @@ _canonical_query("q_json_array", ['[{"a":', "$event_id", '},{"b":[],"a":"x"},{"c
 def q_text_tokens(spark, sf):
     """Whole texts: the fold without the cut that templates of logs get."""
     c = F.col("text")
-    tokens = N.structural_tokens(N.remaining_numbers(F.when(N.is_ascii(c), N.steps(c)).otherwise(N.steps(c, False))))
+    tokens = N.structural_tokens(N.remaining_numbers(N.steps(c)))
     return docs(spark, sf).select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", "\n"), 256).alias("h"))
 
 
@@ -404,7 +404,7 @@ def q_parser_usage(spark, sf):
     return R.count_usage(rules, done).select("hash", F.col("logs_processed").alias("processed"), "last_used")
 
 
-@query(rules_sql("SELECT hash, CASE WHEN format = 'cef' THEN 'CEF rule' WHEN rule.name <> '' THEN rule.name WHEN format = 'leef' THEN 'shop' ELSE format END AS name, CASE WHEN format = 'cef' THEN 'new' ELSE rule.pattern END AS pattern, CASE WHEN format = 'cef' THEN 7 ELSE 0 END AS processed FROM rules"))
+@query(rules_sql("SELECT hash, CASE WHEN format = 'cef' THEN 'CEF rule' WHEN rule.name <> '' THEN rule.name WHEN format = 'leef' THEN 'shopParser' ELSE format || 'Parser' END AS name, CASE WHEN format = 'cef' THEN 'new' ELSE rule.pattern END AS pattern, CASE WHEN format = 'cef' THEN 7 ELSE 0 END AS processed FROM rules"))
 def q_parser_upsert(spark, sf):
     base = R.upsert(B.no_rules(spark), R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
     old = base.withColumn("logs_processed", F.when(F.col("format") == "cef", 7).otherwise(0).cast("long"))
@@ -513,14 +513,168 @@ def q_newest_per_user(spark, sf):
     return raw_logs(spark, sf).withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "id", "created_at")
 
 
-@query(rules_sql("SELECT id, fingerprint AS hash FROM done WHERE result = 'completed'"))
-def q_stream_pipeline(spark, sf):
-    """The corpus as files through the streaming query until all are taken."""
+def streamed(spark: SparkSession, sf: str) -> str:
+    """The corpus as files through the streaming queries until all are taken and none waits; gives the folder of their tables."""
     from siltstone.sources.scratch import folder
     from siltstone.streaming import stream
 
     base = folder(spark, "stream")
     rows = raw_logs(spark, sf).selectExpr("id", "user_id", "raw_log", "status", "cast(attempts as int) as attempts", "created_at")
     rows.repartition(3, "id").write.parquet(f"{base}/in")
-    stream.run(stream.source(spark, f"{base}/in", 2), f"{base}/out", f"{base}/state").awaitTermination()
-    return stream.latest(spark, f"{base}/out", "logs").select("id", "hash")
+    stream.run(stream.source(spark, f"{base}/in", 2), f"{base}/out", f"{base}/state")
+    return f"{base}/out"
+
+
+@query(rules_sql("SELECT id, fingerprint AS hash FROM done WHERE result = 'completed'"))
+def q_stream_pipeline(spark, sf):
+    from siltstone.streaming import stream
+
+    return stream.latest(spark, streamed(spark, sf), "logs").select("id", "hash")
+
+
+@query(rules_sql("SELECT id, result AS status, attempts + CASE WHEN result = 'failed' THEN 1 ELSE 0 END AS attempts FROM done UNION ALL SELECT id, status, attempts FROM corpus WHERE NOT (status = 'pending' AND attempts < 3)"))
+def q_stream_requests(spark, sf):
+    from siltstone.streaming import stream
+
+    return stream.latest(spark, streamed(spark, sf), "requests").select("id", "status", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query(rules_sql("SELECT hash, rule.name AS name, count(d.id) AS processed FROM rules r LEFT JOIN done d ON r.hash = d.fingerprint AND d.result = 'completed' GROUP BY ALL"))
+def q_stream_usage(spark, sf):
+    from siltstone.streaming import stream
+
+    made = stream.rules_with_usage(spark, streamed(spark, sf))
+    given = F.when(F.col("name").rlike("^[a-z_]+Parser$"), "").otherwise(F.col("name"))  # the default rule has no name of its own
+    return made.select("hash", given.alias("name"), F.col("logs_processed").alias("processed"))
+
+
+# feature records ---------------------------------------------------------------------------------------------------
+
+
+#: By shape of the corpus, written out by hand: what the record of each log says.
+_KEYS = {0: "event_type,props,timestamp,user_id,value", 1: "time,type,user,value", 3: "cnt,src", 6: "sev,src", 7: "ex@1.a,ex@1.b", 9: "Event,Event/Type,Event/User"}
+_TYPES = {0: "string,object,timestamp,number,number", 1: "timestamp,string,number,number", 3: "number,ipv4", 6: "number,ipv4"}
+_COUNTS = [5, 4, 4, 9, 5, 8, 7, 7, 3, 3, 3, 11]
+_TOKENS = {
+    2: "'syslog rfc3164 app'",
+    5: "'<TIMESTAMP> ERROR svc-' || event_type || ' <DYNAMIC_ID> failed for user <USER>'",
+    7: "'syslog rfc5424 app ID47'",
+    8: "'syslog bsd app'",
+    11: "'<IPV4> - <USER> <TIMESTAMP> GET /' || event_type || ' HTTP/1.1 <NUMBER> <NUMBER> - <USER_AGENT>'",
+}
+
+
+def by_shape(values: dict[int, str], other: str = "''") -> str:
+    return "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def text_by_shape(values: dict[int, str]) -> str:
+    return by_shape({k: O.q(v) for k, v in values.items()})
+
+
+def _feature_query(name: str, fields: dict[str, tuple[str, str]]) -> None:
+    """Columns of the record of every log: by name, the Spark and the DuckDB expression."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        made = with_fingerprint(raw_logs(spark, sf), record=True).select("id", "features")
+        return made.selectExpr("id", *(f"{expr} as {n}" for n, (expr, _) in fields.items()))
+
+    QUERIES[name] = run
+    SQL[name] = corpus_sql("SELECT id, " + ", ".join(f"{expr} AS {n}" for n, (_, expr) in fields.items()) + " FROM corpus")
+
+
+def _own(k: int, expr: str) -> str:
+    return f"CASE WHEN k = {k} THEN {expr} END"
+
+
+_ext = lambda form: f"array_join(transform(features.{form}.extension_fields, x -> concat(x.key, ':', x.type)), ',')"
+_feature_query(
+    "q_features_record",
+    {
+        "version": ("features.version", "'fp-v1'"),
+        "delimiter": ("features.delimiter", text_by_shape({1: " ", 3: "|", 4: ",", 6: "|"})),
+        "field_count": ("features.field_count", by_shape(dict(enumerate(map(str, _COUNTS))))),
+        "keys": ("array_join(features.keys, ',')", text_by_shape(_KEYS)),
+        "types": ("array_join(transform(features.field_signatures, x -> x.type), ',')", text_by_shape(_TYPES)),
+        "tokens": ("array_join(features.structural_tokens, ' ')", by_shape(_TOKENS)),
+        "json_schema": ("features.json_schema", _own(0, "'object{event_type:string,props:object{k:number},timestamp:timestamp,user_id:number,value:number}'")),
+        "hierarchy": ("features.xml_hierarchy", _own(9, "'Event[id];Event/Type;Event/User;'")),
+    },
+)
+_feature_query(
+    "q_features_syslog",
+    {
+        "fac": ("features.syslog.facility", by_shape({2: "user_id % 24", 7: "20", 8: "0"}, "NULL")),
+        "sev": ("features.syslog.severity", by_shape({2: "3", 7: "5", 8: "0"}, "NULL")),
+        "ver": ("features.syslog.version", by_shape({2: "0", 7: "1", 8: "0"}, "NULL")),
+        "app": ("features.syslog.app_name", by_shape({2: "'app'", 7: "'app'", 8: "'app'"}, "NULL")),
+        "msg_id": ("features.syslog.msg_id", by_shape({2: "''", 7: "'ID47'", 8: "''"}, "NULL")),
+        "sd": ("array_join(features.syslog.structured_keys, ',')", by_shape({2: "''", 7: "'ex@1.a,ex@1.b'", 8: "''"}, "NULL")),
+        "marks": ("concat(features.syslog.has_timestamp, features.syslog.has_hostname, features.syslog.has_pid)", by_shape({k: "'truetruetrue'" for k in (2, 7, 8)}, "NULL")),
+    },
+)
+_feature_query(
+    "q_features_cef",
+    {
+        "ver": ("features.cef.version", _own(3, "0")),
+        "device": ("concat_ws('/', features.cef.device_vendor, features.cef.device_product, features.cef.device_version)", by_shape({3: "'Acme/Shop/1.0'"})),
+        "class_id": ("features.cef.device_event_class_id", _own(3, "event_type")),
+        "severity": ("features.cef.severity", _own(3, "'5'")),
+        "ext": (_ext("cef"), _own(3, "'cnt:number,src:ipv4'")),
+    },
+)
+_feature_query(
+    "q_features_leef",
+    {
+        "device": ("concat_ws('/', features.leef.version, features.leef.vendor, features.leef.product, features.leef.product_version)", by_shape({6: "'1.0/Acme/Shop/2'"})),
+        "event": ("features.leef.event_id", _own(6, "event_type")),
+        "delim": ("features.leef.delimiter", _own(6, "chr(9)")),
+        "ext": (_ext("leef"), _own(6, "'sev:number,src:ipv4'")),
+    },
+)
+_feature_query(
+    "q_features_csv",
+    {
+        "delim": ("features.csv.delimiter", _own(4, "','")),
+        "cols": ("features.csv.column_count", _own(4, "5")),
+        "header": ("features.csv.has_header", _own(4, "false")),
+        "types": ("array_join(features.csv.column_types, ',')", _own(4, "'timestamp,ipv4,string,number,number'")),
+    },
+)
+_feature_query(
+    "q_features_kv",
+    {
+        "style": ("concat(features.kv.separator, features.kv.delimiter, features.kv.quoting_style)", _own(1, "'= '")),
+        "repeated": ("features.kv.has_duplicates", _own(1, "false")),
+        "fields": ("array_join(transform(features.kv.fields, x -> concat(x.key, ':', x.type)), ',')", _own(1, "'time:timestamp,type:string,user:number,value:number'")),
+    },
+)
+_feature_query(
+    "q_features_multiline",
+    {
+        "lines": ("features.multiline.line_count", _own(10, "3")),
+        "stack": ("features.multiline.is_stack_trace", _own(10, "true")),
+        "prefix": ("features.multiline.prefix_type", _own(10, "'java_stack'")),
+        "signs": ("array_join(features.multiline.line_signatures, '/')", _own(10, "'java.lang.IllegalStateException: ' || event_type || ' <NUMBER>/at com.acme.Shop.run/Caused by: java.io.IOException: reset'")),
+    },
+)
+
+
+_RULE_KEYS = f"CASE WHEN k IN ({', '.join(map(str, _KEYS))}) THEN {text_by_shape(_KEYS)} WHEN r.rule.name <> '' THEN 'host,message,service,severity,timestamp' ELSE 'message' END"
+
+
+@query(rules_sql(f"SELECT hash, {text_by_shape({1: ' ', 3: '|', 4: ',', 6: '|'})} AS delimiter, {_RULE_KEYS} AS fields, {text_by_shape(_TYPES)} AS types, sample AS sample_log FROM rules r JOIN (SELECT fingerprint, arg_min(k, id) AS k, arg_min(raw_log, id) AS sample FROM taken GROUP BY 1) t ON r.hash = t.fingerprint"))
+def q_parser_fields(spark, sf):
+    made = R.upsert(B.no_rules(spark), R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    return made.select("hash", "delimiter", F.array_join("extracted_fields", ",").alias("fields"), F.array_join(F.transform("field_signatures", lambda x: x["type"]), ",").alias("types"), "sample_log")
+
+
+@query(rules_sql(f"SELECT hash, replace({_RULE_KEYS}, ',', ', ') AS fields FROM rules r JOIN (SELECT fingerprint, arg_min(k, id) AS k FROM taken GROUP BY 1) t ON r.hash = t.fingerprint"))
+def q_field_chips(spark, sf):
+    return X.field_chips(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+
+
+@query(rules_sql("SELECT hash FROM rules r JOIN (SELECT fingerprint, arg_min(raw_log, id) AS sample FROM taken GROUP BY 1) t ON r.hash = t.fingerprint WHERE contains(lower(sample), 'acme')"))
+def q_search_samples(spark, sf):
+    """Rules found by their sample log."""
+    return X.search_rules(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))), "ACME").select("hash")

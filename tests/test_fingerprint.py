@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import random
 
 import duckdb
 import pyarrow.parquet as pq
@@ -9,6 +11,7 @@ from siltstone.functions import normalize as N
 from siltstone.functions import patterns as P
 from siltstone.functions import structure as S
 from siltstone.functions.features import with_fingerprint
+from siltstone.functions.sql import features_view
 
 
 def test_canonical_forms_and_malformed_logs(spark):
@@ -85,3 +88,55 @@ def test_long_texts_are_cut(spark):
     df = spark.createDataFrame([("x" * 4095 + "é",), ("a 5 b",)], "t string")
     got = [r[0] for r in df.select(N.normalize_template(F.col("t"))).collect()]
     assert got[0].endswith(" <TRUNCATED>") and got[1] == "a <NUMBER> b"
+
+
+RECORDS = [
+    ('{"b":{"x":1},"a":[1],"ip":"10.0.0.1"}', {"field_count": 3, "keys": ["a", "b", "ip"], "types": ["array", "object", "ipv4"], "json_schema": "object{a:array[number],b:object{x:number},ip:ipv4}"}),
+    ("[1, 2]", {"field_count": 0, "keys": [], "json_schema": "array[number]"}),
+    ("k='x y',b=1,k=2,c=3", {"field_count": 3, "keys": ["b", "c", "k"], "delimiter": ",", "kv": ("=", ",", "single", True)}),
+    ('a: 1 b="2 3"', None),
+    ("one,Two,Three,Four\n1,2,3,10.0.0.1", None),
+    ("<13>hi there", {"field_count": 0, "tokens": [], "syslog": (0, 1, 5, "", False, False, False)}),
+    ("Aug 30 13:02:11 h app: up", {"field_count": 3, "tokens": ["syslog", "bsd", "app"], "syslog": (0, 0, 0, "app", True, True, False)}),
+    ('<46>1 - - grinder - - [a@1 x="1"][b@2 y="2"] on', {"field_count": 7, "keys": ["a@1.x", "b@2.y"], "syslog": (1, 5, 6, "grinder", False, False, False)}),
+    ('Traceback (most recent call last):\n  File "a.py", line 3\nValueError: bad', {"field_count": 3, "multiline": (3, True, "python_stack")}),
+    ("goroutine 7 [running]:\nmain.main()\n\tat x", {"multiline": (3, True, "java_stack")}),
+    ("LEEF:2.0|A|B|1|E|x09|k=1\tz=2", {"field_count": 7, "keys": ["k", "z"], "delimiter": "|"}),
+    ("", {"field_count": 0, "keys": [], "tokens": []}),
+]
+
+
+def test_feature_records(spark):
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(RECORDS)], "id int, raw_log string")
+    df.createOrReplaceTempView("some_logs")
+    rows = spark.sql(f"SELECT id, fingerprint, features FROM {features_view(spark, 'some_logs')} ORDER BY id").collect()
+    plain = {r.id: r.fingerprint for r in with_fingerprint(df).collect()}
+    subs = {"syslog": ("version", "facility", "severity", "app_name", "has_timestamp", "has_hostname", "has_pid"), "multiline": ("line_count", "is_stack_trace", "prefix_type"), "kv": ("separator", "delimiter", "quoting_style", "has_duplicates")}
+    for r, (raw, want) in zip(rows, RECORDS, strict=True):
+        f = r.features
+        assert r.fingerprint == plain[r.id] and f.version == "fp-v1"
+        assert sum(getattr(f, x) is not None for x in ("syslog", "cef", "leef", "csv", "kv", "multiline")) <= 1
+        for name, value in (want or {}).items():
+            if name in subs:
+                assert tuple(getattr(getattr(f, name), x) for x in subs[name]) == value, raw
+            elif name == "types":
+                assert [x.type for x in f.field_signatures] == value
+            else:
+                assert getattr(f, "structural_tokens" if name == "tokens" else name) == value, (raw, name)
+
+
+def test_steps_left_out_change_nothing(spark):
+    """Random mixes of what the steps look for: the gated fold equals the plain chain of all steps."""
+    rng = random.Random(11)
+    parts = ["2026-01-02", "T10:11:12Z", " ", "  ", "-", ":", "::1", "10.0.0.1", "/24", ":80", "user", "User bob", "host ", "port 22", "a@b.co", "x://y", "http://q/z", "0xAF", "1500000000123", "sha256:", "MD5:ab", "Aug  3 10:00:00", "[", "]", "aa:bb:cc:dd:ee:ff", "aabb.ccdd.eeff", "f" * 24, "e" * 40, "d" * 64, "svc-7", "x_1", "é", "\t", ",", '"curl/8 z"', "550e8400-e29b-41d4-a716-446655440000", "fe80:1:2:3:4:5:6:7", " - bob [", "k=5", "nan", "1.5e3,"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    c, chain = F.col("t"), lambda c, plain: functools.reduce(lambda x, s: N.step(x, s[1], s[2], plain), P.STEPS, c)
+    every = F.array_join(F.transform(N.fields(F.col("all")), N.number_token), " ")
+    rows = df.withColumn("all", F.when(N.is_ascii(c), chain(c, True)).otherwise(chain(c, False))).select("t", "all", N.steps(c).alias("gated"), every.alias("words"), N.normalize_template(c).alias("template"))
+    assert [r for r in rows.collect() if r["all"] != r.gated or r.words != r.template] == []
+
+
+def test_trimming_cuts_white_space_only(spark):
+    got = spark.createDataFrame([("\x1cx\x1f",), ("\u3000 x\x85\xa0\t",)], "t string").select(N.trim_space(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["\x1cx\x1f", "x"] and S.value_type("\x1c1") == "string" and S.value_type("\u20031\u3000") == "number"

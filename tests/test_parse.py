@@ -46,3 +46,8 @@ def test_matching():
     out, _ = parse_one("E m", r"(?P<s>\w) (?P<m>\w)", {"s": "severity", "m": "metadata.k"}, {"severity": {"type": "lower", "format": ""}})
     assert (out["severity"], out["metadata"]) == ("e", {"k": "m"})
     assert valid("(?<a>x)") and not valid("(a)\\1") and not valid("(")
+
+
+def test_early_years_and_separators_of_old():
+    assert transform("-62135596800", "unix", "") == "0001-01-01T00:00:00Z"
+    assert transform(" \x1cx\t", "trim", "") == "\x1cx"

@@ -11,7 +11,7 @@ from siltstone.plans import pipeline as B
 
 
 def rule_rows(spark, rows):
-    return spark.createDataFrame([(h, "n" + h, p, None, None, "Active", "json", "", "", "", 0, None) for h, p in rows], B.RULES)
+    return spark.createDataFrame([(h, "n" + h, p, None, None, "Active", "json", "", "", "", "", None, None, None, 0, None, None, None) for h, p in rows], B.RULES)
 
 
 def test_rules_that_do_not_compile_go(spark):
@@ -76,3 +76,31 @@ def test_first_log_and_totals(spark):
     assert sorted(tuple(r) for r in X.first_logs(requests, logs).select("id", "level", "service", "message").collect()) == [(1, "—", "—", "raw one"), (2, "—", "—", "—")]
     assert X.count_of(requests, 5, "failed").first().total == 1 and X.count_of(requests, 6).first().total == 0
     assert [r.id for r in X.request_of(requests, 2, 5).collect()] == [2] and X.request_of(requests, 2, 6).count() == 0
+
+
+def test_upsert_keeps_what_says_nothing_and_names_the_nameless(spark):
+    at, later = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    base = {f.name: None for f in B.no_rules(spark).schema.fields}
+    one = lambda **x: tuple((base | x).values())
+    new = [one(hash="a" * 64, name="", pattern="p", status="", format="json", vendor="", product="", extracted_fields=["k"], delimiter=",", sample_log="s", logs_processed=0)]
+    rules = R.upsert(B.no_rules(spark), spark.createDataFrame(new, B.RULES), F.lit(at))
+    r = rules.first()
+    assert (r.name, r.status, r.created_at, r.updated_at, r.last_used) == ("jsonParser", "Active", at, at, at)
+    change = [one(hash="a" * 64, name="", pattern="q", status="Inactive", format="unknown", vendor="acme", product="", extracted_fields=[], delimiter="", sample_log="", logs_processed=9)]
+    r = R.upsert(rules, spark.createDataFrame(change, B.RULES), F.lit(later)).first()
+    assert (r.name, r.pattern, r.status, r.vendor, r.extracted_fields, r.delimiter, r.sample_log) == ("acmeParser", "q", "Inactive", "acme", ["k"], ",", "s")
+    assert (r.logs_processed, r.created_at, r.updated_at) == (0, at, later)
+
+
+def test_a_pattern_that_does_not_compile_falls_back(spark):
+    missing = spark.createDataFrame([("h", "some text", "plain_text", "", "", "")], "fingerprint string, raw_log string, format string, vendor string, product string, template string")
+    broken = lambda raw: F.struct(F.lit("n").alias("name"), F.lit("(").alias("pattern"), F.lit(None).cast("map<string,string>").alias("mapping"), F.lit(None).cast("map<string,struct<type:string,format:string>>").alias("transformations"))
+    assert R.synthesize(missing, broken).first().pattern == R.synthesize(missing).first().pattern
+
+
+def test_processing_counts_usage(spark):
+    rows = [(i, 1, f"alpha {i} one", "pending", 0, dt.datetime(2024, 1, 1)) for i in range(5)]
+    requests = spark.createDataFrame(rows, "id long, user_id long, raw_log string, status string, attempts int, created_at timestamp_ntz")
+    first = B.process(requests, B.no_rules(spark))
+    again = B.process(requests.where("id < 2"), first.rules)
+    assert [r.logs_processed for r in first.rules.collect()] == [5] and [r.logs_processed for r in again.rules.collect()] == [7]
