@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,30 +13,25 @@ from pyspark.sql import types as T
 from siltstone.functions.layouts import to_rfc3339
 from siltstone.functions.patterns import SPACES
 from siltstone.functions.structure import is_number
+from siltstone.operators.re2 import Refused, Rule, compiled
 
 TARGETS = ["timestamp", "severity", "service", "host", "source", "message", "event_type", "trace_id", "request_id"]
 NORMALIZED = T.StructType([*(T.StructField(n, T.StringType()) for n in TARGETS), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 PARSED = T.StructType([T.StructField("normalized", NORMALIZED), T.StructField("error", T.StringType())])
 TRANSFORMATIONS = T.MapType(T.StringType(), T.StructType([T.StructField("type", T.StringType()), T.StructField("format", T.StringType())]))
-_FOREIGN = re.compile(r"\(\?(?:[=!]|<[=!]|\(|>|P=)|(?<!\\)(?:\\\\)*\\[1-9kK]|(?<!\\)[*+?}]\+")
 
 
 class ParseError(ValueError):
     pass
 
 
-@lru_cache(maxsize=4096)
-def compile_rule(pattern: str) -> re.Pattern:
-    """An RE2 pattern for Python: both ways to name groups, $ and \\z at the very end, ASCII classes; foreign syntax is refused."""
+def compile_rule(pattern: str) -> Rule:
+    """The rule of an RE2 pattern; foreign syntax is refused."""
     if not pattern:
         raise ParseError("empty pattern")
-    if _FOREIGN.search(pattern):
-        raise ParseError("invalid pattern: look-around, back-references and possessive quantifiers are not part of the syntax")
-    p = re.sub(r"\(\?<(?![=!])", "(?P<", pattern)
-    p = re.sub(r"(\\.)|(\[(?:\\.|[^\]\\])*\])|\$", lambda m: {"\\z": r"\Z", "\\s": r"[\t\n\f\r ]", "\\S": r"[^\t\n\f\r ]"}.get(m[0], m[0]) if m[0] != "$" else r"\Z", p)
     try:
-        return re.compile(p, re.ASCII)
-    except re.error as e:
+        return compiled(pattern)
+    except Refused as e:
         raise ParseError(f"invalid pattern: {e}") from None
 
 
@@ -101,12 +95,12 @@ def parse_one(raw: str | None, pattern: str | None, mapping: dict | None, steps:
         if pattern is None:
             raise ParseError("no rule")
         raw = raw or ""
-        found = compile_rule(pattern).search(raw)
+        found = compile_rule(pattern).match(raw)
         if found is None:
             raise ParseError("no match")
-        if found[0] != raw:
+        whole, fields = found
+        if whole != raw:
             raise ParseError("partial match")
-        fields = {k: v or "" for k, v in found.groupdict().items()}
         out: dict = dict.fromkeys(TARGETS[:7], "") | {"trace_id": None, "request_id": None, "metadata": {}}
         pairs = sorted((mapping or {}).items()) or [(k, k) for k in sorted(fields)]
         for name, target in pairs:
