@@ -125,6 +125,36 @@ def parse_log(raw: pd.Series, pattern: pd.Series, mapping: pd.Series, steps: pd.
     return pd.DataFrame({"normalized": pd.Series([n for n, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
 
 
+_CANDIDATES = T.StructType([*PARSED.fields, T.StructField("candidate", T.IntegerType())])
+
+
+@F.pandas_udf(_CANDIDATES)
+def parse_first(raw: pd.Series, candidates: pd.Series) -> pd.DataFrame:
+    """The result of the first candidate rule that takes the whole log, and its number from 1; else the first one's error."""
+    rows = []
+    for r, rules in zip(raw, candidates, strict=True):
+        out = (None, "no rule", None)
+        for k, c in enumerate(rules if rules is not None else (), 1):
+            steps = c["transformations"]
+            normalized, error = parse_one(r, c["pattern"], dict(c["mapping"]) if c["mapping"] is not None else None, {n: dict(v) for n, v in dict(steps).items()} if steps is not None else None)
+            if error is None:
+                out = (normalized, None, k)
+                break
+            out = (None, error, None) if k == 1 else out
+        rows.append(out)
+    return pd.DataFrame({n: pd.Series([row[i] for row in rows], dtype=object) for i, n in enumerate(_CANDIDATES.fieldNames())})
+
+
+def with_first_parsed(df: DataFrame, rules: DataFrame, raw: str = "raw_log") -> DataFrame:
+    """df (with fingerprint) parsed by the rules of its hash (hash, rank, pattern, mapping, transformations), tried by rank:
+    logs of different kinds that share a fingerprint each find theirs. A hash has few rules: they travel as one array."""
+    own = F.array_sort(F.collect_list(F.struct("rank", "pattern", F.map_entries("mapping").alias("m"), F.map_entries("transformations").alias("t"))))
+    each = lambda x: F.struct(x["pattern"].alias("pattern"), F.map_from_entries(x["m"]).alias("mapping"), F.map_from_entries(x["t"]).alias("transformations"))
+    listed = rules.groupBy(F.col("hash").alias("_hash")).agg(F.transform(own, each).alias("_rules"))
+    found = df.join(listed, df["fingerprint"] == listed["_hash"], "left").withColumn("_p", parse_first(F.col(raw), F.col("_rules")))
+    return found.withColumns({n: F.col(f"_p.{n}") for n in ("normalized", "error", "candidate")}).drop("_p", "_hash", "_rules")
+
+
 def with_parsed(df: DataFrame, raw: str = "raw_log") -> DataFrame:
     """Adds normalized and error from the columns pattern, mapping and transformations."""
     done = df.withColumn("_p", parse_log(F.col(raw), "pattern", "mapping", "transformations"))

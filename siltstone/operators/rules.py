@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
+from threading import Thread
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +18,7 @@ from siltstone.functions.features import FEATURES
 from siltstone.functions.normalize import trim_space
 from siltstone.functions.patterns import DEFAULT_RULES, java
 from siltstone.operators.parse import ParseError, compile_rule
+from siltstone.sources.scratch import materialized
 
 RULE = "struct<name:string,pattern:string,mapping:map<string,string>,transformations:map<string,struct<type:string,format:string>>>"
 COLUMNS = ["hash", "name", "pattern", "mapping", "transformations", "status", "format", "vendor", "product", "template", "delimiter", "extracted_fields", "field_signatures", "sample_log", "logs_processed", "last_used", "created_at", "updated_at"]
@@ -76,11 +81,65 @@ def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 
 
+class Remote(NamedTuple):
+    """A synthesiser outside Spark: hook(raw_log, features as JSON) gives name, pattern, mapping and transformations, or None.
+
+    Each task asks for at most `in_flight` rules at a time and waits `seconds` for each; an error, a late answer or one of
+    another form counts as none. A task with `in_flight` calls that never came back asks no more.
+    """
+
+    hook: Callable[[str, str | None], dict | None]
+    seconds: float = 10.0
+    in_flight: int = 8
+
+
+_ANSWER = "fingerprint string, name string, pattern string, mapping map<string,string>, transformations map<string,struct<type:string,format:string>>"
+
+
+def answers(missing: DataFrame, remote: Remote) -> DataFrame:
+    """fingerprint and _r (null without an answer) of missing's rows; one call each, so the result is materialised."""
+    hook, seconds, in_flight = remote
+
+    def ask(raw: str, features: str | None, out: list, at: int) -> None:
+        try:
+            found = hook(raw, features)
+            steps = {str(k): {"type": str(v["type"]), "format": str(v.get("format") or "")} for k, v in (found.get("transformations") or {}).items()}
+            out[at] = (str(found.get("name") or ""), str(found["pattern"]), {str(k): str(v) for k, v in (found.get("mapping") or {}).items()}, steps)
+        except Exception:  # whatever the other side does, the default rule stands in
+            out[at] = None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hung = 0
+        for pdf in batches:
+            out: list = [None] * len(pdf)
+            for s in range(0, len(pdf), in_flight):
+                if hung >= in_flight:
+                    break
+                part = range(s, min(s + in_flight, len(pdf)))
+                calls = [Thread(target=ask, args=(pdf["raw_log"].iloc[i], pdf["features"].iloc[i], out, i), daemon=True) for i in part]
+                end = time.monotonic() + seconds
+                for c in calls:
+                    c.start()
+                for c in calls:
+                    c.join(max(0.0, end - time.monotonic()))
+                hung += sum(c.is_alive() for c in calls)
+            rows = [(f, *(a or (None,) * 4)) for f, a in zip(pdf["fingerprint"], list(out), strict=True)]
+            yield pd.DataFrame(rows, columns=["fingerprint", "name", "pattern", "mapping", "transformations"], dtype=object)
+
+    features = F.to_json("features") if "features" in missing.columns else F.lit(None).cast("string")
+    told = materialized(missing.select("fingerprint", "raw_log", features.alias("features")).mapInPandas(run, _ANSWER), "answers")
+    return told.select("fingerprint", F.when(F.col("pattern").isNotNull(), F.struct("name", "pattern", "mapping", "transformations").cast(RULE)).alias("_r"))
+
+
 def synthesize(missing: DataFrame, rule=default_rule) -> DataFrame:
     """A rule row for each (fingerprint, raw_log, format, vendor, product, template, and features if there); `rule` is the
-    pluggable synthesiser, and where it gives null or a pattern that does not compile the default rule stands in."""
+    pluggable synthesiser (a Column function or a Remote), and where it gives null or a pattern that does not compile the
+    default rule stands in."""
     if rule is default_rule:
         r = missing.withColumn("_r", default_rule(F.col("raw_log")))
+    elif isinstance(rule, Remote):
+        r = missing.join(answers(missing, rule), "fingerprint", "left")
+        r = r.withColumn("_r", F.when(_compiles("_r.pattern"), F.col("_r")).otherwise(default_rule(F.col("raw_log"))))
     else:
         r = missing.withColumn("_r", rule(F.col("raw_log")).cast(RULE))
         r = r.withColumn("_r", F.when(_compiles("_r.pattern"), F.col("_r")).otherwise(default_rule(F.col("raw_log"))))

@@ -13,7 +13,7 @@ from siltstone.functions.features import syslog_parts, with_fingerprint
 from siltstone.functions.layouts import extract_timestamp
 from siltstone.operators import explore as X
 from siltstone.operators import rules as R
-from siltstone.operators.parse import TRANSFORMATIONS, with_parsed
+from siltstone.operators.parse import TRANSFORMATIONS, with_first_parsed, with_parsed
 from siltstone.plans import oracles as O
 from siltstone.plans import pipeline as B
 from siltstone.sources import logs as L
@@ -417,7 +417,7 @@ def q_parser_upsert(spark, sf):
 
 @query(corpus_sql("SELECT user_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'waiting_parser') AS waiting_parser, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) AS total, max(created_at) AS last_activity FROM corpus GROUP BY user_id"))
 def q_user_stats(spark, sf):
-    return X.user_stats(raw_logs(spark, sf))
+    return X.user_stats(raw_logs(spark, sf, heavy=False))
 
 
 @query(rules_sql("SELECT count(*) AS rules, count(*) AS active, 0::BIGINT AS processed FROM rules"))
@@ -432,12 +432,12 @@ def q_format_facet(spark, sf):
 
 @query(corpus_sql("SELECT id, created_at FROM corpus ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50"))
 def q_page_newest(spark, sf):
-    return X.newest_page(raw_logs(spark, sf), 3, 0).select("id", "created_at")
+    return X.newest_page(raw_logs(spark, sf, heavy=False), 3, 0).select("id", "created_at")
 
 
 @query(corpus_sql("SELECT id FROM corpus WHERE status = 'pending' AND attempts < 3"))
 def q_pending_ids(spark, sf):
-    return B.eligible(raw_logs(spark, sf)).select("id")
+    return B.eligible(raw_logs(spark, sf, heavy=False)).select("id")
 
 
 @query(corpus_sql("SELECT id FROM corpus WHERE contains(lower(raw_log), 'purchase') OR contains(CAST(id AS VARCHAR), 'purchase') OR contains(status, 'purchase')"))
@@ -458,7 +458,7 @@ def q_top6(spark, sf):
 
 @query(corpus_sql("SELECT id, coalesce(nullif(status, ''), '—') AS status, raw_log FROM corpus ORDER BY created_at DESC, id DESC LIMIT 5"))
 def q_recent5(spark, sf):
-    return X.newest_page(raw_logs(spark, sf), 1, 5).select("id", F.coalesce(F.nullif("status", F.lit("")), F.lit("—")).alias("status"), "raw_log")
+    return X.newest_page(raw_logs(spark, sf, heavy=False), 1, 5).select("id", F.coalesce(F.nullif("status", F.lit("")), F.lit("—")).alias("status"), "raw_log")
 
 
 def _made_logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,7 +510,7 @@ def q_time_ago(spark, sf):
 @query(corpus_sql("SELECT user_id, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS n FROM corpus) WHERE n = 1"))
 def q_newest_per_user(spark, sf):
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return raw_logs(spark, sf).withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "id", "created_at")
+    return raw_logs(spark, sf, heavy=False).withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "id", "created_at")
 
 
 def streamed(spark: SparkSession, sf: str) -> str:
@@ -678,3 +678,100 @@ def q_field_chips(spark, sf):
 def q_search_samples(spark, sf):
     """Rules found by their sample log."""
     return X.search_rules(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))), "ACME").select("hash")
+
+
+@query(marked_sql("SELECT id, fingerprint AS hash, raw_log, " + by_shape(dict(enumerate(map(str, _COUNTS)))) + " AS field_count FROM marked WHERE k NOT IN (3, 4)"))
+def q_messages(spark, sf):
+    """Queue messages of all logs, those of one shape broken off and those of another without a hash: both are dropped."""
+    made = with_fingerprint(raw_logs(spark, sf), record=True)
+    body = L.message_body(F.when(F.col("k") != 4, F.col("fingerprint")).otherwise(""), F.col("raw_log"), F.col("features"))
+    sent = made.select("id", F.when(F.col("k") == 3, F.left(body, F.lit(40))).otherwise(body).alias("body"))
+    return L.messages(sent).select("id", "hash", "raw_log", F.col("features.field_count").alias("field_count"))
+
+
+@query(corpus_sql("SELECT id, raw_log, 'pending' AS status, 0 AS attempts FROM corpus UNION ALL SELECT -1 - doc_id, text, 'pending', 0 FROM documents"))
+def q_append_requests(spark, sf):
+    """Two sources appended to one request table."""
+    from siltstone.sources.scratch import folder
+
+    path = folder(spark, "requests")
+    L.append_requests(raw_logs(spark, sf).select("id", "raw_log"), path)
+    L.append_requests(docs(spark, sf).select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("raw_log")), path)
+    return spark.read.parquet(path)
+
+
+@query(marked_sql("SELECT id, CASE WHEN regexp_full_match(raw_log, '.*u[0-9]*[02468]') THEN 1 WHEN NOT contains(raw_log, chr(10)) THEN 2 END AS candidate, CASE WHEN contains(raw_log, chr(10)) THEN 'no match' END AS error FROM marked"))
+def q_collisions(spark, sf):
+    """Two rules of every hash: each log takes the first that fits it whole."""
+    m = marked(spark, sf)
+    pair = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern")) for k, p in enumerate(("^(?P<message>.*u[0-9]*[02468])$", "^(?P<message>.*)$"), 1)))
+    none = {"mapping": F.lit(None).cast("map<string,string>"), "transformations": F.lit(None).cast(TRANSFORMATIONS)}
+    rules = m.select(F.col("fingerprint").alias("hash")).distinct().select("hash", F.inline(pair)).withColumns(none)
+    return with_first_parsed(m, rules).select("id", "candidate", "error")
+
+
+# every outcome of vendors and value types, and forms that the corpus lacks: results written out by hand --------------
+
+
+def cases(values: list[str]) -> str:
+    """One of some SQL expressions by event_id."""
+    return f"CASE event_id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_VENDOR_CASES = [
+    ("'%ASA-4-106023: x'", "cisco/asa"), ("'%LINK-3-UPDOWN: x'", "cisco/ios"), ("'devname=\"fgt1\" x'", "fortinet/fortigate"), ("'x THREAT,alert'", "palo_alto/pan_os"), ("'about PAN-OS'", "palo_alto/pan_os"), ("'RT_IDP x'", "juniper/junos"),
+    ("'the SMARTDEFENSE x'", "checkpoint/firewall1"), ("'Microsoft-Windows-Security x'", "microsoft/windows_event"), ("'<EventID>' || event_id || '</EventID>'", "microsoft/windows_event"), ("'2 eni-0a1b 10.0.0.1'", "aws/vpc_flow"),
+    ("'aws:cloudtrail x'", "aws/cloudtrail"), ("'AzureActivity x'", "microsoft/azure"), ("'sshd[' || event_id || ']: x'", "linux/sshd"), ("'systemd[1]: x'", "linux/systemd"), ("'sudo[1]: x'", "linux/sudo"), ("'cron[9]: x'", "linux/cron"),
+    ("'auditd[9]: x'", "linux/auditd"), ("'kernel[9]: x'", "linux/system"), ("event_type", "/"), ("'xsshd[1]: %ASA THREAT, eni-'", "/"),
+]
+
+
+@query(f"SELECT event_id, {cases([O.q(v) for _, v in _VENDOR_CASES])} AS vendor FROM events")
+def q_vendor_outcomes(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", f"{cases([t for t, _ in _VENDOR_CASES])} as t")
+    return e.withColumn("v", N.vendor_product(F.col("t"))).select("event_id", F.concat_ws("/", "v.vendor", "v.product").alias("vendor"))
+
+
+_VALUE_CASES = [
+    ("'True'", "bool"), ("'nil'", "null"), ("'550e8400-e29b-41d4-a716-446655440000'", "uuid"), ("'00:1b:44:11:3a:b7'", "mac"), ("'001b.4411.3ab7'", "mac"), ("'10.0.0.' || event_id % 256", "ipv4"), ("'::1'", "ipv6"), ("md5(event_type)", "hex_hash"),
+    ("'HTTPS://x/' || event_id", "url"), ("event_type || '@b.co'", "email"), ("'2024-01-02T03:04:05Z'", "timestamp"), ("'at 03/Feb/2024:03:04:05'", "timestamp"), ("'Feb  3 03:04:05'", "timestamp"), ("'03:04:05.1234'", "time"), ("'1700000000'", "timestamp"),
+    ("'1700000000123'", "timestamp"), ("'-1.5e3'", "number"), ("'Inf'", "number"), ("'0x1p4'", "number"), ("'1e999'", "string"), ("''", "string"), ("'010.0.0.1'", "string"), ("'300.1.1.1'", "string"), ("event_type", "string"), ("'  7 '", "number"),
+]
+
+
+@query(f"SELECT event_id, {cases([O.q(v) for _, v in _VALUE_CASES])} AS kind FROM events")
+def q_value_type_outcomes(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", f"{cases([t for t, _ in _VALUE_CASES])} as t")
+    return e.select("event_id", N.detect_value_type(F.col("t")).alias("kind"))
+
+
+def _forms_query(name: str, pairs: list[tuple[str, str]]) -> None:
+    _canonical_query(name, ["$" + cases([t for t, _ in pairs])], cases([v for _, v in pairs]))
+
+
+_forms_query(
+    "q_stack_forms",
+    [
+        ("'Traceback (most recent call last):' || chr(10) || '  File \"a.py\", line ' || event_id || chr(10) || 'ValueError: bad'", "'fp-v1:format=multiline|stack=true|prefix=python_stack|lines=Traceback (most recent call last):||File \"a.py\", line <NUMBER>||ValueError: bad'"),
+        ("'goroutine ' || event_id || ' [running]:' || chr(10) || 'main.main()'", "'fp-v1:format=multiline|stack=true|prefix=text|lines=goroutine <NUMBER> [running]:||main.main()'"),
+        ("event_type || chr(10) || chr(10) || ' two ' || chr(10) || 'three'", "'fp-v1:format=multiline|stack=false|prefix=text|lines=' || event_type || '||two||three'"),
+    ],
+)
+_forms_query(
+    "q_kv_forms",
+    [
+        ("'a: 1 b=\"2 3\" a=x n=' || event_id", "'fp-v1:format=key_value|fields=a:string,b:string,n:number'"),
+        ("'z=\"q\\\\\"r\" y=' || event_type || ',x=10.0.0.1'", "'fp-v1:format=key_value|fields=x:ipv4,y:string,z:string'"),
+        ("'k= b=' || event_id || ' k=7'", "'fp-v1:format=key_value|fields=b:number,k:string'"),
+        ("'word only=' || event_id", "'fp-v1:format=plain_text|template=word only=<NUMBER>'"),
+    ],
+)
+_forms_query(
+    "q_csv_forms",
+    [
+        ("'a1' || chr(9) || event_id || chr(9) || 'x y' || chr(9) || '10.0.0.1'", "'fp-v1:format=csv|delim=' || chr(9) || '|cols=4|header=false|types=string,number,string,ipv4'"),
+        ("'a1|' || event_id || '|x|true'", "'fp-v1:format=csv|delim=||cols=4|header=false|types=string,number,string,bool'"),
+        ("'\"a,b\",' || event_id || ',\"x \"\"y\"\"\",7'", "'fp-v1:format=csv|delim=,|cols=4|header=false|types=string,number,string,number'"),
+        ("'a;b;c;' || event_type", "'fp-v1:format=plain_text|template=a;b;c;' || event_type"),
+    ],
+)

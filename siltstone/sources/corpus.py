@@ -49,7 +49,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, user_id, event_type, created_at, k, attempts, status, raw_log of every event."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def raw_logs(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
+    """id, user_id, event_type, created_at, k, attempts, status, raw_log of every event; dealt to all cores where the work
+    on each log is heavy enough to be worth an exchange."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(events) if heavy else events
     return events.selectExpr("event_id as id", "user_id", "event_type", "ts as created_at", "event_id % 12 as k", "event_id div 5 % 5 as attempts", f"{_STATUS.format(id='event_id')} as status", f"{spark_expression()} as raw_log")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.features import FEATURES
 from siltstone.functions.normalize import SPACE, trim_space
 
 STATUSES = ["pending", "processing", "waiting_parser", "completed", "failed"]
@@ -34,10 +35,21 @@ def decoded(payload: Column) -> Column:
     return F.make_valid_utf8(payload.cast("string"))
 
 
+def append_requests(df: DataFrame, path: str) -> None:
+    """Adds df's logs to a request table as pending ones."""
+    new_requests(df).write.mode("append").parquet(path)
+
+
+def message_body(fingerprint: Column, raw_log: Column, features: Column) -> Column:
+    """A queue message that asks for a rule."""
+    return F.to_json(F.struct(fingerprint.alias("hash"), raw_log.alias("raw_log"), features.alias("features")))
+
+
 def messages(df: DataFrame, body: str = "body") -> DataFrame:
-    """hash, raw_log and features of queue messages; broken JSON and empty hashes are dropped."""
-    m = df.withColumn("_m", F.from_json(body, "hash string, raw_log string, features string"))
-    return m.where("coalesce(_m.hash, '') <> ''").select("_m.hash", "_m.raw_log", "_m.features")
+    """hash, raw_log and features of queue messages beside df's other columns; broken JSON and empty hashes are dropped."""
+    m = df.withColumn("_m", F.from_json(body, f"hash string, raw_log string, features {FEATURES}"))
+    names = ("hash", "raw_log", "features")
+    return m.where("coalesce(_m.hash, '') <> ''").select(*(c for c in df.columns if c not in (body, *names)), *(F.col(f"_m.{n}") for n in names))
 
 
 def new_users(users: DataFrame, seen: DataFrame) -> DataFrame:

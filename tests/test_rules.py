@@ -1,4 +1,6 @@
 import datetime as dt
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,25 @@ def test_processing_counts_usage(spark):
     first = B.process(requests, B.no_rules(spark))
     again = B.process(requests.where("id < 2"), first.rules)
     assert [r.logs_processed for r in first.rules.collect()] == [5] and [r.logs_processed for r in again.rules.collect()] == [7]
+
+
+def test_remote_synthesiser_answers_fails_or_hangs(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def hook(raw, features):
+        with open(log, "a") as f:
+            f.write(raw + "\n")
+        if raw == "hangs":
+            threading.Event().wait()
+        if raw == "fails":
+            raise ValueError("no")
+        return {"answers": {"name": "own", "pattern": "^(?P<message>answers)$", "mapping": {"message": "message"}, "transformations": {"message": {"type": "upper"}}}, "broken": {"name": "x", "pattern": "("}, "odd": {"name": 5}}.get(raw)
+
+    names = ["answers", "fails", "hangs", "broken", "odd", "none"]
+    missing = spark.createDataFrame([(n, n, "plain_text", "", "", "") for n in names], "fingerprint string, raw_log string, format string, vendor string, product string, template string").coalesce(2)
+    began = time.time()
+    made = {r["hash"]: r for r in R.synthesize(missing, R.Remote(hook, seconds=1, in_flight=2)).collect()}
+    assert time.time() - began < 60
+    assert made["answers"].name == "own" and made["answers"].transformations["message"]["type"] == "upper"
+    assert all(made[n].pattern == "^(?P<message>.*)$" and made[n].name == "" for n in names[1:])
+    assert sorted(open(log).read().split()) == sorted(names)  # one call each
