@@ -65,13 +65,14 @@ def cut_points(raw: list[bytes], bits: int = 10, least: int = 128, most: int = 4
 
 
 class Words(dict):
-    """word -> its ids, little-endian unsigned 32-bit; a bounded cache in front of the library."""
+    """word -> its ids, little-endian unsigned 32-bit; a bounded cache in front of the library. When it is full it becomes
+    the older half, from which words in use come back, and what is not asked for again goes with it."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok, self.most, self.older = Tokenizer.from_file(path), most, {}
         self.tok.no_truncation()
         self.tok.no_padding()
 
@@ -80,13 +81,16 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(b".,;:!?")
-        if word.isascii() and b"<" not in word and not word.islower() and word.lower() != word:
+        if (kept := self.older.get(word)) is not None:
+            ids = kept
+        elif word.isascii() and b"<" not in word and not word.islower() and word.lower() != word:
             ids = self[word.lower()]  # the normaliser lowers; special strings, which it leaves alone, hold a "<"
         elif core != word and core[-1:].isalnum():
             ids = self[core] + self[word[len(core) :]]  # signs after a letter or digit are a pre-token of their own
         else:
             ids = self.library(word)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
@@ -257,6 +261,7 @@ class Decoder:
             raise ValueError("only vocabularies without a decoder of their own are joined by spaces")
         names = tok.get_vocab(with_added_tokens=True)
         self.strings = [""] * (max(names.values()) + 1)
+        self.numbers = [str(i) for i in range(len(self.strings))]
         for token, i in names.items():
             self.strings[i] = token
 
@@ -288,7 +293,7 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         decoder, rows = decoder_of(path), []
         for b in packed:
             ids = np.frombuffer(b, dtype="<u4").tolist()
-            rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoder(ids).encode()).hexdigest()))
+            rows.append((len(ids), hashlib.sha256(" ".join(map(decoder.numbers.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoder(ids).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encode(df, path, id_col, text_col, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
