@@ -686,7 +686,7 @@ def q_messages(spark, sf):
     made = with_fingerprint(raw_logs(spark, sf), record=True)
     body = L.message_body(F.when(F.col("k") != 4, F.col("fingerprint")).otherwise(""), F.col("raw_log"), F.col("features"))
     sent = made.select("id", F.when(F.col("k") == 3, F.left(body, F.lit(40))).otherwise(body).alias("body"))
-    return L.messages(sent).select("id", "hash", "raw_log", F.col("features.field_count").alias("field_count"))
+    return L.messages(materialized(sent, "messages")).select("id", "hash", "raw_log", F.col("features.field_count").alias("field_count"))
 
 
 @query(corpus_sql("SELECT id, raw_log, 'pending' AS status, 0 AS attempts FROM corpus UNION ALL SELECT -1 - doc_id, text, 'pending', 0 FROM documents"))
@@ -734,7 +734,7 @@ def q_vendor_outcomes(spark, sf):
 
 _VALUE_CASES = [
     ("'True'", "bool"), ("'nil'", "null"), ("'550e8400-e29b-41d4-a716-446655440000'", "uuid"), ("'00:1b:44:11:3a:b7'", "mac"), ("'001b.4411.3ab7'", "mac"), ("'10.0.0.' || event_id % 256", "ipv4"), ("'::1'", "ipv6"), ("md5(event_type)", "hex_hash"),
-    ("'HTTPS://x/' || event_id", "url"), ("event_type || '@b.co'", "email"), ("'2024-01-02T03:04:05Z'", "timestamp"), ("'at 03/Feb/2024:03:04:05'", "timestamp"), ("'Feb  3 03:04:05'", "timestamp"), ("'03:04:05.1234'", "time"), ("'1700000000'", "timestamp"),
+    ("'HTTPS://x/' || event_id", "url"), ("event_type || '@b.co'", "email"), ("'2024-01-02T03:04:05Z'", "timestamp"), ("'at 03/Feb/2024:03:04:05'", "timestamp"), ("'Feb  3 03:04:05'", "timestamp"), ("'03:04:05.123'", "time"), ("'03:04:05.1234'", "string"), ("'1700000000'", "timestamp"),
     ("'1700000000123'", "timestamp"), ("'-1.5e3'", "number"), ("'Inf'", "number"), ("'0x1p4'", "number"), ("'1e999'", "string"), ("''", "string"), ("'010.0.0.1'", "string"), ("'300.1.1.1'", "string"), ("event_type", "string"), ("'  7 '", "number"),
 ]
 
