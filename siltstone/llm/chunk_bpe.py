@@ -68,7 +68,7 @@ class Words(dict):
     """word -> its ids, little-endian unsigned 32-bit; a bounded cache in front of the library. When it is full it becomes
     the older half, from which words in use come back, and what is not asked for again goes with it."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         super().__init__()
