@@ -48,10 +48,10 @@ def step(c: Column, pattern: str, replacement: str, ascii_only: bool = True) ->
     return F.regexp_replace(c, P.java(pattern, ascii_only), replacement.replace("\\1", "$1"))
 
 
-def seen_in(c: Column) -> Column:
-    """struct of a text, its lower-case form and the character classes that the steps ask for, each looked up once."""
+def seen(c: Column) -> dict[str, Column]:
+    """A text, its lower-case form and the character classes that the steps ask for, by name."""
     has = lambda x: F.contains(c, F.lit(x))
-    found = {
+    return {
         "text": c,
         "low": F.lower(c),
         "size": F.octet_length(c),
@@ -59,11 +59,15 @@ def seen_in(c: Column) -> Column:
         "digit": c.rlike("[0-9]"),
         **{name: has(x) for name, x in [("dash", "-"), ("colon", ":"), ("slash", "/"), ("dot", "."), ("at", "@"), ("quote", '"'), ("bracket", "["), ("line", "_"), ("hex", "0x")]},
     }
-    return F.struct(*(v.alias(k) for k, v in found.items()))
 
 
-def needs(s: Column) -> dict[str, Column]:
-    """By template step: whether a text (as seen_in shows it) has what the step's pattern cannot do without.
+def seen_in(c: Column) -> Column:
+    """seen() as a struct, each part looked up once."""
+    return F.struct(*(v.alias(k) for k, v in seen(c).items()))
+
+
+def needs(s: Column | dict[str, Column]) -> dict[str, Column]:
+    """By template step: whether a text (as seen shows it) has what the step's pattern cannot do without.
 
     Every replacement but its angle-bracketed name comes from the text itself, and no pattern reaches into such a name, so
     what the text lacks at first no earlier step brings in.
@@ -102,6 +106,13 @@ def needs(s: Column) -> dict[str, Column]:
     }
 
 
+def lone_step(c: Column, name: str) -> Column:
+    """One template step of a text, run only where the text has what it needs."""
+    pattern, replacement = next(s[1:] for s in P.STEPS if s[0] == name)
+    due, ascii_only = needs(seen(c))[name], is_ascii(c)
+    return F.when(due & ascii_only, step(c, pattern, replacement)).when(due, step(c, pattern, replacement, False)).otherwise(c)
+
+
 def steps(c: Column) -> Column:
     """All template steps in order. Only those run for which a text has what they need; with characters beyond ASCII the
     slower form of \\b serves."""

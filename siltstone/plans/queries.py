@@ -111,9 +111,7 @@ def q_vendor_product(spark, sf):
 
 def _step_query(name: str, pattern: str, replacement: str) -> None:
     def run(spark, sf):
-        c = F.col("text")
-        done = F.when(N.is_ascii(c), N.step(c, pattern, replacement)).otherwise(N.step(c, pattern, replacement, False))
-        return docs(spark, sf).select("doc_id", F.sha2(done, 256).alias("h"))
+        return docs(spark, sf).select("doc_id", F.sha2(N.lone_step(F.col("text"), name), 256).alias("h"))
 
     QUERIES[f"q_tpl_{name}"] = run
     SQL[f"q_tpl_{name}"] = f"SELECT doc_id, sha256(regexp_replace(text, {O.q(pattern)}, {O.q(replacement)}, 'g')) AS h FROM documents"
