@@ -25,9 +25,12 @@ def no_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RULES)
 
 
+#: What the next run takes up: pending and tried less than three times.
+ELIGIBLE = "status = 'pending' and attempts < 3"
+
+
 def eligible(requests: DataFrame) -> DataFrame:
-    """What the next run takes up: pending and tried less than three times."""
-    return requests.where("status = 'pending' and attempts < 3")
+    return requests.where(ELIGIBLE)
 
 
 def usable(rules: DataFrame, only_active: bool = False) -> DataFrame:

@@ -40,9 +40,10 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def marked(spark: SparkSession, sf: str) -> DataFrame:
-    """Materialised: a filter or join on a fingerprint would otherwise repeat the whole template fold below it."""
-    return materialized(with_fingerprint(raw_logs(spark, sf)), "marked")
+def marked(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+    """Materialised: a filter or join on a fingerprint would otherwise repeat the whole template fold below it. A query's
+    own condition on the events' columns goes before the fingerprints, since each of them is made of its row alone."""
+    return materialized(with_fingerprint(raw_logs(spark, sf).where(where)), "marked")
 
 
 def corpus_sql(select: str) -> str:
@@ -347,13 +348,13 @@ def q_status_machine(spark, sf):
 
 @query(rules_sql("SELECT hash, rule.name AS name, rule.pattern AS pattern FROM rules"))
 def q_single_flight(spark, sf):
-    taken = B.eligible(marked(spark, sf))
+    taken = marked(spark, sf, B.ELIGIBLE)
     return R.synthesize(B.representatives(taken)).select("hash", "name", "pattern")
 
 
 @query(rules_sql("SELECT hash, waiting FROM rules"))
 def q_waiters(spark, sf):
-    return B.eligible(marked(spark, sf)).groupBy(F.col("fingerprint").alias("hash")).agg(F.count_distinct("id").alias("waiting"))
+    return marked(spark, sf, B.ELIGIBLE).groupBy(F.col("fingerprint").alias("hash")).agg(F.count_distinct("id").alias("waiting"))
 
 
 @query(rules_sql("SELECT m.id, r.rule.name AS rule FROM marked m JOIN rules r ON m.fingerprint = r.hash"))
@@ -404,7 +405,7 @@ def q_parser_usage(spark, sf):
 
 @query(rules_sql("SELECT hash, CASE WHEN format = 'cef' THEN 'CEF rule' WHEN rule.name <> '' THEN rule.name WHEN format = 'leef' THEN 'shopParser' ELSE format || 'Parser' END AS name, CASE WHEN format = 'cef' THEN 'new' ELSE rule.pattern END AS pattern, CASE WHEN format = 'cef' THEN 7 ELSE 0 END AS processed FROM rules"))
 def q_parser_upsert(spark, sf):
-    base = R.upsert(B.no_rules(spark), R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    base = R.upsert(B.no_rules(spark), R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))))
     old = base.withColumn("logs_processed", F.when(F.col("format") == "cef", 7).otherwise(0).cast("long"))
     new = old.where("format = 'cef'").withColumns({"name": F.lit("CEF rule"), "pattern": F.lit("new"), "vendor": F.lit(""), "logs_processed": F.lit(99).cast("long")})
     return R.upsert(old, new).select("hash", "name", "pattern", F.col("logs_processed").cast("int").alias("processed"))
@@ -420,12 +421,12 @@ def q_user_stats(spark, sf):
 
 @query(rules_sql("SELECT count(*) AS rules, count(*) AS active, 0::BIGINT AS processed FROM rules"))
 def q_parser_metrics(spark, sf):
-    return X.rule_metrics(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    return X.rule_metrics(R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))))
 
 
 @query(rules_sql("SELECT DISTINCT format FROM rules"))
 def q_format_facet(spark, sf):
-    return X.formats(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    return X.formats(R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))))
 
 
 @query(corpus_sql("SELECT id, created_at FROM corpus ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50"))
@@ -445,7 +446,7 @@ def q_search_logs(spark, sf):
 
 @query(rules_sql("SELECT hash FROM rules WHERE contains(lower(rule.name || ' ' || format || ' ' || rule.pattern), 'severity')"))
 def q_search_parsers(spark, sf):
-    return X.search_rules(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))), "SEVERITY", "active").select("hash")
+    return X.search_rules(R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))), "SEVERITY", "active").select("hash")
 
 
 @query(marked_sql("SELECT format AS label, fingerprint AS hash, count(*) AS logs_processed FROM marked GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 6"))
@@ -482,7 +483,7 @@ def q_pretty_log(spark, sf):
 
 @query(rules_sql("SELECT hash AS value, coalesce(nullif(rule.name, ''), hash) AS label FROM rules UNION ALL SELECT 'all', 'All rules'"))
 def q_rule_options(spark, sf):
-    return X.rule_options(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    return X.rule_options(R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))))
 
 
 @query(corpus_sql("SELECT id, CASE WHEN status <> 'waiting_parser' THEN status WHEN k < 6 THEN 'pending' WHEN epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(date_trunc('second', created_at)) > 86400 THEN 'failed' ELSE status END AS status FROM corpus"))
@@ -663,19 +664,19 @@ _RULE_KEYS = f"CASE WHEN k IN ({', '.join(map(str, _KEYS))}) THEN {text_by_shape
 
 @query(rules_sql(f"SELECT hash, {text_by_shape({1: ' ', 3: '|', 4: ',', 6: '|'})} AS delimiter, {_RULE_KEYS} AS fields, {text_by_shape(_TYPES)} AS types, sample AS sample_log FROM rules r JOIN (SELECT fingerprint, arg_min(k, id) AS k, arg_min(raw_log, id) AS sample FROM taken GROUP BY 1) t ON r.hash = t.fingerprint"))
 def q_parser_fields(spark, sf):
-    made = R.upsert(B.no_rules(spark), R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    made = R.upsert(B.no_rules(spark), R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))))
     return made.select("hash", "delimiter", F.array_join("extracted_fields", ",").alias("fields"), F.array_join(F.transform("field_signatures", lambda x: x["type"]), ",").alias("types"), "sample_log")
 
 
 @query(rules_sql(f"SELECT hash, replace({_RULE_KEYS}, ',', ', ') AS fields FROM rules r JOIN (SELECT fingerprint, arg_min(k, id) AS k FROM taken GROUP BY 1) t ON r.hash = t.fingerprint"))
 def q_field_chips(spark, sf):
-    return X.field_chips(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))))
+    return X.field_chips(R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))))
 
 
 @query(rules_sql("SELECT hash FROM rules r JOIN (SELECT fingerprint, arg_min(raw_log, id) AS sample FROM taken GROUP BY 1) t ON r.hash = t.fingerprint WHERE contains(lower(sample), 'acme')"))
 def q_search_samples(spark, sf):
     """Rules found by their sample log."""
-    return X.search_rules(R.synthesize(B.representatives(B.eligible(marked(spark, sf)))), "ACME").select("hash")
+    return X.search_rules(R.synthesize(B.representatives(marked(spark, sf, B.ELIGIBLE))), "ACME").select("hash")
 
 
 @query(marked_sql("SELECT id, fingerprint AS hash, raw_log, " + by_shape(dict(enumerate(map(str, _COUNTS)))) + " AS field_count FROM marked WHERE k NOT IN (3, 4)"))

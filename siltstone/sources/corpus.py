@@ -43,10 +43,15 @@ def duckdb_cte() -> str:
     return f"""corpus AS (SELECT event_id AS id, user_id, event_type, ts AS created_at, event_id % 12 AS k, event_id // 5 % 5 AS attempts, {status} AS status, {raw} AS raw_log FROM events)"""
 
 
+#: Rows of a task whose work on each is heavy (some 300 us).
+TASK_ROWS = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files have fewer splits (small tables of one row group); others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table dealt to all cores and to tasks of at most about TASK_ROWS rows, so that a task's work does not grow with the
+    table; one whose files have that many splits stays as it is. Parquet files know their rows, so counting reads no data."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def raw_logs(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:

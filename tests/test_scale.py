@@ -2,9 +2,14 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 from siltstone.functions import normalize as N
 from siltstone.functions import patterns as P
+from siltstone.plans import queries as Q
+from siltstone.sources import corpus
+
+SF = "/root/testdata/sf0.001"
 
 
 def seconds(df) -> float:
@@ -29,3 +34,18 @@ def test_lone_steps_equal_plain_ones_and_pass_over_texts_without_a_match(spark):
     name, pattern, replacement = next(s for s in P.STEPS if s[0] == "ipv6")
     seconds(prose.select(N.lone_step(c, name)))
     assert seconds(prose.select(N.lone_step(c, name))) < seconds(prose.select(N.step(c, pattern, replacement))) / 2
+
+
+def test_a_task_has_a_bounded_number_of_logs(spark, monkeypatch):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    monkeypatch.setattr(corpus, "TASK_ROWS", 20)
+    tasks = corpus.spread(events).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) == -(-events.count() // 20) > 8 and max(r["count"] for r in tasks) <= 40
+
+
+@pytest.mark.parametrize("name, where", [("q_format_facet", "status = 'pending' and attempts < 3"), ("q_search_samples", "status = 'pending' and attempts < 3")])
+def test_only_logs_that_a_query_asks_for_get_fingerprints(spark, monkeypatch, name, where):
+    taken, make = [], Q.with_fingerprint
+    monkeypatch.setattr(Q, "with_fingerprint", lambda df: (taken.append(df.count()), make(df))[1])
+    Q.QUERIES[name](spark, SF)
+    assert taken == [corpus.raw_logs(spark, SF).where(where).count()]
