@@ -168,7 +168,7 @@ def q_syslog_headers(spark, sf):
 
 
 def _shape_query(name: str, shapes: str) -> None:
-    QUERIES[name] = lambda spark, sf: marked(spark, sf).where(F.expr(f"k in ({shapes})")).select("id", "canonical")
+    QUERIES[name] = lambda spark, sf: marked(spark, sf, f"k in ({shapes})").select("id", "canonical")
     SQL[name] = marked_sql(f"SELECT id, canonical FROM marked WHERE k IN ({shapes})")
 
 

@@ -43,7 +43,7 @@ def test_a_task_has_a_bounded_number_of_logs(spark, monkeypatch):
     assert len(tasks) == -(-events.count() // 20) > 8 and max(r["count"] for r in tasks) <= 40
 
 
-@pytest.mark.parametrize("name, where", [("q_format_facet", "status = 'pending' and attempts < 3"), ("q_search_samples", "status = 'pending' and attempts < 3")])
+@pytest.mark.parametrize("name, where", [("q_format_facet", "status = 'pending' and attempts < 3"), ("q_search_samples", "status = 'pending' and attempts < 3"), ("q_kv_signature", "k = 1"), ("q_text_template", "k = 5")])
 def test_only_logs_that_a_query_asks_for_get_fingerprints(spark, monkeypatch, name, where):
     taken, make = [], Q.with_fingerprint
     monkeypatch.setattr(Q, "with_fingerprint", lambda df: (taken.append(df.count()), make(df))[1])
