@@ -175,7 +175,9 @@ def feature_record() -> Column:
         "template": F.col("template"),
         "structural_tokens": tokens,
     }
-    return F.struct(*(v.alias(k) for k, v in fields.items())).cast(FEATURES)
+    # each field is cast by itself: a cast of the whole would hide from Spark which fields a query reads
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(FEATURES).fields}
+    return F.struct(*(v.cast(kinds[k]).alias(k) for k, v in fields.items()))
 
 
 def with_fingerprint(df: DataFrame, raw_col: str = "raw_log", record: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -574,8 +575,12 @@ def text_by_shape(values: dict[int, str]) -> str:
 def _feature_query(name: str, fields: dict[str, tuple[str, str]]) -> None:
     """Columns of the record of every log: by name, the Spark and the DuckDB expression."""
 
+    parts = sorted(set(re.findall(r"\bfeatures\.(\w+)", " ".join(expr for expr, _ in fields.values()))))
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        made = with_fingerprint(raw_logs(spark, sf), record=True).select("id", "features")
+        made = with_fingerprint(raw_logs(spark, sf), record=True)
+        # each part is named once, so that Spark makes no other: a record named more often is made whole
+        made = made.select("id", F.struct(*(F.col(f"features.{p}").alias(p) for p in parts)).alias("features"))
         return made.selectExpr("id", *(f"{expr} as {n}" for n, (expr, _) in fields.items()))
 
     QUERIES[name] = run

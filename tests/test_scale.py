@@ -49,3 +49,8 @@ def test_only_logs_that_a_query_asks_for_get_fingerprints(spark, monkeypatch, na
     monkeypatch.setattr(Q, "with_fingerprint", lambda df: (taken.append(df.count()), make(df))[1])
     Q.QUERIES[name](spark, SF)
     assert taken == [corpus.raw_logs(spark, SF).where(where).count()]
+
+
+def test_a_part_of_the_feature_record_costs_no_template(spark):
+    plan = Q.QUERIES["q_features_syslog"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "<TRUNCATED>" not in plan and "syslog" in plan
