@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import patterns as P
 from siltstone.functions import structure as S
-from siltstone.functions.normalize import built, normalize_template, structural_tokens, trim_space, vendor_product
+from siltstone.functions.normalize import built, due, finished, first_bytes, normalize_template, seen_in, stepped, structural_tokens, trim_space, vendor_product
 
 VERSION = "fp-v1"
 
@@ -180,6 +180,14 @@ def feature_record() -> Column:
     return F.struct(*(v.cast(kinds[k]).alias(k) for k, v in fields.items()))
 
 
+def _seen_first(body: Column) -> Column:
+    return seen_in(first_bytes(body))
+
+
+def _template_of(body: Column, seen: Column, numbers: Column) -> Column:
+    return finished(body, stepped(seen["text"], numbers))
+
+
 def with_fingerprint(df: DataFrame, raw_col: str = "raw_log", record: bool = False) -> DataFrame:
     """df with format, vendor, product, template, canonical and fingerprint of its raw logs (null counts as empty), and
     with `record` their FEATURES as `features`.
@@ -210,9 +218,12 @@ def with_fingerprint(df: DataFrame, raw_col: str = "raw_log", record: bool = Fal
     own = F.col("format").isin("cef", "leef")
     step3 = (
         step2.withColumn("_body", F.when(native, body))
+        # what the steps need is looked up by columns of their own, which Spark compiles; inside a lambda it interprets them
+        .withColumn("_seen", built(_seen_first, "_body"))
+        .withColumn("_due", built(due, "_seen"))
         .withColumn("vendor", F.when(own, F.col("_nested.vendor")).when(F.col("format") == "unknown", "").otherwise(F.col("_vp.vendor")))
         .withColumn("product", F.when(own, F.col("_nested.product")).when(F.col("format") == "unknown", "").otherwise(F.col("_vp.product")))
-        .withColumn("template", F.when(native, built(normalize_template, "_body")).when(F.col("format") == "multiline", F.col("_lines.signs")[0]).otherwise(""))
+        .withColumn("template", F.when(native, built(_template_of, "_body", "_seen", "_due")).when(F.col("format") == "multiline", F.col("_lines.signs")[0]).otherwise(""))
     )
     optional = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
     s = "_syslog."

@@ -117,18 +117,25 @@ def steps(c: Column) -> Column:
     """All template steps in order. Only those run for which a text has what they need; with characters beyond ASCII the
     slower form of \\b serves."""
 
-    def run(seen: Column) -> Column:
-        need, many = needs(seen), len(P.STEPS)
-        shift = F.when(seen["ascii"], 0).otherwise(many)
-        due = F.array_compact(F.array(*(F.when(need[name], shift + k) for k, (name, _, _) in enumerate(P.STEPS))))
+    return let(seen_in(c), lambda s: stepped(s["text"], due(s)))
 
-        def apply(text: Column, at: Column) -> Column:
-            forms = [(k + (0 if plain else many), step(text, pattern, replacement, plain)) for plain in (True, False) for k, (_, pattern, replacement) in enumerate(P.STEPS)]
-            return reduce(lambda out, f: out.when(at == f[0], f[1]), forms[1:], F.when(at == forms[0][0], forms[0][1]))
 
-        return F.reduce(due, seen["text"], apply)
+def due(s: Column) -> Column:
+    """Numbers of the steps to run on a text (as seen_in shows it); the second half are the forms beyond ASCII."""
+    need = needs(s)
+    shift = F.when(s["ascii"], 0).otherwise(len(P.STEPS))
+    return F.array_remove(F.array(*(F.when(need[name], shift + k).otherwise(-1) for k, (name, _, _) in enumerate(P.STEPS))), -1)
 
-    return let(seen_in(c), run)
+
+def stepped(c: Column, numbers: Column) -> Column:
+    """A text after the steps of these numbers."""
+    many = len(P.STEPS)
+
+    def apply(text: Column, at: Column) -> Column:
+        forms = [(k + (0 if plain else many), step(text, pattern, replacement, plain)) for plain in (True, False) for k, (_, pattern, replacement) in enumerate(P.STEPS)]
+        return reduce(lambda out, f: out.when(at == f[0], f[1]), forms[1:], F.when(at == forms[0][0], forms[0][1]))
+
+    return F.reduce(numbers, c, apply)
 
 
 def is_number(c: Column) -> Column:
@@ -150,7 +157,7 @@ def small_enum(value: Column, key: Column) -> Column:
 
 def fields(c: Column) -> Column:
     """Split on runs of white space, without empty pieces."""
-    return F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
+    return F.filter(F.split(collapse_whitespace(c), " "), lambda x: x != "")  # a split at more than one character compiles its pattern each time
 
 
 def number_token(tok: Column) -> Column:
@@ -183,9 +190,17 @@ def collapse_whitespace(c: Column) -> Column:
 
 def normalize_template(c: Column) -> Column:
     """Volatile values replaced by placeholders; texts above 4096 bytes are cut there and marked."""
+    return finished(c, steps(first_bytes(c)))
+
+
+def first_bytes(c: Column) -> Column:
     long = F.octet_length(c) > MOST_BYTES
-    text = F.when(long, F.make_valid_utf8(F.substring(c.cast("binary"), 1, MOST_BYTES).cast("string"))).otherwise(c)
-    return F.concat(remaining_numbers(steps(text)), F.when(long, " <TRUNCATED>").otherwise(""))
+    return F.when(long, F.make_valid_utf8(F.substring(c.cast("binary"), 1, MOST_BYTES).cast("string"))).otherwise(c)
+
+
+def finished(c: Column, done: Column) -> Column:
+    """The template of a text from what the steps left of its first bytes."""
+    return F.concat(remaining_numbers(done), F.when(F.octet_length(c) > MOST_BYTES, " <TRUNCATED>").otherwise(""))
 
 
 def detect_value_type(c: Column) -> Column:

@@ -54,3 +54,11 @@ def test_only_logs_that_a_query_asks_for_get_fingerprints(spark, monkeypatch, na
 def test_a_part_of_the_feature_record_costs_no_template(spark):
     plan = Q.QUERIES["q_features_syslog"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2" not in plan and "<TRUNCATED>" not in plan and "syslog" in plan
+
+
+def test_value_types_try_few_forms(monkeypatch):
+    from siltstone.functions import structure as S
+
+    tried = []
+    monkeypatch.setattr(S.ipaddress, "ip_address", lambda t: tried.append(t))
+    assert [S.value_type.__wrapped__(v) for v in ("2024-01-02T03:04:05Z", "29.27", "12345")] == ["timestamp", "number", "number"] and tried == []
