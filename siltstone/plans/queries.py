@@ -520,8 +520,9 @@ def streamed(spark: SparkSession, sf: str) -> str:
 
     base = folder(spark, "stream")
     rows = raw_logs(spark, sf).selectExpr("id", "user_id", "raw_log", "status", "cast(attempts as int) as attempts", "created_at")
-    rows.repartition(3, "id").write.parquet(f"{base}/in")
-    stream.run(stream.source(spark, f"{base}/in", 2), f"{base}/out", f"{base}/state")
+    files = max(3, rows.rdd.getNumPartitions())  # a file a task of logs, so that none grows with the table
+    rows.repartition(files, "id").write.parquet(f"{base}/in")
+    stream.run(stream.source(spark, f"{base}/in", -(-files * 2 // 3)), f"{base}/out", f"{base}/state")
     return f"{base}/out"
 
 
