@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from siltstone.functions.layouts import to_rfc3339
 from siltstone.functions.patterns import SPACES
 from siltstone.functions.structure import is_number
 from siltstone.operators.re2 import Refused, Rule, compiled
+from siltstone.sources.scratch import materialized
 
 TARGETS = ["timestamp", "severity", "service", "host", "source", "message", "event_type", "trace_id", "request_id"]
 NORMALIZED = T.StructType([*(T.StructField(n, T.StringType()) for n in TARGETS), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
@@ -126,33 +129,50 @@ def parse_log(raw: pd.Series, pattern: pd.Series, mapping: pd.Series, steps: pd.
 
 
 _CANDIDATES = T.StructType([*PARSED.fields, T.StructField("candidate", T.IntegerType())])
+_CHOICE = T.StructType(_CANDIDATES.fields[1:])
 
 
-@F.pandas_udf(_CANDIDATES)
-def parse_first(raw: pd.Series, candidates: pd.Series) -> pd.DataFrame:
+@lru_cache(maxsize=4096)
+def candidates(listed: str) -> tuple[tuple[str | None, dict, dict], ...]:
+    """Pattern, mapping and transformations of each rule of a list, which logs of one hash share: read once, not once a log."""
+    steps = lambda t: {"type": t.get("type"), "format": t.get("format")}
+    return tuple((c.get("pattern"), {e["key"]: e.get("value") for e in c.get("m", ())}, {e["key"]: steps(e["value"]) for e in c.get("t", ()) if "value" in e}) for c in json.loads(listed))
+
+
+def first_of(raw: str | None, listed: str | None) -> tuple[dict | None, str | None, int | None]:
     """The result of the first candidate rule that takes the whole log, and its number from 1; else the first one's error."""
-    rows = []
-    for r, rules in zip(raw, candidates, strict=True):
-        out = (None, "no rule", None)
-        for k, c in enumerate(rules if rules is not None else (), 1):
-            steps = c["transformations"]
-            normalized, error = parse_one(r, c["pattern"], dict(c["mapping"]) if c["mapping"] is not None else None, {n: dict(v) for n, v in dict(steps).items()} if steps is not None else None)
-            if error is None:
-                out = (normalized, None, k)
-                break
-            out = (None, error, None) if k == 1 else out
-        rows.append(out)
-    return pd.DataFrame({n: pd.Series([row[i] for row in rows], dtype=object) for i, n in enumerate(_CANDIDATES.fieldNames())})
-
-
-def with_first_parsed(df: DataFrame, rules: DataFrame, raw: str = "raw_log") -> DataFrame:
+    out = (None, "no rule", None)
+    for k, rule in enumerate(candidates(listed) if listed is not None else (), 1):
+        normalized, error = parse_one(raw, *rule)
+        if error is None:
+            return normalized, None, k
+        out = (None, error, None) if k == 1 else out
+    return out
+
+
+@F.pandas_udf(_CANDIDATES)
+def parse_first(raw: pd.Series, listed: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(list(map(first_of, raw, listed)), columns=_CANDIDATES.fieldNames(), dtype=object)
+
+
+@F.pandas_udf(_CHOICE)
+def choose_first(raw: pd.Series, listed: pd.Series) -> pd.DataFrame:
+    """parse_first without the normalized log, which takes longer to hand over than to make."""
+    return pd.DataFrame([first_of(r, c)[1:] for r, c in zip(raw, listed, strict=True)], columns=_CHOICE.fieldNames(), dtype=object)
+
+
+def with_first_parsed(df: DataFrame, rules: DataFrame, raw: str = "raw_log", normalized: bool = True) -> DataFrame:
     """df (with fingerprint) parsed by the rules of its hash (hash, rank, pattern, mapping, transformations), tried by rank:
-    logs of different kinds that share a fingerprint each find theirs. A hash has few rules: they travel as one array."""
+    logs of different kinds that share a fingerprint each find theirs. Adds error, candidate and, if asked, normalized.
+
+    A hash has few rules: they travel as one text. Materialised: Spark knows their size before it joins, and the logs need no
+    exchange, which would deal them by a few hashes, unless the rules are many.
+    """
     own = F.array_sort(F.collect_list(F.struct("rank", "pattern", F.map_entries("mapping").alias("m"), F.map_entries("transformations").alias("t"))))
-    each = lambda x: F.struct(x["pattern"].alias("pattern"), F.map_from_entries(x["m"]).alias("mapping"), F.map_from_entries(x["t"]).alias("transformations"))
-    listed = rules.groupBy(F.col("hash").alias("_hash")).agg(F.transform(own, each).alias("_rules"))
-    found = df.join(listed, df["fingerprint"] == listed["_hash"], "left").withColumn("_p", parse_first(F.col(raw), F.col("_rules")))
-    return found.withColumns({n: F.col(f"_p.{n}") for n in ("normalized", "error", "candidate")}).drop("_p", "_hash", "_rules")
+    listed = materialized(rules.groupBy(F.col("hash").alias("_hash")).agg(F.to_json(own).alias("_rules")), "candidates")
+    parse, made = (parse_first, _CANDIDATES) if normalized else (choose_first, _CHOICE)
+    found = df.join(listed, df["fingerprint"] == listed["_hash"], "left").withColumn("_p", parse(F.col(raw), F.col("_rules")))
+    return found.withColumns({n: F.col(f"_p.{n}") for n in made.fieldNames()}).drop("_p", "_hash", "_rules")
 
 
 def with_parsed(df: DataFrame, raw: str = "raw_log") -> DataFrame:

@@ -41,10 +41,10 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def marked(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+def marked(spark: SparkSession, sf: str, where: str = "true", columns: tuple[str, ...] = ("*",)) -> DataFrame:
     """Materialised: a filter or join on a fingerprint would otherwise repeat the whole template fold below it. A query's
     own condition on the events' columns goes before the fingerprints, since each of them is made of its row alone."""
-    return materialized(with_fingerprint(raw_logs(spark, sf).where(where)), "marked")
+    return materialized(with_fingerprint(raw_logs(spark, sf).where(where)).select(*columns), "marked")
 
 
 def corpus_sql(select: str) -> str:
@@ -708,11 +708,11 @@ def q_append_requests(spark, sf):
 @query(marked_sql("SELECT id, CASE WHEN regexp_full_match(raw_log, '.*u[0-9]*[02468]') THEN 1 WHEN NOT contains(raw_log, chr(10)) THEN 2 END AS candidate, CASE WHEN contains(raw_log, chr(10)) THEN 'no match' END AS error FROM marked"))
 def q_collisions(spark, sf):
     """Two rules of every hash: each log takes the first that fits it whole."""
-    m = marked(spark, sf)
+    m = marked(spark, sf, columns=("id", "raw_log", "fingerprint"))
     pair = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern")) for k, p in enumerate(("^(?P<message>.*u[0-9]*[02468])$", "^(?P<message>.*)$"), 1)))
     none = {"mapping": F.lit(None).cast("map<string,string>"), "transformations": F.lit(None).cast(TRANSFORMATIONS)}
     rules = m.select(F.col("fingerprint").alias("hash")).distinct().select("hash", F.inline(pair)).withColumns(none)
-    return with_first_parsed(m, rules).select("id", "candidate", "error")
+    return with_first_parsed(m, rules, normalized=False).select("id", "candidate", "error")
 
 
 # every outcome of vendors and value types, and forms that the corpus lacks: results written out by hand --------------

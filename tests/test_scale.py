@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 from siltstone.functions import normalize as N
 from siltstone.functions import patterns as P
+from siltstone.operators import parse as A
 from siltstone.plans import queries as Q
 from siltstone.sources import corpus
+from siltstone.sources.scratch import materialized
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +64,29 @@ def test_value_types_try_few_forms(monkeypatch):
     tried = []
     monkeypatch.setattr(S.ipaddress, "ip_address", lambda t: tried.append(t))
     assert [S.value_type.__wrapped__(v) for v in ("2024-01-02T03:04:05Z", "29.27", "12345")] == ["timestamp", "number", "number"] and tried == []
+
+
+def test_first_rules_join_without_an_exchange_of_the_logs(spark):
+    """q_collisions: few hashes, many logs; a hash's rules are read once."""
+    upper = {"s": {"type": "upper", "format": None}}
+    own = [("a", 2, "^(?P<message>.*)$", None, None), ("a", 1, r'^(?P<s>[a-z"]+) (?P<m>\S+)$', {"s": "severity", "m": "metadata.k\u00e9"}, upper), ("b", 1, "(", None, None), ("b", 3, "b+", {}, {}), ("c", 1, None, None, None)]
+    rules = spark.createDataFrame(own, A.T.StructType([*A.T._parse_datatype_string("hash string, rank int, pattern string, mapping map<string,string>").fields, A.T.StructField("transformations", A.TRANSFORMATIONS)]))
+    texts = [("a", 'w"x 7'), ("a", "W 7"), ("a", "x\ny"), ("b", "bbb"), ("b", "abb"), ("c", "x"), ("d", "x"), (None, "x"), ("a", None)]
+    logs = materialized(spark.createDataFrame([(f, r) for f, r in texts] * 4000, "fingerprint string, raw_log string").withColumn("id", F.monotonically_increasing_id()).withColumn("pad", F.sha2(F.col("id").cast("string"), 256)), "logs")
+    rules = rules.join(logs.select(F.col("fingerprint").alias("hash")).distinct(), "hash")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        whole, choice = A.with_first_parsed(logs, rules), A.with_first_parsed(logs, rules, normalized=False)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (whole, choice)]
+        found = {(r.fingerprint, r.raw_log): r for r in whole.dropDuplicates(["fingerprint", "raw_log"]).collect()}
+        chosen = choice.groupBy("fingerprint", "raw_log", "candidate", "error").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert all("BroadcastHashJoin" in p and "hashpartitioning" not in p for p in plans)
+    bad = A.parse_one("", "(", {}, {})[1]
+    want = [(1, None), (2, None), (None, "no match"), (2, None), (None, bad), (None, "no rule"), (None, "no rule"), (None, "no rule"), (2, None)]
+    assert [(found[t].candidate, found[t].error) for t in texts] == want
+    assert {(r.fingerprint, r.raw_log): (r.candidate, r.error) for r in chosen} == dict(zip(texts, want, strict=True)) and {r["count"] for r in chosen} == {4000}
+    assert (found[texts[0]].normalized.severity, found[texts[0]].normalized.metadata) == ('W"X', {"k\u00e9": "7"}) and found[texts[1]].normalized.message == "W 7"
+    assert found[texts[2]].normalized is None and "normalized" not in choice.columns
